@@ -23,6 +23,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.pii import KINDS, find_pii, listed
+
+    found = find_pii(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.array_size(F.filter(F.transform("spans", lambda s: s["kind"]), F.lit(k.name).eqNullSafe)).cast("long").alias(f"n_{k.name}") for k in KINDS if k.base]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specdag.llm.quality_rules import apply_policy, ledger, policy_mask
 
@@ -34,6 +43,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
 }
 
