@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a piece stay near ``most_bytes``: bounded memory whatever their lengths."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = size = 0
         for i, n in enumerate(lengths):
             if size and size + n > most_bytes:
@@ -78,3 +80,34 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
             size += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of a text column, the code of each word in text order, and where each text's words begin.
+
+    Words are runs without the space and U+0009 to U+000D; null counts as empty.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = split.flatten()
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    full = pc.not_equal(flat, "")
+    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    coded = flat.filter(full).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), before[ends]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], rows: int) -> DataFrame:
+    """``doc_id``, ``text`` and ``label`` of at most ``rows`` labelled documents that are not held out, those of least hash.
+
+    The choice is made on the narrow label table, so its size is bounded before any text is joined to it. Rows with a
+    null id or label are left out; of repeated labels of a document the largest counts.
+    """
+    chosen = (
+        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
+        .filter(F.col("_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("_id")))
+        .groupBy("_id")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("_id"), "_id")
+        .limit(rows)
+    )
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")

@@ -15,7 +15,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - text_slices uses pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

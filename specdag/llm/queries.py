@@ -40,11 +40,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.common import remainder
+    from specdag.llm.quality_gam import classify, fit
+
+    docs, held_out = read(spark, sf_dir, "documents"), lambda i: remainder(i, 5) == 0
+    model = fit(docs, read(spark, sf_dir, "labels"), held_out)
+    return classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_gam": op8_quality_gam,
 }
 
 ORACLES: dict[str, str] = {}
