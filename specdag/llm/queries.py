@@ -16,6 +16,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=2048, keep_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.common import remainder
+    from specdag.llm.toxicity import fit, score
+
+    docs, held_out = read(spark, sf_dir, "documents"), lambda i: remainder(i, 3) == 1
+    model = fit(docs, read(spark, sf_dir, "labels"), held_out)
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specdag.llm.sharding import shard
 
@@ -49,12 +58,23 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.common import remainder
+    from specdag.llm.language import fit, identify
+
+    docs, held_out = read(spark, sf_dir, "documents"), lambda i: remainder(i, 4) == 2
+    found = identify(docs, fit(docs, held_out), keep_spans=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_gam": op8_quality_gam,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
