@@ -7,9 +7,11 @@ none needs padding; equal lengths share a bucket, from which a trainer draws bat
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,79 +22,46 @@ from pyspark.sql import functions as F
 
 from specdag.llm.common import text_slices
 
-#: A run of blanks, or a run of anything else with the one space before it. The tokenizer's own pattern never joins
-#: characters over these borders, so the ids of a text are the ids of its chunks, one after the other.
-_CHUNK = re.compile(r"\s+(?!\S)| ?\S+|\s+")
-#: Blank for Python's pattern but not for the tokenizer's: such texts go to the tokenizer whole.
-_ODD_BLANK = re.compile("[\x1c-\x1f]")
-_SLICE = 1 << 18
+#: Characters of whose class (letter, digit, blank, other) every regular expression library thinks the same.
+_SETTLED = re.compile("[\t\n\r -~\xa0-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+_encoders: dict[tuple[str, str | None], Encoder] = {}
 
 
 class Encoder:
-    """Token ids of whole texts through ``tokenizers``, with the ids of up to ``memo`` distinct chunks kept."""
+    """Token ids of whole texts through the ``tokenizers`` file at ``path``.
+
+    If ``ranks`` names the same vocabulary as a rank file, with ``pattern`` as its pre-tokenizer, texts of settled
+    characters go through ``tiktoken``, which gives the same ids several times faster; other texts never do.
+    """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.memo, self.most = {}, memo
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     @classmethod
-    def of(cls, path: str, memo: int = 300_000) -> Encoder:
-        if (path, memo) not in _encoders:
-            _encoders[path, memo] = cls(path, memo)
-        return _encoders[path, memo]
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.memo) + len(chunks) > self.most:
-            self.memo.clear()
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[chunk] = np.array(found.ids, "<u4").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = []
-        for text in texts:
-            if _ODD_BLANK.search(text):
-                out.append(self._whole(text))
-                continue
-            ids = []
-            for part in _parts(text):
-                chunks = _CHUNK.findall(part)
-                if new := list({c for c in chunks if c not in self.memo}):
-                    self._learn(new)
-                    if len(new) > self.most:  # more distinct chunks than the memo holds
-                        self.memo.clear()
-                        ids.append(self._whole(part))
-                        continue
-                    if any(c not in self.memo for c in chunks):  # the memo was emptied on the way
-                        self._learn(list({c for c in chunks if c not in self.memo}))
-                ids.append(b"".join(map(self.memo.__getitem__, chunks)))
-            out.append(b"".join(ids))
-        return out
-
-
-def _parts(text: str) -> Iterator[str]:
-    """Cut a long text before a single space between two non-blanks, where chunks end anyway."""
-    start = 0
-    while len(text) - start > _SLICE:
-        cut = start + _SLICE
-        while (cut := text.find(" ", cut)) >= 0 and (cut + 1 >= len(text) or text[cut - 1].isspace() or text[cut + 1].isspace()):
-            cut += 1
-        if cut < 0:
-            break
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
+    def of(cls, path: str, ranks: str | None = None, pattern: str | None = None) -> Encoder:
+        if (path, ranks) not in _encoders:
+            _encoders[path, ranks] = cls(path, ranks, pattern)
+        return _encoders[path, ranks]
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.fast and (text.isascii() or _SETTLED.fullmatch(text)) and not _CONTROL.search(text):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def lengths_of(tokens: int, longest: int) -> list[int]:
@@ -101,12 +70,12 @@ def lengths_of(tokens: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_id: int, memo: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder, end = Encoder.of(path, memo), np.array([end_id], "<u4").tobytes()
+def _pack(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, pattern: str | None, longest: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    encoder, end = Encoder.of(path, ranks, pattern), array("I", [end_id]).tobytes()
     for batch in text_slices(batches, "text", 4 << 20):
         rows, starts, sizes, crcs, totals, kept = [], [], [], [], [], []
-        for row, ids in enumerate(encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
-            ids, at = memoryview(ids + end), 0
+        for row, text in enumerate(batch.column("text")):
+            ids, at = memoryview(encoder.encode(text.as_py() or "") + end), 0
             for n in lengths_of(total := len(ids) // 4, longest):
                 piece = ids[4 * at : 4 * (at + n)]
                 rows.append(row), starts.append(at), sizes.append(n), crcs.append(zlib.crc32(piece)), totals.append(total)
@@ -120,7 +89,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_id: in
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = 2048, end_id: int = 1, memo: int = 300_000, keep_ids: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, ranks_path: str | None = None, pattern: str | None = None, longest: int = 2048, end_id: int = 1, keep_ids: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece of every document of ``docs``.
 
     Columns: ``doc_id``, ``start`` (ids of the document before it), ``length`` (a power of two up to ``longest``),
@@ -128,7 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = 2048, end_id: i
     ``bucket`` (log2 of the length, by which sequences of one shape are drawn or written).
 
     Null and empty texts give one piece, the end id. Null ids stay null. Repeated rows are packed each by itself; other
-    columns of ``docs`` are ignored; an empty table gives no rows. Very long texts are tokenized slice by slice.
+    columns of ``docs`` are ignored; an empty table gives no rows. See ``Encoder`` for ``ranks_path`` and ``pattern``.
     There is no shuffle: ``sequence_id`` is the partition's number and the row's place in it, unique without counting,
     and the same again when a lost task is run anew.
     """
@@ -136,7 +105,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, longest: int = 2048, end_id: i
         raise ValueError("longest must be a power of two")
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    pieces = source.mapInArrow(partial(_pack, path=tokenizer_path, longest=longest, end_id=end_id, memo=memo, keep_ids=keep_ids), schema)
+    pieces = source.mapInArrow(partial(_pack, path=tokenizer_path, ranks=ranks_path, pattern=pattern, longest=longest, end_id=end_id, keep_ids=keep_ids), schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
 
 
