@@ -13,7 +13,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from specdag.llm.packing import pack
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), longest=2048, keep_ids=False)
+    files = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), **files, longest=2048, keep_ids=False)
+
+
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.common import remainder
+    from specdag.llm.suffix_tree import score
+
+    return score(read(spark, sf_dir, "documents"), lambda i: remainder(i, 7) == 2)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +77,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
