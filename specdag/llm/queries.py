@@ -66,6 +66,13 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.near_dup import near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specdag.llm.common import remainder
     from specdag.llm.language import fit, identify
@@ -83,6 +90,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_gam": op8_quality_gam,
+    "op9_near_dup": op9_near_dup,
     "op10_language": op10_language,
 }
 
