@@ -103,7 +103,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequency
         )
 
 
-def _checked_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def checked_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join narrow ``right`` by broadcast while it is small, else by a shuffle."""
     return left.join(F.broadcast(right) if right.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else right, on, how)
 
@@ -152,7 +152,7 @@ def _verify(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int,
     members = hopeful.join(salts, "hub").select(F.col("member").alias("doc_id"), "hub", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"), "member")
     hubs = salts.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
     wanted = materialize(members.unionByName(hubs), "near-wanted")
-    texts = _checked_join(docs, wanted, "doc_id").select("hub", "salt", "member", "text")
+    texts = checked_join(docs, wanted, "doc_id").select("hub", "salt", "member", "text")
     full = texts.mapInArrow(partial(_full, width=width), "hub long, salt long, member long, found binary")
     near = full.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
     return materialize(near.mapInArrow(partial(_confirm, percent=percent), "a long, b long"), "near-links")

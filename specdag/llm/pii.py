@@ -140,6 +140,13 @@ def _scored(text: Column, spans: Column) -> Column:
     return F.filter(F.transform(spans, scored), lambda s: s["base"] | (s["score"] >= LEAST))
 
 
+def pii_spans(text: Column) -> Column:
+    """The spans of a text column without nulls: start, order, end, kind, score and base of each, by start and then kind."""
+    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double,base:boolean>>")
+    found = F.array_sort(F.concat(*(_spans(text, k, kind) for k, kind in enumerate(KINDS))))
+    return let(found, lambda spans: F.when(F.size(spans) == 0, none).otherwise(_scored(text, spans)))
+
+
 def find_pii(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """``doc_id`` and ``spans``: start, order, end, kind, score and base of each span, by start and then kind.
 
@@ -147,11 +154,8 @@ def find_pii(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     null, repeated rows are scanned each by itself, other columns of ``docs`` are ignored, an empty table gives no rows.
     A projection only: no shuffle.
     """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    raw = docs.select(F.col(id_column).alias("doc_id"), text.alias("_t"))
-    raw = raw.select("doc_id", "_t", F.array_sort(F.concat(*(_spans(F.col("_t"), k, kind) for k, kind in enumerate(KINDS)))).alias("_s"))
-    spans = F.when(F.size("_s") == 0, F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double,base:boolean>>")).otherwise(_scored(F.col("_t"), F.col("_s")))
-    return raw.select("doc_id", *([F.col("_t").alias("text")] if keep_text else []), spans.alias("spans"))
+    raw = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    return raw.select("doc_id", *(["text"] if keep_text else []), pii_spans(F.col("text")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -49,6 +49,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.decontamination import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specdag.llm.quality_rules import apply_policy, ledger, policy_mask
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_gam": op8_quality_gam,
     "op9_near_dup": op9_near_dup,
