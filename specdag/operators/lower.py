@@ -92,7 +92,7 @@ def join(left: DataFrame, step: S.Join, catalog: Catalog, named: dict[str, DataF
         return F.upper(c) if key.normalize == "upper" else c
 
     on = reduce(lambda a, b: a & b, (side(k.left.column(ls), k) == side(k.right.column(rs), k) for k in step.keys))
-    if step.small and right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SMALL:
+    if step.small and int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
         right = F.broadcast(right)
     return left.join(right, on, _HOW[step.how])
 

@@ -141,9 +141,8 @@ class Runner:
     def _sources(self, step: StepSpec) -> Result:
         tables = {t.alias: t for t in self.spec.tables}
         if step.sources == ("input",):
-            joined = {n for j in step.joins for n in (j.left, j.right)}
-            found = self._table(bind_table(step, tuple(t for t in self.spec.tables if not joined or t.alias in joined)))
-            name = bind_table(step, tuple(t for t in self.spec.tables if not joined or t.alias in joined)).alias
+            first = tables[step.joins[0].left] if step.joins and step.joins[0].left in tables else bind_table(step, self.spec.tables)
+            name, found = first.alias, self._table(first)
         else:
             name = step.sources[0]
             found = self.results[name] if name != "input" else self._table(bind_table(step, self.spec.tables))
