@@ -62,7 +62,7 @@ def _mod_97(match: Column) -> Column:
 
 def _ip_parts(match: Column) -> Column:
     """No part above 255; leading zeros and long parts are compared without overflow."""
-    return F.forall(F.split(match, r"\."), lambda p: let(F.ltrim(F.lit("0"), p), lambda q: (F.length(q) <= 3) & (F.coalesce(F.when(F.length(q).between(1, 3), q).cast("int"), F.lit(0)) <= 255)))
+    return F.forall(F.split(match, r"\."), lambda p: let(F.ltrim(p, F.lit("0")), lambda q: (F.length(q) <= 3) & (F.coalesce(F.when(F.length(q).between(1, 3), q).cast("int"), F.lit(0)) <= 255)))
 
 
 def _same(text: Column) -> Column:
