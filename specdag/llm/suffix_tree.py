@@ -267,8 +267,8 @@ def _texts(table: pa.Table) -> pa.Table:
             "held_out": pa.array(texts["held"], pa.bool_()),
             "words": pa.array(np.diff(ends)),
             "known": pa.array(np.bincount(owner, counts[codes] > 0, n).astype(np.int64)),
-            "base": pa.array(np.bincount(owner, np.log10(counts + 1)[codes], n)),
-            "model": pa.array(np.bincount(owner, costs[codes], n)),
+            "base": pa.array(np.bincount(owner, np.log10(counts + 1)[codes], n).astype(float)),
+            "model": pa.array(np.bincount(owner, costs[codes], n).astype(float)),
         }
     )
 
