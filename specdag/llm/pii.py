@@ -97,7 +97,7 @@ KINDS: tuple[Kind, ...] = (
         ("iban", "account", "bank", "konto", "cuenta", "compte"),
         base=False,
     ),
-    Kind("secret", r"(?i)(?:token|secret|password|passwd|api_?key|access_?key)[\x20\t]*[=:][\x20\t]*[\"']?[A-Za-z0-9_+/-]{16,}", lambda t: t.rlike("[=:]"), _same, lambda m: F.lit(True), 0.5, ("token", "secret", "password", "key"), base=False),
+    Kind("secret", r"(?i)(?:token|secret|password|passwd|api_?key|access_?key)[\x20\t]*[=:][\x20\t]*[\"']?[A-Za-z0-9_+/-]{16,}", lambda t: t.rlike("[=:]"), _same, lambda m: F.lit(True), 0.6, ("login", "auth", "user"), base=False),
 )
 #: How far context words are looked for, what one adds, and what a span that is no base one must reach.
 NEAR, BONUS, LEAST = 40, 0.2, 0.6
