@@ -83,7 +83,8 @@ def shard(docs: DataFrame, shards: int | None = None, *, capacity: int | None =
 
     Columns: ``doc_id``, ``size`` (UTF-8 bytes of the text, null: none, plus ``row_bytes``), ``text_crc32``, ``shard``,
     ``slot`` (gapless from 0 in the shard). Equal texts share a shard (null counts as empty), so a group larger than
-    an equal share makes its shard larger; with ``capacity`` it raises. Ties are taken by hash, so the shards do
+    an equal share makes its shard larger; with ``capacity`` it raises. With ``shards`` the driver gets ``shards * grain + bundles``
+    items at most; with ``capacity`` their number follows the number of shards. Ties are taken by hash, so the shards do
     not depend on the row order; fully repeated rows get slots in any order. Null ids are allowed, other columns are
     ignored, an empty table gives no rows.
     """
@@ -99,8 +100,10 @@ def shard(docs: DataFrame, shards: int | None = None, *, capacity: int | None =
     groups = materialize(groups, "shard-groups")
     total = groups.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     least = max(1, -(-total // (shards * grain))) if shards else max(1, capacity // grain)
-    big_most = shards * grain if shards else max(1, total // least)
-    big = [tuple(r) for r in groups.filter(F.col("bytes") >= least).select("_g", "_g2", "bytes").sort(F.desc("bytes"), "_g", "_g2").limit(big_most + 1).collect()]  # the bound is total // least
+    big_most = max(1, total // least)  # so many groups of that size can there be at most
+    if capacity:
+        bundles = max(bundles, 16 * -(-total // capacity))  # a bundle has to fit a shard with room to spare
+    big = [tuple(r) for r in groups.filter(F.col("bytes") >= least).select("_g", "_g2", "bytes").sort(F.desc("bytes"), "_g", "_g2").limit(big_most).collect()]
     small = [tuple(r) for r in groups.filter(F.col("bytes") < least).groupBy(F.pmod("_g2", F.lit(bundles)).cast("int").alias("k")).agg(F.sum("bytes").alias("b")).sort("k").collect()]
     sizes = [b for *_, b in big] + [b for _, b in small]
     bins = fit_into(sizes, shards)[0] if shards else best_fit_decreasing(sizes, capacity)[0]
