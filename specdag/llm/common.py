@@ -93,7 +93,8 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     full = pc.not_equal(flat, "")
     before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
     coded = flat.filter(full).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), before[ends]
+    # by way of numpy: some thirty times as fast as to_pylist()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False), before[ends]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], rows: int) -> DataFrame:
