@@ -13,6 +13,7 @@ are paired. A group of copies thus costs as many pairs as it has members, and no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -29,34 +30,51 @@ from specdag.llm.grams import mix
 SKETCH = 32
 #: The most ids that are broadcast, beyond which a shuffled join takes over, and pairs of one salted group.
 MOST_BROADCAST, GROUP = 1_000_000, 256
-#: Fixed value: words in this share of all documents count as frequent; the table of them is bounded by its inverse.
-SHARE, MOST_WORDS = 2e-4, 1 << 16
+#: Words that occur once in so many documents count as frequent, and the most that are told apart.
+SHARE, MOST_WORDS, MOST_SHINGLES = 2e-4, 1 << 16, 1 << 18
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each word, for words in two or more documents of a slice."""
+@dataclass(frozen=True)
+class Ranks:
+    """What the order of shingles goes by: how often words and frequent shingles occur."""
+
+    tokens: int
+    words: dict[str, int]
+    hashes: np.ndarray  # of frequent shingles, in order
+    counts: np.ndarray
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each word and shingle, for those that a slice has often enough, and of all words together."""
     for batch in text_slices(batches, "text", 16 << 20):
-        words, codes, offsets = words_of(batch.column("text"))
-        if not words:
-            continue
-        pairs = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(offsets)) * len(words) + codes)
-        n = np.bincount(pairs % len(words), minlength=len(words))
+        words, codes, _ = words_of(batch.column("text"))
+        n = np.bincount(codes, minlength=len(words))
         some = np.flatnonzero(n >= max(2, SHARE * batch.num_rows))
-        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(n[some])], ["word", "n"])
+        shingler = Shingler(batch.column("text"), width)
+        shingles, m = np.unique(np.concatenate([shingler.of(i)[0] for i in range(batch.num_rows)] or [np.zeros(0, np.uint64)]), return_counts=True)
+        often = m >= max(3, SHARE * batch.num_rows)
+        found = [words[i] for i in some]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([None] + found + [None] * int(often.sum()), pa.string()),
+                pa.array(np.concatenate((np.zeros(1 + len(found), np.int64), _signed(shingles[often])))),
+                pa.array(np.concatenate(([len(codes)], n[some], m[often])).astype(np.int64)),
+            ],
+            ["word", "shingle", "n"],
+        )
 
 
 class Shingler:
     """Sets of one batch of texts: ``of(i)`` gives text i's distinct shingle hashes in order and their rarity ranks."""
 
-    def __init__(self, texts: pa.Array, width: int, frequency: dict[str, int] | None = None):
+    def __init__(self, texts: pa.Array, width: int, ranks: Ranks | None = None):
         words, codes, self.offsets = words_of(texts)
-        self.width = width
+        self.width, self.ranks = width, ranks
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
         self.hashes = hashes[codes] if words else np.zeros(0, np.uint64)
-        self.ranks = None
-        if frequency is not None:
-            ranks = np.log2(np.fromiter((frequency.get(w, 0) for w in words), float, len(words)) + 0.5) if words else np.zeros(0)
-            self.ranks = np.round(8 * ranks).astype(np.int64)[codes] if words else np.zeros(0, np.int64)
+        if ranks is not None:
+            known = np.log2(np.fromiter((ranks.words.get(w, 0) for w in words), float, len(words)) + 0.5)
+            self.logs = known[codes] if words else np.zeros(0)
 
     def of(self, i: int) -> tuple[np.ndarray, np.ndarray | None]:
         a, b = int(self.offsets[i]), int(self.offsets[i + 1])
@@ -71,19 +89,22 @@ class Shingler:
         found, first = np.unique(h, return_index=True)
         if self.ranks is None:
             return found, None
-        rank = np.zeros(n, np.int64)
+        logs = np.full(n, -(width - 1) * np.log2(max(2, self.ranks.tokens)))
         for k in range(width):
-            rank += self.ranks[a + k : a + k + n]
-        return found, rank[first]
+            logs += self.logs[a + k : a + k + n]
+        by_chance = np.exp2(np.minimum(logs[first], 60)) + 0.5  # occurrences if words met at random
+        at = np.minimum(np.searchsorted(self.ranks.hashes, found), len(self.ranks.hashes) - 1)
+        counted = np.where(self.ranks.hashes[at] == found, self.ranks.counts[at], 0) if len(self.ranks.hashes) else 0
+        return found, np.round(4 * np.log2(np.maximum(by_chance, counted))).astype(np.int64)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequency: object) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: object) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
-        shingler = Shingler(batch.column("text"), width, frequency.value)
+        shingler = Shingler(batch.column("text"), width, ranks.value)
         sizes, first, second, retained, sketches = [], [], [], [], []
         for i in range(batch.num_rows):
             found, rank = shingler.of(i)
@@ -170,14 +191,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     total = source.count()
-    common = source.mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARE * total).orderBy(F.desc("n"), "word").limit(MOST_WORDS)
-    frequency = spark.sparkContext.broadcast({r["word"]: r["n"] for r in common.collect()})
+    counted = materialize(source.mapInArrow(partial(_frequent, width=width), "word string, shingle long, n long").groupBy("word", "shingle").agg(F.sum("n").alias("n")), "near-counts")
+    often = counted.filter(F.col("n") >= SHARE * total)
+    common = often.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    tokens = counted.filter("word IS NULL AND shingle = 0").agg(F.sum("n")).first()[0] or 0
+    repeated = often.filter("word IS NULL AND shingle <> 0").orderBy(F.desc("n"), "shingle").limit(MOST_SHINGLES).select("shingle", "n").toArrow()
+    hashes = repeated.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    ranks = spark.sparkContext.broadcast(Ranks(tokens, {r["word"]: r["n"] for r in common}, hashes[order], repeated.column("n").to_numpy()[order]))
     schema = "doc_id long, n long, f1 long, f2 long, retained array<long>, sketch array<long>"
-    sets = materialize(source.mapInArrow(partial(_sets, width=width, percent=percent, frequency=frequency), schema), "near-sets")
+    sets = materialize(source.mapInArrow(partial(_sets, width=width, percent=percent, ranks=ranks), schema), "near-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch"))
-    entries = classes.select("rep", F.explode("retained").alias("value"))
-    lists = materialize(entries.withColumn("size", F.count("*").over(Window.partitionBy("value"))).filter("size > 1"), "near-lists")
+    entries = classes.select("rep", "n", F.posexplode("retained").alias("place", "value"))
+    entries = entries.select("value", "rep", (F.shiftleft("n", 32) + F.col("place")).alias("n_place"))
+    sized = entries.withColumn("size", F.count("*").over(Window.partitionBy("value"))).filter("size > 1")
+    lists = materialize(sized.select("value", "rep", "size", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place")), "near-lists")
     reps = materialize(known.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-sketches")
     source = source.filter(F.col("doc_id").isNotNull())
 
@@ -187,12 +216,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     links = _verify(source, reps, stars, width, percent)
 
     tied = components(links)
-    placed = lists.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = lists.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
     open_lists = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
     rest = materialize(placed.join(open_lists, "value", "left_semi"), "near-open")
-    other = rest.select("value", F.col("rep").alias("member"), F.col("component").alias("other"))
+    other = rest.select("value", F.col("rep").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("place").alias("place_other"))
+    # at the first value that two sets share, what is left of both, it included, must still hold the least overlap
+    shared = (F.col("n") + F.col("n_other")) * percent
+    possible = (F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) * (100 + percent) >= shared) & (F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
     done = stars.unionByName(stars.select(F.col("member").alias("hub"), F.col("hub").alias("member")))
-    crossing = rest.withColumnRenamed("rep", "hub").join(other, "value").filter("component <> other AND hub < member").select("hub", "member").distinct().join(done, ["hub", "member"], "left_anti")
+    crossing = rest.withColumnRenamed("rep", "hub").join(other, "value").filter((F.col("component") != F.col("other")) & (F.col("hub") < F.col("member")) & possible).select("hub", "member").distinct().join(done, ["hub", "member"], "left_anti")
     more = _verify(source, reps, crossing, width, percent)
     tied = components(links.unionByName(more))
 
