@@ -42,15 +42,15 @@ class Relation:
 def complete_groups(df: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """Rows of whole key groups, smallest first, while their sum stays within the budget.
 
-    Group sizes are added up over counts of equal-sized groups, of which there are few, then within the last size by key."""
+    Group sizes are added up over their distinct values, of which there are few. At most one size fits in part; of its
+    groups the first by key are taken, so no task gets more than the groups that are kept."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     sizes = counts.groupBy("_n").agg(F.count("*").alias("_groups"))
     before = F.coalesce(F.sum(F.col("_n") * F.col("_groups")).over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = sizes.withColumn("_before", before).withColumn("_fit", F.floor((F.lit(budget) - F.col("_before")) / F.col("_n"))).filter("_fit > 0")
-    picked = counts.join(F.broadcast(room.select("_n", "_groups", "_fit")), "_n")
-    whole, part = picked.filter("_fit >= _groups"), picked.filter("_fit < _groups")
-    part = part.withColumn("_k", F.row_number().over(Window.partitionBy("_n").orderBy(*keys))).filter("_k <= _fit").drop("_k")
-    chosen = whole.unionByName(part).select(*keys)
+    chosen = counts.join(F.broadcast(room.filter("_fit >= _groups").select("_n")), "_n").select(*keys)
+    if part := room.filter("_fit < _groups").first():
+        chosen = chosen.unionByName(counts.filter(F.col("_n") == part["_n"]).orderBy(*keys).limit(part["_fit"]).select(*keys))
     return df.join(chosen, keys, "left_semi")
 
 
