@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,8 +71,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of a piece stay near ``most_bytes``: bounded memory whatever their lengths."""
+def release() -> None:
+    """Give memory that this process has freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the texts of a piece stay near ``most_bytes``: bounded memory whatever their lengths.
+
+    When a partition ends, what the worker has freed goes back to the system: workers are used again by later stages."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = size = 0
@@ -80,6 +93,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
             size += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    release()
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

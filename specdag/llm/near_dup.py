@@ -46,7 +46,7 @@ class Ranks:
 
 def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Occurrences of each word and shingle, for those that a slice has often enough, and of all words together."""
-    for batch in text_slices(batches, "text", 16 << 20):
+    for batch in text_slices(batches, "text", 8 << 20):
         words, codes, _ = words_of(batch.column("text"))
         n = np.bincount(codes, minlength=len(words))
         some = np.flatnonzero(n >= max(2, SHARE * batch.num_rows))

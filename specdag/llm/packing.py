@@ -13,7 +13,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.fast = None
+        self.path, self.fast = path, None
         if ranks:
             import tiktoken
 
@@ -51,6 +46,16 @@ class Encoder:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def tokenizer(self) -> object:
+        """Loaded when the first text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        return found
+
     @classmethod
     def of(cls, path: str, ranks: str | None = None, pattern: str | None = None) -> Encoder:
         if (path, ranks) not in _encoders:

@@ -105,7 +105,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, contexts: Contexts)
         + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("codes", pa.binary()), ("ends", pa.binary())]
     )
     partition, many = TaskContext.get().partitionId(), len(contexts.number)
-    for number, batch in enumerate(text_slices(batches, "text", 12 << 20)):
+    for number, batch in enumerate(text_slices(batches, "text", 8 << 20)):
         block = partition << 33 | number
         words, codes, offsets = words_of(batch.column("text"))
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
