@@ -71,6 +71,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more; else they stay until the driver is short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Give memory that this process has freed back to the system, where the C library can."""
     gc.collect()

@@ -1,8 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 A text is a sequence of words and one end. The next word's distribution depends on the longest kept ending, letter by
-letter, of the word before it, down to that whole word with its start. An ending is tried as a context if it is frequent
-enough, kept if its distribution diverges enough from its longest kept suffix', and smoothed towards that suffix'.
+letter, of the word before it, down to that whole word with its start. Every ending that training texts have often enough to
+tell, a fixed number of times, is tried as a context; it is kept if its distribution diverges enough from its longest kept suffix', and smoothed towards that suffix'.
 Scores come from the longest suffix states. Words that training texts lack share the mass of the words seen once, evenly over
 as many unseen words as the words seen once and twice let expect.
 
@@ -26,9 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specdag.llm.common import ascii_lower, materialize, text_slices, words_of
+from specdag.llm.common import ascii_lower, drop_shuffles, materialize, text_slices, words_of
+from specdag.llm.grams import mix
 
-MOST_ENDING = 4  # letters of the word before, its start mark included
+#: How often training texts must have an ending for it to be tried, and pairs that are expanded at a time.
+LEAST, AT_ONCE = 100, 1 << 18
 _BLOCKS = "block long, bucket int, words binary, size int, runs binary, contexts binary, counts binary, ids array<long>, held array<boolean>, codes binary, ends binary"
 
 
@@ -40,63 +42,140 @@ def _unpack(blob: bytes | None, size: int, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if size else np.zeros(0, kind)
 
 
-def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often training texts have a word with each ending."""
-    for batch in text_slices(batches, "text"):
+class Letters:
+    """Words from behind: hashes of their endings, letter by letter, a newline for the start of a word being the last letter."""
+
+    def __init__(self, words: list[str]):
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.letters = np.frombuffer(("\n" + "\n".join(words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.ends = np.cumsum(self.lengths + 1) - 1
+
+    def longer(self, some: np.ndarray, before: np.ndarray, depth: int) -> np.ndarray:
+        """Of the endings of words ``some`` with one letter more than ``depth``, given the hashes of those with ``depth``."""
+        with np.errstate(over="ignore"):
+            return mix(before * np.uint64(0x9E3779B97F4A7C15) + self.letters[self.ends[some] - depth] + np.uint64(1))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often training texts have each word."""
+    for batch in text_slices(batches, "text", 16 << 20):
         words, codes, offsets = words_of(batch.column("text"))
         held = np.array(batch.column("held").to_pylist(), bool)
-        n = np.bincount(codes[~np.repeat(held, np.diff(offsets))], minlength=len(words)).tolist()
-        sums: dict[str, int] = {}
-        for word, k in zip(words, n, strict=True):
-            if k:
-                marked = "\n" + word if len(word) < MOST_ENDING else word[-MOST_ENDING:]
-                for i in range(1, len(marked) + 1):
-                    sums[marked[-i:]] = sums.get(marked[-i:], 0) + k
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["ending", "n"])
+        n = np.bincount(codes[~np.repeat(held, np.diff(offsets))], minlength=len(words))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(n[some].astype(np.int64))], ["word", "n"])
+
+
+def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every ending of every word: its hash, the next shorter one's, how many letters that has, and how often."""
+    for batch in text_slices(batches, "word"):
+        words, n = Letters(batch.column("word").to_pylist()), batch.column("n").to_numpy()
+        some, before, depth, parts = np.arange(len(n)), np.zeros(len(n), np.uint64), 0, []
+        while len(some):
+            own = words.longer(some, before, depth)
+            found, first, place = np.unique(own, return_index=True, return_inverse=True)
+            parts.append((found.view(np.int64), before[first].view(np.int64), np.full(len(found), depth), np.bincount(place, n[some]).astype(np.int64)))
+            depth += 1
+            more = words.lengths[some] >= depth
+            some, before = some[more], own[more]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["ending", "before", "depth", "n"])
 
 
 @dataclass
 class Contexts:
-    """Endings to try, number 0 being none. ``paths[c]`` are the numbers from the shortest ending of c to c itself, with -1
-    behind; a newline stands for a word's start."""
+    """Endings to try, number 0 being none. ``hashes`` are sorted, ``own`` has the number of each, ``above[c]`` is that of the
+    next shorter one and ``depth[c]`` how many there are down to c. An ending that is as frequent as the next shorter one
+    has the same occurrences and therefore its number."""
+
+    hashes: np.ndarray
+    own: np.ndarray
+    above: np.ndarray
+    depth: np.ndarray
 
-    number: dict[str, int]
-    paths: np.ndarray
+    @classmethod
+    def build(cls, hashes: np.ndarray, before: np.ndarray, letters: np.ndarray, n: np.ndarray) -> Contexts:
+        order = np.argsort(hashes)
+        hashes, before, letters, n = hashes[order], before[order], letters[order], n[order]
+        own, above, depth, many = np.zeros(len(hashes), np.int64), [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 1
+        by = np.lexsort((hashes, letters))
+        edges = np.searchsorted(letters[by], np.arange(int(letters.max()) + 2)) if len(by) else np.zeros(1, np.int64)
+        known = np.zeros(len(hashes), np.int64)
+        for d in range(len(edges) - 1):
+            at = by[edges[d] : edges[d + 1]]
+            up = np.searchsorted(hashes, before[at]) if d else at
+            fresh = (n[at] < n[up]) | (d == 0)
+            own[at] = np.where(fresh, 0, own[up])
+            own[at[fresh]] = np.arange(many, many + int(fresh.sum()))
+            above.append(own[up[fresh]] if d else np.zeros(int(fresh.sum()), np.int64))
+            known[at] = known[up] + fresh if d else 1
+            depth.append(known[at[fresh]])
+            many += int(fresh.sum())
+        return cls(hashes, own, np.concatenate(above), np.concatenate(depth))
 
     @classmethod
     def of(cls, endings: list[str]) -> Contexts:
-        number = {"": 0} | {e: k for k, e in enumerate(sorted(endings, key=lambda e: (len(e), e)), 1)}
-        paths = np.full((len(number), MOST_ENDING), -1, np.int64)
-        for e, k in number.items():
-            for i in range(1, len(e) + 1):
-                paths[k, i - 1] = number[e[-i:]]
-        return cls(number, paths)
+        """Of endings whose endings are among them."""
+        rows = []
+        for e in endings:
+            words, before = Letters([e.removeprefix("\n")]), np.zeros(1, np.uint64)
+            for depth in range(len(e)):
+                before, shorter = words.longer(np.zeros(1, np.int64), before, depth), before
+            rows.append((before[0], shorter[0], len(e) - 1, -len(e)))
+        return cls.build(*(np.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (np.uint64, np.uint64, np.int64, np.int64), strict=True)))
+
+    @property
+    def size(self) -> int:
+        return len(self.above)
+
+    @property
+    def paths(self) -> np.ndarray:
+        """The numbers from the shortest ending of each context to itself, with -1 behind."""
+        out = np.full((self.size, int(self.depth.max())), -1, np.int64)
+        for c in range(1, self.size):
+            out[c] = out[self.above[c]]
+            out[c, self.depth[c] - 1] = c
+        return out
 
     def after(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.int64)
-        get = self.number.get
-        for k, word in enumerate(words):
-            marked = "\n" + word if len(word) < MOST_ENDING else word[-MOST_ENDING:]
-            for i in range(1, len(marked) + 1):
-                found = get(marked[-i:])
-                if found is None:
-                    break
-                out[k] = found
+        letters, some, before, depth = Letters(words), np.arange(len(words)), np.zeros(len(words), np.uint64), 0
+        while len(some) and len(self.hashes):
+            found = letters.longer(some, before, depth)
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            hit = self.hashes[at] == found
+            out[some[hit]] = self.own[at[hit]]
+            depth += 1
+            hit &= letters.lengths[some] >= depth
+            some, before = some[hit], found[hit]
         return out
 
     def every(self, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys (word * contexts + context) and counts of all pairs, each context's with those of longer ones."""
-        size = len(self.number)
-        keys, counts = [word * size], [n]
-        for d in range(MOST_ENDING):
-            at = self.paths[context, d]
-            keys.append((word * size + at)[at > 0])
-            counts.append(n[at > 0])
-        found, place = np.unique(np.concatenate(keys), return_inverse=True)
-        return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, contexts: Contexts) -> Iterator[pa.RecordBatch]:
+        keys, counts = [word * self.size], [n]
+        while len(word):
+            some = context > 0
+            word, context, n = word[some], context[some], n[some]
+            keys.append(word * self.size + context)
+            counts.append(n)
+            context = self.above[context]
+        found, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(found)
+        found, n = found[order], n[order]
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        return found[first], np.add.reduceat(n, first).astype(np.int64) if len(first) else n
+
+
+def _by_words(pairs: np.ndarray, many: int) -> Iterator[slice]:
+    """Cut sorted pairs into stretches of whole words, so that expanding them takes bounded memory."""
+    start = 0
+    while start < len(pairs):
+        past = min(start + AT_ONCE, len(pairs))
+        past = int(np.searchsorted(pairs, (pairs[past - 1] // many + 1) * many))
+        yield slice(start, past)
+        start = past
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, shared: object) -> Iterator[pa.RecordBatch]:
     """For each block of texts a row with the pairs of context and word that they go through, as codes, and a row for each
     bucket with its distinct words, one a line, the contexts of each, and how often training texts have each pair.
     Codes go by bucket and word, so a bucket's answers fill one stretch of them."""
@@ -104,7 +183,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, contexts: Contexts)
         [("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("size", pa.int32()), ("runs", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())]
         + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("codes", pa.binary()), ("ends", pa.binary())]
     )
-    partition, many = TaskContext.get().partitionId(), len(contexts.number)
+    contexts = shared.value
+    partition, many = TaskContext.get().partitionId(), contexts.size
     for number, batch in enumerate(text_slices(batches, "text", 8 << 20)):
         block = partition << 33 | number
         words, codes, offsets = words_of(batch.column("text"))
@@ -131,7 +211,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, contexts: Contexts)
         for b in np.flatnonzero(np.diff(edges)):
             i, j = edges[b], edges[b + 1]
             own = slice(starts[i], starts[j])
-            put(bucket=int(b), words=pa.compress(w := b"\n".join(raw[x] for x in order[i:j]), "zstd", asbytes=True), size=len(w), runs=_pack(runs[i:j]), contexts=_pack((pairs[own] % many).astype("<u2")), counts=_pack(counts[own]))
+            put(bucket=int(b), words=pa.compress(w := b"\n".join(raw[x] for x in order[i:j]), "zstd", asbytes=True), size=len(w), runs=_pack(runs[i:j]), contexts=_pack((pairs[own] % many).astype("<u4")), counts=_pack(counts[own]))
         put(bucket=-1, ids=batch.column("doc_id").to_pylist(), held=held.tolist(), codes=_pack(codes.astype("<i4")), ends=_pack(offsets.astype("<i8")))
         yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -140,18 +220,23 @@ def _reduce(table: pa.Table, contexts: Contexts) -> pa.Table:
     """One row for a bucket: its distinct words with their counts, its pairs of word and context with theirs, and for each
     block where its pairs are among them; of each context its count and its distinct words."""
     known: dict[bytes, int] = {}
-    many, parts, sums = len(contexts.number), [], []
+    many, parts, sums = contexts.size, [], []
     for words, size, runs, before, counts in zip(*(table.column(c).to_pylist() for c in ("words", "size", "runs", "contexts", "counts")), strict=True):
         own = pa.decompress(words, size, "zstd", asbytes=True).split(b"\n")
         refs = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own))
         runs = _unpack(runs, len(own), "<i4")
         total = int(runs.sum())
-        parts.append(np.repeat(refs, runs) * many + _unpack(before, total, "<u2"))
+        parts.append(np.repeat(refs, runs) * many + _unpack(before, total, "<u4"))
         sums.append(_unpack(counts, total, "<i4"))
     pairs, place = np.unique(np.concatenate(parts), return_inverse=True)
     n = np.bincount(place, np.concatenate(sums), len(pairs)).astype("<i8")
-    keys, every = contexts.every(pairs // many, pairs % many, n)
-    context = (keys % many)[every > 0]
+    context_counts, context_words = np.zeros((2, many), np.int64)
+    for part in _by_words(pairs, many):
+        keys, every = contexts.every(pairs[part] // many, pairs[part] % many, n[part])
+        context = (keys % many)[every > 0]
+        context_counts += np.bincount(context, every[every > 0], many).astype(np.int64)
+        context_words += np.bincount(context, minlength=many)
+    some = np.flatnonzero(context_words)
     word_counts = np.bincount(pairs // many, n, len(known)).astype("<i8")
     return pa.table(
         {
@@ -163,8 +248,9 @@ def _reduce(table: pa.Table, contexts: Contexts) -> pa.Table:
             "pairs": pa.array([len(pairs)], pa.int64()),
             "pair_keys": pa.array([_pack(pairs.astype("<i8"))], pa.binary()),
             "pair_counts": pa.array([_pack(n)], pa.binary()),
-            "context_counts": pa.array([np.bincount(context, every[every > 0], many).astype(np.int64)], pa.list_(pa.int64())),
-            "context_words": pa.array([np.bincount(context, minlength=many)], pa.list_(pa.int64())),
+            "some": pa.array([some], pa.list_(pa.int64())),
+            "context_counts": pa.array([context_counts[some]], pa.list_(pa.int64())),
+            "context_words": pa.array([context_words[some]], pa.list_(pa.int64())),
             "once": pa.array([int((word_counts == 1).sum())], pa.int64()),
             "twice": pa.array([int((word_counts == 2).sum())], pa.int64()),
             "blocks": pa.array([table.column("block").to_pylist()], pa.list_(pa.int64())),
@@ -178,23 +264,27 @@ def _reduce(table: pa.Table, contexts: Contexts) -> pa.Table:
 WEIGHTS = (0.25, 0.5, 1.0, 2.0, 4.0)
 
 
-def _gains(batches: Iterator[pa.RecordBatch], contexts: Contexts, counts: np.ndarray, distinct: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _gains(batches: Iterator[pa.RecordBatch], shared: object, figures: object) -> Iterator[pa.RecordBatch]:
     """What each context would add to the log likelihood over the next shorter one, under each weight of smoothing.
 
     It is the divergence of the two distributions with every occurrence judged by the others only: without that, rare
     words make any context look informative."""
-    many = len(counts)
-    depth = (contexts.paths >= 0).sum(1)
-    above = np.where(depth > 1, contexts.paths[np.arange(many), np.maximum(depth - 2, 0)], 0)
+    contexts, (counts, distinct) = shared.value, figures.value
+    many, above = contexts.size, contexts.above
     for batch in batches:
         for size, keys, n in zip(batch.column("pairs").to_pylist(), batch.column("pair_keys"), batch.column("pair_counts"), strict=True):
-            pairs = _unpack(keys.as_py(), size, "<i8")
-            keys, every = contexts.every(pairs // many, pairs % many, _unpack(n.as_py(), size, "<i8"))
-            keys, every = keys[every > 0], every[every > 0]
-            c = keys % many
-            q = np.maximum(every[np.searchsorted(keys, keys - c + above[c])] - 1, 0.5) / counts[above[c]]
-            sums = [np.bincount(c, every * (np.log((every - 1 + w * distinct[c] * q) / (counts[c] - 1 + w * distinct[c])) - np.log(q)), many) for w in WEIGHTS]
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(many), len(WEIGHTS))), pa.array(np.repeat(np.arange(len(WEIGHTS)), many)), pa.array(np.concatenate(sums))], ["context", "weight", "gain"])
+            pairs, n = _unpack(keys.as_py(), size, "<i8"), _unpack(n.as_py(), size, "<i8")
+            sums = np.zeros((len(WEIGHTS), many))
+            for part in _by_words(pairs, many):
+                keys, every = contexts.every(pairs[part] // many, pairs[part] % many, n[part])
+                keys, every = keys[every > 0], every[every > 0]
+                c = keys % many
+                q = np.maximum(every[np.searchsorted(keys, keys - c + above[c])] - 1, 0.5) / counts[above[c]]
+                d, less, total, alone = distinct[c], every - 1, counts[c] - 1, np.log(q)
+                for k, w in enumerate(WEIGHTS):
+                    sums[k] += np.bincount(c, every * (np.log((less + w * d * q) / (total + w * d)) - alone), many)
+            some = np.flatnonzero(sums.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], ["context", *(f"g{k}" for k in range(len(WEIGHTS)))])
 
 
 @dataclass
@@ -210,22 +300,23 @@ class WordTree:
 
     def score(self, word_counts: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 probability of each pair's word after its context."""
-        root = np.log10(np.where(word_counts > 0, word_counts, self.weights[0] / self.unseen)) - np.log10(self.counts[0] + self.weights[0])
+        many, above, depth = self.contexts.size, self.contexts.above, self.contexts.depth
         keys, every = self.contexts.every(word, context, n)
-        many = len(self.contexts.number)
-        log = root[word]
-        for d in range(MOST_ENDING):
-            at = self.contexts.paths[context, d]
-            some = np.flatnonzero((at > 0) & self.kept[at])
-            c = at[some]
-            own = every[np.searchsorted(keys, word[some] * many + c)]
-            weight = self.weights[c]
-            below = log[some] + np.log10(weight / (self.counts[c] + weight))
+        c, seen = keys % many, word_counts[keys // many]
+        log = np.log10(np.where(seen > 0, seen, self.weights[0] / self.unseen)) - np.log10(self.counts[0] + self.weights[0])
+        order = np.argsort(depth[c], kind="stable")
+        edges = np.searchsorted(depth[c][order], np.arange(1, int(depth.max()) + 2))
+        for i, j in zip(edges, edges[1:], strict=False):
+            at = order[i:j]
+            log[at] = log[np.searchsorted(keys, keys[at] - c[at] + above[c[at]])]
+            at = at[self.kept[c[at]]]
+            weight, total = self.weights[c[at]], self.counts[c[at]] + self.weights[c[at]]
+            below = log[at] + np.log10(weight / total)
             with np.errstate(divide="ignore"):
-                seen = np.log10(own / (self.counts[c] + weight))
-            high = np.maximum(below, seen)
-            log[some] = high + np.log10(10 ** (below - high) + 10 ** (seen - high))
-        return log
+                own = np.log10(every[at] / total)
+            high = np.maximum(below, own)
+            log[at] = high + np.log10(10 ** (below - high) + 10 ** (own - high))
+        return log[np.searchsorted(keys, word * many + context)]
 
 
 def _answers(batches: Iterator[pa.RecordBatch], tree: object) -> Iterator[pa.RecordBatch]:
@@ -233,10 +324,12 @@ def _answers(batches: Iterator[pa.RecordBatch], tree: object) -> Iterator[pa.Rec
         for row, words in enumerate(batch.column("size").to_pylist()):
             counts = _unpack(batch.column("counts")[row].as_py(), words, "<i8")
             size = batch.column("pairs")[row].as_py()
-            many = len(tree.value.contexts.number)
+            many = tree.value.contexts.size
             pairs, n = _unpack(batch.column("pair_keys")[row].as_py(), size, "<i8"), _unpack(batch.column("pair_counts")[row].as_py(), size, "<i8")
             word = pairs // many
-            costs = tree.value.score(counts, word, pairs % many, n).astype("<f4")
+            costs = np.zeros(size, "<f4")
+            for part in _by_words(pairs, many):
+                costs[part] = tree.value.score(counts, word[part], pairs[part] % many, n[part])
             seen = counts[word]
             blocks, sizes = batch.column("blocks")[row].as_py(), batch.column("sizes")[row].as_py()
             refs, at = _unpack(batch.column("refs")[row].as_py(), sum(sizes), "<i4"), 0
@@ -273,50 +366,56 @@ def _texts(table: pa.Table) -> pa.Table:
     )
 
 
-def score(docs: DataFrame, held_out: Callable[[Column], Column], *, ending_share: float = 0.004, strength: float = 0.0, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Callable[[Column], Column], *, least: int = LEAST, ending_share: float = 0.0, strength: float = 0.0, buckets: int | None = None) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out and score every row.
 
     Columns: ``doc_id``, ``held_out``, ``n_tokens`` (words and the end), ``n_known`` (those that training texts have),
     ``train_tokens``, ``base_score`` (log10 under add-one word counts) and ``score`` (log10 under the tree). A-Z are lower-cased; words
     are runs without the space and U+0009 to U+000D. Null and empty texts are one end. A null id counts as training. Repeated
     rows count each; other columns are ignored; an empty table gives no rows; without training texts all words are unseen.
-    An ending is tried if ``ending_share`` of all training words have it, so the tree's size is bounded by that, not by the
-    corpus; it is kept if it gains more than ``strength`` nats for each of its distinct words.
+    Every ending of the word before, up to the whole word, is tried if training texts have it ``least`` times (and, if that is
+    given, ``ending_share`` of all training words), so the tree grows with the corpus; it is kept if it gains more than ``strength`` nats for each of its distinct words.
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    endings = source.mapInArrow(_endings, "ending string, n long").groupBy("ending").agg(F.sum("n").alias("n"))
-    tried = endings.filter(F.col("ending") != "\n").orderBy(F.desc("n")).limit(int(2 * MOST_ENDING / ending_share))
-    top = [(r["ending"], r["n"]) for r in tried.collect()]
-    total = sum(n for e, n in top if len(e) == 1)  # every word has one ending of one letter
-    contexts = Contexts.of([e for e, n in top if n >= ending_share * total])
-    blocks = materialize(source.mapInArrow(partial(_blocks, buckets=buckets, contexts=contexts), _BLOCKS), "pst-blocks")
+    counted = materialize(source.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "pst-vocabulary")
+    if ending_share:
+        least = max(least, ending_share * (counted.agg(F.sum("n")).first()[0] or 0))
+    endings = counted.mapInArrow(_endings, "ending long, before long, depth long, n long").groupBy("ending").agg(F.first("before").alias("before"), F.first("depth").alias("depth"), F.sum("n").alias("n"))
+    tried = endings.filter(F.col("n") >= F.lit(least)).toArrow()
+    contexts = Contexts.build(*(tried.column(c).to_numpy().view(kind) for c, kind in (("ending", np.uint64), ("before", np.uint64), ("depth", np.int64), ("n", np.int64))))
+    shared = spark.sparkContext.broadcast(contexts)
+    drop_shuffles(spark)
+    blocks = materialize(source.mapInArrow(partial(_blocks, buckets=buckets, shared=shared), _BLOCKS), "pst-blocks")
     words = materialize(
         blocks.filter("bucket >= 0")
         .select("block", "bucket", "words", "size", "runs", "contexts", "counts")
         .repartition(buckets, "bucket")
         .groupBy("bucket")
         .applyInArrow(
-            lambda table: _reduce(table, contexts),
+            lambda table: _reduce(table, shared.value),
             "bucket int, size long, counts binary, tokens long, distinct long, pairs long, pair_keys binary, pair_counts binary,"
-            "context_counts array<long>, context_words array<long>, once long, twice long, blocks array<long>, sizes array<long>, refs binary",
+            "some array<long>, context_counts array<long>, context_words array<long>, once long, twice long, blocks array<long>, sizes array<long>, refs binary",
         ),
         "pst-words",
     )
+    drop_shuffles(spark)
     of_words = [x or 0 for x in words.agg(*(F.sum(c) for c in ("tokens", "distinct", "once", "twice"))).first()]
     training = blocks.filter("bucket < 0").agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     tokens, distinct = of_words[0] + training, of_words[1] + (training > 0)
     once, twice = max(1, of_words[2]), max(1, of_words[3])
-    figures = np.zeros((2, len(contexts.number)))
-    by_context = words.select(F.posexplode(F.arrays_zip("context_counts", "context_words")).alias("c", "x")).groupBy("c")
-    for r in by_context.agg(F.sum("x.context_counts"), F.sum("x.context_words")).collect():
-        figures[:, r["c"]] = r[1:]
-    gains = np.zeros((len(contexts.number), len(WEIGHTS)))
-    told = words.select("pairs", "pair_keys", "pair_counts").mapInArrow(partial(_gains, contexts=contexts, counts=figures[0], distinct=figures[1]), "context long, weight long, gain double")
-    for r in told.groupBy("context", "weight").agg(F.sum("gain").alias("gain")).collect():
-        gains[r["context"], r["weight"]] = r["gain"]
+    figures = np.zeros((2, contexts.size))
+    by_context = words.select(F.explode(F.arrays_zip("some", "context_counts", "context_words")).alias("x")).groupBy("x.some")
+    table = by_context.agg(F.sum("x.context_counts").alias("n"), F.sum("x.context_words").alias("words")).toArrow()
+    figures[:, table.column("some").to_numpy()] = table.column("n").to_numpy(), table.column("words").to_numpy()
+    names = [f"g{k}" for k in range(len(WEIGHTS))]
+    told = words.select("pairs", "pair_keys", "pair_counts").mapInArrow(partial(_gains, shared=shared, figures=spark.sparkContext.broadcast(figures)), ", ".join(["context long", *(f"{g} double" for g in names)]))
+    table = told.groupBy("context").agg(*(F.sum(g).alias(g) for g in names)).toArrow()
+    gains = np.zeros((contexts.size, len(WEIGHTS)))
+    gains[table.column("context").to_numpy()] = np.column_stack([table.column(g).to_numpy() for g in names])
+    drop_shuffles(spark)
     weights = figures[1] * np.array(WEIGHTS)[gains.argmax(1)]
     weights[0] = once
     kept = (gains.max(1) > strength * figures[1]) & (np.arange(len(gains)) > 0)

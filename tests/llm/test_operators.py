@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,6 +342,30 @@ def test_suffix_tree_base_and_gain(spark):
     assert gain > 0
 
 
+def test_suffix_tree_tries_rare_whole_words(spark):
+    r = random.Random(13)
+    pairs = [(f"{a}{b}{c}ation", f"{c}{b}{a}ously") for a in "bcdfgh" for b in "aeiou" for c in "klmnprst"]
+    texts = [" ".join(w for _ in range(30) for w in r.choice(pairs)) for _ in range(1400)]
+    rows = suffix_tree.score(frame(spark, texts), lambda i: remainder(i, 7) == 2).filter("held_out").collect()
+    # each word is one of 480, a share of 0.002; what follows is told by whole words only
+    assert sum(x["score"] for x in rows) / sum(x["n_tokens"] for x in rows) > -1.5
+
+
+def test_contexts_equal_plain_counts():
+    words = [w * 60 for w in ("a", "ba")] + ["xation", "yation", "a", "日本"]
+    n = [3, 150, 120, 99, 7, 100]
+    batch = [b for b in suffix_tree._endings(iter([pa.RecordBatch.from_pydict({"word": words, "n": n})]))]
+    table = pa.Table.from_batches(batch).filter(pc.field("n") >= 100)
+    contexts = suffix_tree.Contexts.build(*(table.column(c).to_numpy().view(k) for c, k in (("ending", np.uint64), ("before", np.uint64), ("depth", np.int64), ("n", np.int64))))
+    plain = collections.Counter("".join(["\n", *w])[-i:] for w, k in zip(words, n, strict=True) for i in range(1, len(w) + 2) for _ in range(k))
+    want = {}
+    for e in (e for e, k in plain.items() if k >= 100):  # endings of one count along a chain are one context
+        want.setdefault((next(e[-i:] for i in range(1, len(e) + 1) if plain[e[-i:]] == plain[e])), []).append(e)
+    assert contexts.size == len(want) + 1
+    got = contexts.after(words)
+    assert (got > 0).all() and got[2] != got[3] and contexts.depth[got[2]] > contexts.depth[got[3]] and contexts.depth[got[4]] == 1
+
+
 def test_suffix_tree_probabilities_sum_to_one():
     contexts = suffix_tree.Contexts.of(["a", "ba", "\nba"])
     assert contexts.after(["ba", "cba", "xa", "q", ""]).tolist() == [3, 2, 1, 0, 0]
