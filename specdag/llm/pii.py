@@ -33,6 +33,7 @@ class Kind:
     score: float
     context: tuple[str, ...]
     base: bool = True
+    ends: Callable[[Column], Column] | None = None  # of the text from a match on: the span's length, 0 if there is none
 
 
 def _digits(match: Column) -> Column:
@@ -60,6 +61,29 @@ def _mod_97(match: Column) -> Column:
     return let(F.replace(match, F.lit(" "), F.lit("")), lambda d: F.length(d).between(15, 34) & (F.aggregate(F.split(F.concat(F.substring(d, 5, 40), F.substring(d, 1, 4)), ""), F.lit(0), step) == 1))
 
 
+#: How long the account numbers of countries are.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD MN PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(rest: Column) -> Column:
+    """The length of the account number that a text begins with: of the candidate's endings before another character than
+    A-Z and 0-9 that pass, the one that has its country's length, else the longest."""
+    lengths = F.create_map(*(F.lit(x) for n, of in _LENGTHS.items() for country in of.split() for x in (country, n)))
+
+    def best(candidate: Column) -> Column:
+        border = lambda i: F.substring(candidate, i, 1).rlike("[A-Z0-9]") & ~F.substring(rest, i + 1, 1).rlike("[A-Z0-9]")
+        ends = F.filter(F.sequence(F.lit(15), F.length(candidate)), lambda i: border(i) & _mod_97(F.substring(candidate, F.lit(1), i)))
+        usual = F.try_element_at(lengths, F.substring(candidate, 1, 2))
+        ranked = F.transform(ends, lambda i: F.struct(F.coalesce(F.length(F.replace(F.substring(candidate, F.lit(1), i), F.lit(" "), F.lit(""))) == usual, F.lit(False)).alias("usual"), i.alias("i")))
+        return F.when(F.length(candidate) >= 15, F.coalesce(F.array_max(ranked)["i"], F.lit(0))).otherwise(F.lit(0))
+
+    return let(F.regexp_extract(rest, r"^[A-Z]{2}[0-9]{2}(?: *+[A-Z0-9]){11,30}", 0), best)
+
+
 def _ip_parts(match: Column) -> Column:
     """No part above 255; leading zeros and long parts are compared without overflow."""
     return F.forall(F.split(match, r"\."), lambda p: let(F.ltrim(p, F.lit("0")), lambda q: (F.length(q) <= 3) & (F.coalesce(F.when(F.length(q).between(1, 3), q).cast("int"), F.lit(0)) <= 255)))
@@ -89,13 +113,14 @@ KINDS: tuple[Kind, ...] = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), _same, lambda m: F.length(_digits(m)).between(9, 15), 0.7, ("phone", "call", "tel", "mobile", "fax", "anruf", "llamar")),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9 ]{10,}[A-Z0-9]",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= *+[A-Z0-9])",
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"),
         _same,
-        _mod_97,
+        lambda m: F.lit(True),
         0.8,
         ("iban", "account", "bank", "konto", "cuenta", "compte"),
         base=False,
+        ends=_account,
     ),
     Kind("secret", r"(?i)(?:token|secret|password|passwd|api_?key|access_?key)[\x20\t]*[=:][\x20\t]*[\"']?[A-Za-z0-9_+/-]{16,}", lambda t: t.rlike("[=:]"), _same, lambda m: F.lit(True), 0.6, ("login", "auth", "user"), base=False),
 )
@@ -107,16 +132,24 @@ def _spans(text: Column, order: int, kind: Kind) -> Column:
     """All valid matches of a kind with their places, left to right: code points, end exclusive."""
 
     def placed(shown: Column) -> Column:
-        return let(F.regexp_extract_all(shown, F.lit(kind.pattern), F.lit(0)), lambda matches: F.when(F.size(matches) == 0, none).otherwise(let(F.split(shown, kind.pattern, -1), lambda gaps: walked(matches, gaps))))
+        return let(F.regexp_extract_all(shown, F.lit(kind.pattern), F.lit(0)), lambda matches: F.when(F.size(matches) == 0, none).otherwise(let(F.split(shown, kind.pattern, -1), lambda gaps: walked(shown, matches, gaps))))
 
-    def walked(matches: Column, gaps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    def walked(shown: Column, matches: Column, gaps: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("past"), none.alias("found"))
 
         def step(acc: Column, pair: Column) -> Column:
             begin = acc["at"] + F.length(pair["gap"])
             end = begin + F.length(pair["match"])
+            if kind.ends is None:
+                return after(acc, begin, end, end, kind.valid(pair["match"]))
+            rest = F.substring(shown, begin + 1, F.length(shown))
+            own = F.when(begin >= acc["past"], let(rest, kind.ends)).otherwise(F.lit(0))  # not within the span before
+            return let(own, lambda n: after(acc, begin, end, begin + n, n > 0))
+
+        def after(acc: Column, begin: Column, at: Column, end: Column, valid: Column) -> Column:
             span = F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"))
-            return F.struct(end.alias("at"), F.when(kind.valid(pair["match"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+            found = F.when(valid, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+            return F.struct(at.alias("at"), F.when(valid, end).otherwise(acc["past"]).alias("past"), found.alias("found"))
 
         pairs = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("match")))
         return F.aggregate(pairs, start, step, lambda acc: acc["found"])
