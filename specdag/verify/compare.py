@@ -58,10 +58,18 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str], tolerance: Toleranc
     return out.filter((F.col("side") != "both") | (F.size("columns") > 0))
 
 
+def smallest_keys(df: DataFrame, key: str, groups: int = 10) -> DataFrame:
+    return df.select(key).distinct().orderBy(F.col(key).asc_nulls_last()).limit(groups)
+
+
+def of_groups(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    named = few.select(F.col(f"`{key}`").alias("_few"))
+    return df.join(F.broadcast(named), F.col(f"`{key}`").eqNullSafe(F.col("_few")), "left_semi")
+
+
 def smallest_groups(df: DataFrame, key: str, groups: int = 10) -> DataFrame:
     """The complete groups of a key's smallest values: a cheap part to compare."""
-    few = df.select(key).distinct().orderBy(F.col(key).asc_nulls_last()).limit(groups)
-    return df.join(F.broadcast(few), df[key].eqNullSafe(few[key]), "left_semi")
+    return of_groups(df, smallest_keys(df, key, groups), key)
 
 
 def compare(left: DataFrame, right: DataFrame, keys: list[str] | None, tolerance: Tolerance = Tolerance(), sampled: bool = False) -> Report:
@@ -70,9 +78,13 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str] | None, tolerance
         return Report(Status.MISMATCH, "the columns differ", {})
     if not keys or not set(keys) <= set(left.columns):
         return Report(Status.HUMAN_REVIEW, "there are no keys to align rows by", {})
-    if sampled:
-        left, right = smallest_groups(left, keys[0]), smallest_groups(right, keys[0])
     counts = {}
+    if sampled:
+        counts = {"left_whole": left.count(), "right_whole": right.count()}  # of all rows, before any are cut
+        if counts["left_whole"] != counts["right_whole"]:
+            return Report(Status.MISMATCH, "the row counts differ", counts)
+        few = smallest_keys(left.select(keys[0]).unionByName(right.select(keys[0])), keys[0])
+        left, right = of_groups(left, few, keys[0]), of_groups(right, few, keys[0])
     for name, df in (("left", left), ("right", right)):
         null = reduce(lambda a, b: a | b, (F.col(f"`{k}`").isNull() | (F.col(f"`{k}`").cast("string") == "") for k in keys))
         by_key = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(null.cast("int")).alias("_null"))

@@ -104,6 +104,9 @@ def test_comparison(spark):
     assert compare(a.filter("false"), a.filter("false"), ["k"]).status is Status.HUMAN_REVIEW
     assert compare(a.union(a), a.union(a), ["k"]).status is Status.HUMAN_REVIEW
     assert compare(a, a, ["k"], sampled=True).status is Status.SAMPLED_CONSISTENT
+    large = spark.range(50).withColumnRenamed("id", "k")
+    assert compare(large, large.filter("k < 10"), ["k"], sampled=True).reason == "the row counts differ"
+    assert compare(large, large.filter("k > 0").unionByName(spark.range(50, 51).withColumnRenamed("id", "k")), ["k"], sampled=True).status is Status.MISMATCH
     blank = a.withColumn("s", F.coalesce("s", F.lit("")))  # null, NaN and empty text are three values
     assert [(r["k"], list(r["columns"])) for r in diff(a, blank, ["k"]).collect()] == [(2, ["s"])]
     assert compare(a, a.fillna(0.0, ["v"]), ["k"]).status is Status.MISMATCH
