@@ -2,8 +2,8 @@
 
 A document's set holds hashes of its word shingles. One order of all shingles, rare before frequent and then by hash, picks
 the values that a document retains: as many of the first as it takes for two sets of the wanted similarity to share one.
-Inverted lists of the retained values give candidates; a bottom-k sketch by hash alone estimates a pair's similarity over
-the sketch of the union and drops the hopeless; the full sets confirm.
+Inverted lists of the retained values give candidates; how many retained values a pair shares, its bottom-k sketches, bounds its
+similarity from above and drops the impossible; the full sets confirm.
 
 Equal sets are one class before any list is made. Lists are not expanded into pairs: each list is first tied to its most
 central member, the links so confirmed form components, and only members of a list that are still in different components
@@ -27,7 +27,6 @@ from specdag.llm.common import ascii_lower, materialize, text_slices, words_of
 from specdag.llm.components import components
 from specdag.llm.grams import mix
 
-SKETCH = 32
 #: The most ids that are broadcast, beyond which a shuffled join takes over, and pairs of one salted group.
 MOST_BROADCAST, GROUP = 1_000_000, 256
 #: Words that occur once in so many documents count as frequent, and the most that are told apart.
@@ -105,7 +104,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: object) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
         shingler = Shingler(batch.column("text"), width, ranks.value)
-        sizes, first, second, retained, sketches = [], [], [], [], []
+        sizes, first, second, retained = [], [], [], []
         for i in range(batch.num_rows):
             found, rank = shingler.of(i)
             n = len(found)
@@ -117,10 +116,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: ob
             least = -(-percent * n // 100)  # a set of the wanted similarity shares at least so many
             order = np.lexsort((found, rank))[: n - least + 1 if n else 0]
             retained.append(_signed(found[order]))
-            sketches.append(_signed(found[:SKETCH]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(retained, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-            ["doc_id", "n", "f1", "f2", "retained", "sketch"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(retained, pa.list_(pa.int64()))],
+            ["doc_id", "n", "f1", "f2", "retained"],
         )
 
 
@@ -157,15 +155,19 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 def _verify(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of ``pairs`` (hub, member) those that are linked, as (a, b)."""
-    sides = [sketches.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}")) for name in ("hub", "member")]
-    union = F.slice(F.array_sort(F.array_union("s_hub", "s_member")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("s_hub", "s_member"), union))
-    least = percent / 100 - 6 * (0.25 / SKETCH) ** 0.5 * (percent / 100 * (1 - percent / 100) * 4) ** 0.5  # six deviations below
+    # as 32-bit values: half as wide; those that meet within a set are given back as slack
+    short = F.array_distinct(F.transform("retained", lambda v: F.hash(v)))
+    cut = sketches.select("rep", "n", F.size("retained").alias("k"), short.alias("s"))
+    sides = [cut.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "k", "s"))) for name in ("hub", "member")]
+    # A certain bound: of two sets, the one whose retained values end first in the common order shares with the other, of
+    # those, only what both retain.
+    slack = F.col("k_hub") - F.size("s_hub")
+    most = F.size(F.array_intersect("s_hub", "s_member")) + slack + F.greatest(F.col("n_hub") - F.col("k_hub"), F.col("n_member") - F.col("k_member"))
     hopeful = (
         pairs.join(sides[1], "member")
         .join(sides[0], "hub")
         .filter(F.least("n_hub", "n_member") * 100 >= F.greatest("n_hub", "n_member") * percent)
-        .filter(shared >= F.floor(F.size(union) * F.lit(max(0.0, least))))
+        .filter(most * (100 + percent) >= (F.col("n_hub") + F.col("n_member")) * percent)
         .select("hub", "member")
     )
     hopeful = materialize(hopeful, "near-pairs")
@@ -199,15 +201,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     hashes = repeated.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     ranks = spark.sparkContext.broadcast(Ranks(tokens, {r["word"]: r["n"] for r in common}, hashes[order], repeated.column("n").to_numpy()[order]))
-    schema = "doc_id long, n long, f1 long, f2 long, retained array<long>, sketch array<long>"
+    schema = "doc_id long, n long, f1 long, f2 long, retained array<long>"
     sets = materialize(source.mapInArrow(partial(_sets, width=width, percent=percent, ranks=ranks), schema), "near-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch"))
+    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("retained").alias("retained"))
     entries = classes.select("rep", "n", F.posexplode("retained").alias("place", "value"))
     entries = entries.select("value", "rep", (F.shiftleft("n", 32) + F.col("place")).alias("n_place"))
     sized = entries.withColumn("size", F.count("*").over(Window.partitionBy("value"))).filter("size > 1")
     lists = materialize(sized.select("value", "rep", "size", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place")), "near-lists")
-    reps = materialize(known.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-sketches")
+    reps = materialize(known.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("n").alias("n"), F.first("retained").alias("retained")), "near-sketches")
     source = source.filter(F.col("doc_id").isNotNull())
 
     central = lists.groupBy("rep").agg(F.sum("size").alias("weight"))

@@ -274,6 +274,21 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert [found[i]["component_id"] for i in range(len(texts))] == comp
 
 
+def test_near_duplicate_filters_keep_every_link(spark):
+    """One set inside the other at a similarity of exactly 0.8, of hashes on both sides of 2^63."""
+    r = random.Random(14)
+    pairs, texts = [], []
+    for i in range(0, 600, 2):
+        own = [r.getrandbits(40) for _ in range(70)]
+        texts += [" ".join(f"w{x}" for x in own), " ".join(f"w{x}" for x in own[:56])]
+        pairs.append((i, i + 1))
+    docs = frame(spark, texts).select("doc_id", "text")
+    ranks = spark.sparkContext.broadcast(near_dup.Ranks(1, {}, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    sets = docs.mapInArrow(lambda b: near_dup._sets(b, 1, 80, ranks), "doc_id long, n long, f1 long, f2 long, retained array<long>")
+    sketches = sets.withColumnRenamed("doc_id", "rep").select("rep", "n", "retained")
+    assert near_dup._verify(docs, sketches, spark.createDataFrame(pairs, "hub long, member long"), 1, 80).count() == len(pairs)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     found = near_dup.near_duplicates(odd, width=2).collect()
     assert len(found) == odd.count() and sum(r["component_id"] is None for r in found) == 1
