@@ -32,10 +32,11 @@ SPACING = " .-_*~'`,:;/\\|+="
 #: Costs in nats of leaving a disguise unread, of dropping spacing, and of a repeated letter read once.
 AS_IS, DROPPED, REPEATED = 6.0, 0.5, 0.3
 SIZES = (3, 4, 5, 6)
-MOST_LATTICE = 48  # characters; disguised words are short, and longer runs are signs or data, which stay as they are
+MOST_LATTICE = 48  # characters of one lattice; longer words and runs are read in overlapping pieces
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@+=~`_-¡¿“”‘’«»…"
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<{\[€£¡#%*.\-_~'`/\\].*|[0-9@$!|+(<{\[€£¡#%*].*[^\W\d_].*|.*([^\W\d_])\1\1.*", re.DOTALL)
+_STRETCHED = re.compile(r"(.)\1{2,}", re.DOTALL)
 _MARK = "^"
 
 
@@ -130,21 +131,32 @@ def evidence(words: list[str], model: ToxicModel) -> np.ndarray:
     return out
 
 
-def _readings(words: list[str], memo: dict[str, str], letters: CharacterModel) -> list[str]:
+def _pieces(text: str) -> list[str]:
+    """Overlapping pieces of a length that a lattice may have; no piece lies within the one before."""
+    return [text[i : i + MOST_LATTICE] for i in range(0, max(1, len(text) - MOST_LATTICE // 2), MOST_LATTICE // 2)]
+
+
+def _readings(words: list[str], memo: dict[str, str], letters: CharacterModel) -> list[list[str]]:
+    """Of each word what it may stand for: nothing, a reading, or those of its pieces if it is long."""
     out = []
     for w in words:
         core = w.lower().strip("\"'()[]{}<>,;:.?“”«»…")
         if len(core) > 2 and core[-1] == core[-2] == core[-3] and not core[-1].isalnum():
             core = core.rstrip(core[-1])  # a run of signs behind a word is an ornament
         core = core.rstrip("!")
-        if not 3 <= len(core) <= MOST_LATTICE or not _DISGUISED.fullmatch(core):
-            out.append("")
+        if len(core) < 3 or not _DISGUISED.fullmatch(core):
+            out.append([])
             continue
-        if core not in memo:
-            if len(memo) > 200_000:
-                memo.clear()
-            memo[core] = decode(core, letters)
-        out.append(memo[core])
+        if len(core) > MOST_LATTICE:
+            core = _STRETCHED.sub(r"\1\1", core)
+        read = []
+        for piece in _pieces(core):
+            if piece not in memo:
+                if len(memo) > 200_000:
+                    memo.clear()
+                memo[piece] = decode(piece, letters)
+            read.append(memo[piece])
+        out.append([r for r in read if r])
     return out
 
 
@@ -176,12 +188,19 @@ def best_words(texts: pa.Array, model: ToxicModel, memo: dict[str, str]) -> np.n
         return out
     strength = np.maximum(evidence(_plain(words), model), 0)
     read = _readings(words, memo, model.letters)
-    if some := [i for i, r in enumerate(read) if r]:
-        strength[some] = np.maximum(strength[some], evidence([read[i] for i in some], model))
+    flat = [(i, r) for i, of in enumerate(read) for r in of]
+    pieces: dict[int, dict[str, float]] = {}
+    for (i, r), s in zip(flat, evidence([r for _, r in flat], model).tolist(), strict=True):
+        if len(read[i]) == 1:
+            strength[i] = max(strength[i], s)
+        elif s > 0:  # a phrase: each piece counts
+            strength[i] = max(strength[i], s)
+            pieces.setdefault(i, {})[r] = s
     found: dict[int, dict[str, float]] = {}
     for at in np.flatnonzero(strength[codes] > 0):
         code = int(codes[at])
-        found.setdefault(int(np.searchsorted(offsets, at, side="right")) - 1, {})[read[code] or words[code].lower().strip(_EDGE)] = strength[code]
+        own = pieces.get(code) or {read[code][0] if len(read[code]) == 1 else words[code].lower().strip(_EDGE): strength[code]}
+        found.setdefault(int(np.searchsorted(offsets, at, side="right")) - 1, {}).update(own)
     single = np.fromiter((len(w.strip(".,-_*")) == 1 for w in words), bool, len(words))
     for text, a, b in _spaced(codes, offsets, single):
         for i in range(a, b, MOST_LATTICE // 2):  # long runs in overlapping pieces

@@ -445,6 +445,8 @@ def test_deobfuscation_and_scores(spark):
     tests = ["you 1d10t and m0r0n", "a s t u p i d w o r t h l e s s one", "that is for the", None, "", "IDIOT! moron."]
     got = {x["doc_id"]: x["score"] for x in toxicity.score(frame(spark, tests, 1000), model).collect()}
     assert min(got[1000], got[1001], got[1005]) > 0.5 > max(got[1002], got[1003], got[1004])
+    held = toxicity.best_words(pa.array(["st" + "u" * 45 + "pid", "y0u.4r3.4.st00p1d.w0rthl3ss.m0r0n.1d10t.4nd.4.st00p1d.m0r0n.st00p1d"]), model, {})
+    assert (held[:, 0] > 0).all()  # words too long for one lattice
     whole = {x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()}
     out = [i for i in range(220) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum((whole[i] >= 0.5) == (i >= 160) for i in out) >= 0.95 * len(out)
