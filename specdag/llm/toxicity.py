@@ -33,9 +33,11 @@ SPACING = " .-_*~'`,:;/\\|+="
 AS_IS, DROPPED, REPEATED = 6.0, 0.5, 0.3
 SIZES = (3, 4, 5, 6)
 MOST_LATTICE = 48  # characters of one lattice; longer words and runs are read in overlapping pieces
+UNLIKELY = 4.0  # nats of a doubled letter that may be a disguise
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@+=~`_-¡¿“”‘’«»…"
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<{\[€£¡#%*.\-_~'`/\\].*|[0-9@$!|+(<{\[€£¡#%*].*[^\W\d_].*|.*([^\W\d_])\1\1.*", re.DOTALL)
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _STRETCHED = re.compile(r"(.)\1{2,}", re.DOTALL)
 _MARK = "^"
 
@@ -136,6 +138,12 @@ def _pieces(text: str) -> list[str]:
     return [text[i : i + MOST_LATTICE] for i in range(0, max(1, len(text) - MOST_LATTICE // 2), MOST_LATTICE // 2)]
 
 
+def _odd_doubles(core: str, letters: CharacterModel) -> bool:
+    """Whether a letter is doubled where the character model does not expect it."""
+    marked = _MARK * 2 + core
+    return any(letters.cost(marked[m.start() + 1 : m.start() + 3], m.group(1)) > UNLIKELY for m in _DOUBLED.finditer(core))
+
+
 def _readings(words: list[str], memo: dict[str, str], letters: CharacterModel) -> list[list[str]]:
     """Of each word what it may stand for: nothing, a reading, or those of its pieces if it is long."""
     out = []
@@ -144,7 +152,7 @@ def _readings(words: list[str], memo: dict[str, str], letters: CharacterModel) -
         if len(core) > 2 and core[-1] == core[-2] == core[-3] and not core[-1].isalnum():
             core = core.rstrip(core[-1])  # a run of signs behind a word is an ornament
         core = core.rstrip("!")
-        if len(core) < 3 or not _DISGUISED.fullmatch(core):
+        if len(core) < 3 or not (_DISGUISED.fullmatch(core) or _odd_doubles(core, letters)):
             out.append([])
             continue
         if len(core) > MOST_LATTICE:
@@ -161,7 +169,7 @@ def _readings(words: list[str], memo: dict[str, str], letters: CharacterModel) -
 
 
 def _spaced(codes: np.ndarray, offsets: np.ndarray, single: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, first, past) of runs of four or more one-character words."""
+    """(text, first, past) of runs of three or more one-character words."""
     on = np.concatenate(([0], single[codes].astype(np.int8), [0])) if len(codes) else np.zeros(2, np.int8)
     edges = np.diff(on)
     runs = []
@@ -169,7 +177,7 @@ def _spaced(codes: np.ndarray, offsets: np.ndarray, single: np.ndarray) -> list[
         text = int(np.searchsorted(offsets, a, side="right")) - 1
         while a < b:  # a run ends with its text
             stop = min(b, int(offsets[text + 1]))
-            if stop - a >= 4:
+            if stop - a >= 3:
                 runs.append((text, int(a), stop))
             a, text = stop, text + 1
     return runs

@@ -447,6 +447,9 @@ def test_deobfuscation_and_scores(spark):
     assert min(got[1000], got[1001], got[1005]) > 0.5 > max(got[1002], got[1003], got[1004])
     held = toxicity.best_words(pa.array(["st" + "u" * 45 + "pid", "y0u.4r3.4.st00p1d.w0rthl3ss.m0r0n.1d10t.4nd.4.st00p1d.m0r0n.st00p1d"]), model, {})
     assert (held[:, 0] > 0).all()  # words too long for one lattice
+    doubled = toxicity.best_words(pa.array(["iiddiioott", "ssttuuppiidd"]), model, {})
+    assert (doubled[:, 0] > 0).all()
+    assert toxicity._spaced(np.array([0, 0, 0, 1]), np.array([0, 4]), np.array([True, False])) == [(0, 0, 3)]
     whole = {x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()}
     out = [i for i in range(220) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum((whole[i] >= 0.5) == (i >= 160) for i in out) >= 0.95 * len(out)
