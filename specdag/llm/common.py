@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,19 +43,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that driver and executors share. A temporary one only if none is configured and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="specdag-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone at interpreter exit
             return
 
@@ -67,8 +73,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_written)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._specdag_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables of which everything that reads them has been written."""
+    for table in tables:
+        path = table._specdag_path
+        if spark := _written.pop(path, None):
+            _delete(spark, path)
 
 
 def drop_shuffles(spark: SparkSession) -> None:

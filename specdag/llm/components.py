@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specdag.llm.common import materialize
+from specdag.llm.common import discard, materialize
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links.filter("a <> b").select("a", "b").distinct(), "links")
     before = _sign(links)
     while before[0]:
-        links = materialize(_star(_star(links, large=True), large=False), "links")
+        last, links = links, materialize(_star(_star(links, large=True), large=False), "links")
+        discard(last)
         now = _sign(links)
         if now == before:
             break

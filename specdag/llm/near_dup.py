@@ -1,9 +1,14 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
-A document's set holds hashes of its word shingles. One order of all shingles, rare before frequent and then by hash, picks
-the values that a document retains: as many of the first as it takes for two sets of the wanted similarity to share one.
-Inverted lists of the retained values give candidates; how many retained values a pair shares, its bottom-k sketches, bounds its
-similarity from above and drops the impossible; the full sets confirm.
+A document's set holds hashes of its word shingles. The hash's top bits tell how rare a shingle is, so the least values of a
+set, which it retains as its sketch, are its rarest. Inverted lists of the retained values give candidates: a list is that of
+two values that follow one another in both sketches, since single values meet by chance the more the larger a corpus is. The
+sketches of two candidates bound the similarity of the sets from above and drop the impossible; the full sets confirm.
+
+No link is lost. Let two sets of similarity t >= 0.8 that are not equal be walked in the common order, and let x and y count the values that only
+one of them has. Their shared values are more than x + y + 1, so two of them follow one another with no other value between.
+Up to the first such two, at most x + y + 1 values are shared, hence they are among the first 2 x + y + 2 of the one set, that
+is 2 (1 - t) n + 2 at most, which is what a set of n values retains.
 
 Equal sets are one class before any list is made. Lists are not expanded into pairs: each list is first tied to its most
 central member, the links so confirmed form components, and only members of a list that are still in different components
@@ -21,16 +26,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from specdag.llm.common import ascii_lower, materialize, text_slices, words_of
+from specdag.llm.common import ascii_lower, discard, drop_shuffles, materialize, text_slices, words_of
 from specdag.llm.components import components
 from specdag.llm.grams import mix
 
 #: The most ids that are broadcast, beyond which a shuffled join takes over, and pairs of one salted group.
 MOST_BROADCAST, GROUP = 1_000_000, 256
-#: Words that occur once in so many documents count as frequent, and the most that are told apart.
+#: Fixed values of cost only, results are the same under any: words and shingles that occur in so large a share of documents
+#: count as frequent, and the most of them that are told apart.
 SHARE, MOST_WORDS, MOST_SHINGLES = 2e-4, 1 << 16, 1 << 18
+#: Fixed value: the bits of a shingle's hash; those above it hold its rarity.
+BITS = 56
 
 
 @dataclass(frozen=True)
@@ -43,81 +50,100 @@ class Ranks:
     counts: np.ndarray
 
 
+class Shingles:
+    """Of each of a batch of texts the distinct shingles in order: hashes of ``BITS`` bits, under ``ranks`` with the rarity above."""
+
+    def __init__(self, texts: pa.Array, width: int, ranks: Ranks | None = None):
+        words, codes, self.offsets = words_of(texts)
+        self.width, self.ranks = width, ranks
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        self.words = hashes[codes] if words else np.zeros(0, np.uint64)
+        self.logs = np.zeros(len(self.words), np.float32)
+        if ranks is not None and words:
+            self.logs = np.log2(np.fromiter((ranks.words.get(w, 0) for w in words), np.float32, len(words)) + np.float32(0.5))[codes]
+        self.windows = self._windows(0, len(self.words), width)  # those across two texts are never read
+
+    def _windows(self, begin: int, past: int, width: int) -> np.ndarray:
+        n = max(0, past - begin - width + 1)
+        h = np.full(n, width, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(begin, begin + width):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self.words[k : k + n])
+        h >>= np.uint64(64 - BITS)
+        if self.ranks is None or not n:
+            return h
+        logs = np.full(n, -(width - 1) * np.log2(max(2, self.ranks.tokens)), np.float32)
+        for k in range(begin, begin + width):
+            logs += self.logs[k : k + n]
+        seen = np.exp2(np.minimum(logs, 60)) + np.float32(0.5)  # occurrences if words met at random
+        if len(self.ranks.hashes):
+            at = np.minimum(np.searchsorted(self.ranks.hashes, h), len(self.ranks.hashes) - 1)
+            seen = np.maximum(seen, np.where(self.ranks.hashes[at] == h, self.ranks.counts[at], 0))
+        rank = np.minimum(np.round(3 * np.log2(seen)) + 3, 127).astype(np.uint64)
+        return rank << np.uint64(BITS) | h
+
+    def of(self, i: int) -> np.ndarray:
+        a, b = int(self.offsets[i]), int(self.offsets[i + 1])
+        found = np.sort(self.windows[a : b - self.width + 1] if b - a >= self.width else self._windows(a, b, b - a) if b > a else self.windows[:0])
+        fresh = np.ones(len(found), bool)
+        np.not_equal(found[1:], found[:-1], out=fresh[1:])
+        return found[fresh]
+
+
+def fingerprint(found: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, whatever the rarity of its shingles."""
+    with np.errstate(over="ignore"):
+        mixed = mix((found & np.uint64((1 << BITS) - 1)) ^ np.uint64(0x5851F42D4C957F2D))
+        return int(mixed.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(mixed)).view(np.int64))
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Occurrences of each word and shingle, for those that a slice has often enough, and of all words together."""
     for batch in text_slices(batches, "text", 8 << 20):
         words, codes, _ = words_of(batch.column("text"))
         n = np.bincount(codes, minlength=len(words))
         some = np.flatnonzero(n >= max(2, SHARE * batch.num_rows))
-        shingler = Shingler(batch.column("text"), width)
-        shingles, m = np.unique(np.concatenate([shingler.of(i)[0] for i in range(batch.num_rows)] or [np.zeros(0, np.uint64)]), return_counts=True)
+        windows = np.sort(Shingles(batch.column("text"), width).windows)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(windows)), bool), windows[1:] != windows[:-1])))
+        m = np.diff(np.append(first, len(windows)))
         often = m >= max(3, SHARE * batch.num_rows)
-        found = [words[i] for i in some]
+        found, shingles = [words[i] for i in some], windows[first[often]]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([None] + found + [None] * int(often.sum()), pa.string()),
-                pa.array(np.concatenate((np.zeros(1 + len(found), np.int64), _signed(shingles[often])))),
+                pa.array([None] + found + [None] * len(shingles), pa.string()),
+                pa.array(np.concatenate((np.full(1 + len(found), -1, np.int64), shingles.astype(np.int64)))),
                 pa.array(np.concatenate(([len(codes)], n[some], m[often])).astype(np.int64)),
             ],
             ["word", "shingle", "n"],
         )
 
 
-class Shingler:
-    """Sets of one batch of texts: ``of(i)`` gives text i's distinct shingle hashes in order and their rarity ranks."""
-
-    def __init__(self, texts: pa.Array, width: int, ranks: Ranks | None = None):
-        words, codes, self.offsets = words_of(texts)
-        self.width, self.ranks = width, ranks
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        self.hashes = hashes[codes] if words else np.zeros(0, np.uint64)
-        if ranks is not None:
-            known = np.log2(np.fromiter((ranks.words.get(w, 0) for w in words), float, len(words)) + 0.5)
-            self.logs = known[codes] if words else np.zeros(0)
-
-    def of(self, i: int) -> tuple[np.ndarray, np.ndarray | None]:
-        a, b = int(self.offsets[i]), int(self.offsets[i + 1])
-        width = min(self.width, b - a)
-        if not width:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        n = b - a - width + 1
-        with np.errstate(over="ignore"):
-            h = np.full(n, width, np.uint64)
-            for k in range(width):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[a + k : a + k + n])
-        found, first = np.unique(h, return_index=True)
-        if self.ranks is None:
-            return found, None
-        logs = np.full(n, -(width - 1) * np.log2(max(2, self.ranks.tokens)))
-        for k in range(width):
-            logs += self.logs[a + k : a + k + n]
-        by_chance = np.exp2(np.minimum(logs[first], 60)) + 0.5  # occurrences if words met at random
-        at = np.minimum(np.searchsorted(self.ranks.hashes, found), len(self.ranks.hashes) - 1)
-        counted = np.where(self.ranks.hashes[at] == found, self.ranks.counts[at], 0) if len(self.ranks.hashes) else 0
-        return found, np.round(4 * np.log2(np.maximum(by_chance, counted))).astype(np.int64)
-
-
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
+def _ranks(source: DataFrame, width: int) -> Ranks:
+    total = source.count()
+    counted = materialize(source.mapInArrow(partial(_frequent, width=width), "word string, shingle long, n long").groupBy("word", "shingle").agg(F.sum("n").alias("n")), "near-counts")
+    often = counted.filter(F.col("n") >= SHARE * total)
+    common = often.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
+    tokens = counted.filter("word IS NULL AND shingle < 0").agg(F.sum("n")).first()[0] or 0
+    repeated = often.filter("word IS NULL AND shingle >= 0").orderBy(F.desc("n"), "shingle").limit(MOST_SHINGLES).select("shingle", "n").toArrow()
+    hashes = repeated.column("shingle").to_numpy().astype(np.uint64)
+    order = np.argsort(hashes)
+    discard(counted)
+    return Ranks(tokens, dict(zip(common.column("word").to_pylist(), common.column("n").to_pylist(), strict=True)), hashes[order], repeated.column("n").to_numpy()[order])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: object) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
-        shingler = Shingler(batch.column("text"), width, ranks.value)
-        sizes, first, second, retained = [], [], [], []
+        shingles = Shingles(batch.column("text"), width, ranks.value)
+        sizes, marks, retained = [], [], []
         for i in range(batch.num_rows):
-            found, rank = shingler.of(i)
-            n = len(found)
-            sizes.append(n)
-            with np.errstate(over="ignore"):
-                mixed = mix(found ^ np.uint64(0x5851F42D4C957F2D))
-                first.append(int(_signed(mixed).sum()))
-                second.append(int(np.bitwise_xor.reduce(_signed(mix(mixed))) if n else 0))
-            least = -(-percent * n // 100)  # a set of the wanted similarity shares at least so many
-            order = np.lexsort((found, rank))[: n - least + 1 if n else 0]
-            retained.append(_signed(found[order]))
+            found = shingles.of(i)
+            sizes.append(len(found))
+            marks.append(fingerprint(found))
+            retained.append(found[: 2 * (100 - percent) * len(found) // 100 + 2])
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in retained])))
+        values = pa.array(np.concatenate(retained).view(np.int64)) if retained else pa.array([], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(retained, pa.list_(pa.int64()))],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*marks, strict=True)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
             ["doc_id", "n", "f1", "f2", "retained"],
         )
 
@@ -128,10 +154,17 @@ def checked_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner")
 
 
 def _full(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The sets of the wanted texts; rows of another text under the same id are left out."""
     for batch in text_slices(batches, "text"):
-        shingler = Shingler(batch.column("text"), width)
-        sets = [shingler.of(i)[0].tobytes() for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hub", "salt", "member")), pa.array(sets, pa.binary())], ["hub", "salt", "member", "found"])
+        shingles = Shingles(batch.column("text"), width)
+        sets, at = [], []
+        for i, f1 in enumerate(batch.column("f1").to_pylist()):
+            found = shingles.of(i)
+            if fingerprint(found)[0] == f1:
+                sets.append(found.tobytes())
+                at.append(i)
+        rows = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("hub", "salt", "member")), pa.array(sets, pa.binary())], ["hub", "salt", "member", "found"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -146,19 +179,20 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 continue
             if h != hub:
                 raise ValueError("a member came before its hub")
-            shared = len(np.intersect1d(own, found, assume_unique=True))
+            both = np.sort(np.concatenate((own, found)))
+            shared = int((both[1:] == both[:-1]).sum())
             if 100 * shared >= percent * (len(own) + len(found) - shared):
                 a.append(h)
                 b.append(member)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _verify(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (hub, member) those that are linked, as (a, b)."""
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of ``pairs`` (hub, member) of classes those that are linked, as (a, b)."""
     # as 32-bit values: half as wide; those that meet within a set are given back as slack
     short = F.array_distinct(F.transform("retained", lambda v: F.hash(v)))
-    cut = sketches.select("rep", "n", F.size("retained").alias("k"), short.alias("s"))
-    sides = [cut.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "k", "s"))) for name in ("hub", "member")]
+    cut = classes.select("node", "n", F.size("retained").alias("k"), short.alias("s"))
+    sides = [cut.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "k", "s"))) for name in ("hub", "member")]
     # A certain bound: of two sets, the one whose retained values end first in the common order shares with the other, of
     # those, only what both retain.
     slack = F.col("k_hub") - F.size("s_hub")
@@ -172,64 +206,85 @@ def _verify(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int,
     )
     hopeful = materialize(hopeful, "near-pairs")
     salts = hopeful.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
-    members = hopeful.join(salts, "hub").select(F.col("member").alias("doc_id"), "hub", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"), "member")
-    hubs = salts.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
-    wanted = materialize(members.unionByName(hubs), "near-wanted")
-    texts = checked_join(docs, wanted, "doc_id").select("hub", "salt", "member", "text")
+    members = hopeful.join(salts, "hub").select(F.col("member").alias("node"), "hub", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"), "member")
+    hubs = salts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
+    wanted = materialize(members.unionByName(hubs).join(classes.select("node", F.col("doc").alias("doc_id"), "f1"), "node").drop("node"), "near-wanted")
+    texts = checked_join(docs, wanted, "doc_id").select("f1", "hub", "salt", "member", "text")
     full = texts.mapInArrow(partial(_full, width=width), "hub long, salt long, member long, found binary")
     near = full.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-    return materialize(near.mapInArrow(partial(_confirm, percent=percent), "a long, b long"), "near-links")
+    links = materialize(near.mapInArrow(partial(_confirm, percent=percent), "a long, b long").distinct(), "near-links")
+    discard(hopeful, wanted)
+    drop_shuffles(docs.sparkSession)
+    return links
+
+
+def _lists(classes: DataFrame) -> DataFrame:
+    """The inverted lists of two members or more: ``key``, ``node``, its ``n`` and ``place`` in its sketch, and the list's ``size``."""
+    following = F.transform(F.slice("retained", 1, F.size("retained") - 1), lambda v, i: F.xxhash64(v, F.get("retained", i + 1)))
+    entries = classes.filter(F.size("retained") > 1).select("node", "n", F.posexplode(following).alias("place", "key"))
+    sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "near-keys")
+    drop_shuffles(classes.sparkSession)
+    packed = entries.select("key", "node", (F.shiftleft("n", 32) + F.col("place")).alias("n_place"))
+    found = packed.join(sizes, "key").select("key", "node", "size", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
+    lists = materialize(found, "near-lists")
+    discard(sizes)
+    drop_shuffles(classes.sparkSession)
+    return lists
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` (its set's size) and ``component_id``, the least id reachable over
-    links of a Jaccard similarity of ``percent`` or more; a row is to stay if the two ids are equal.
+    links of a Jaccard similarity of ``percent`` (80 at least) or more; a row is to stay if the two ids are equal.
 
     A-Z are lower-cased; words are runs without the space and U+0009 to U+000D; a text with fewer words than ``width``
     has one shingle of all of them. Null and empty texts have empty sets and are linked with nothing. Rows with a null id
-    are linked with nothing and have a null component. Rows that share an id share a component. Other columns are
-    ignored; an empty table gives no rows. Sets are of 64-bit hashes.
+    are linked with nothing and have a null component. Rows that share an id and have words share a component, and so do all that
+    are linked with any of them. Other columns are ignored; an empty table gives no rows. Sets are of 56-bit hashes.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be from 80 to 100")
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    total = source.count()
-    counted = materialize(source.mapInArrow(partial(_frequent, width=width), "word string, shingle long, n long").groupBy("word", "shingle").agg(F.sum("n").alias("n")), "near-counts")
-    often = counted.filter(F.col("n") >= SHARE * total)
-    common = often.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    tokens = counted.filter("word IS NULL AND shingle = 0").agg(F.sum("n")).first()[0] or 0
-    repeated = often.filter("word IS NULL AND shingle <> 0").orderBy(F.desc("n"), "shingle").limit(MOST_SHINGLES).select("shingle", "n").toArrow()
-    hashes = repeated.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    ranks = spark.sparkContext.broadcast(Ranks(tokens, {r["word"]: r["n"] for r in common}, hashes[order], repeated.column("n").to_numpy()[order]))
+    ranks = spark.sparkContext.broadcast(_ranks(source, width))
     schema = "doc_id long, n long, f1 long, f2 long, retained array<long>"
-    sets = materialize(source.mapInArrow(partial(_sets, width=width, percent=percent, ranks=ranks), schema), "near-sets")
+    made = source.mapInArrow(partial(_sets, width=width, percent=percent, ranks=ranks), schema)
+    sets = materialize(made.withColumn("row", F.monotonically_increasing_id()), "near-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("retained").alias("retained"))
-    entries = classes.select("rep", "n", F.posexplode("retained").alias("place", "value"))
-    entries = entries.select("value", "rep", (F.shiftleft("n", 32) + F.col("place")).alias("n_place"))
-    sized = entries.withColumn("size", F.count("*").over(Window.partitionBy("value"))).filter("size > 1")
-    lists = materialize(sized.select("value", "rep", "size", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place")), "near-lists")
-    reps = materialize(known.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.first("n").alias("n"), F.first("retained").alias("retained")), "near-sketches")
+    least = known.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    rows = materialize(known.select("doc_id", "row", "f1", "f2", "n").join(least.select("f1", "f2", "n", F.col("least.row").alias("node")), ["f1", "f2", "n"]).select("row", "doc_id", "node"), "near-rows")
+    copies = rows.filter("row <> node").select("row")
+    classes = checked_join(known, copies, "row", "left_anti").select(F.col("row").alias("node"), F.col("doc_id").alias("doc"), "n", "f1", "retained")
+    lists = _lists(classes)
+    listed = materialize(classes.join(lists.select("node").distinct(), "node", "left_semi"), "near-sketches")
+    narrow = materialize(sets.select("doc_id", "row", "n"), "near-ids")
+    discard(sets)
     source = source.filter(F.col("doc_id").isNotNull())
 
-    central = lists.groupBy("rep").agg(F.sum("size").alias("weight"))
-    hubs = lists.join(central, "rep").groupBy("value").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-    stars = materialize(lists.join(hubs, "value").filter("rep <> hub").select("hub", F.col("rep").alias("member")).distinct(), "near-stars")
-    links = _verify(source, reps, stars, width, percent)
+    central = lists.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = lists.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    stars = materialize(lists.join(hubs, "key").filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "near-stars")
+    links = _verify(source, listed, stars, width, percent)
 
     tied = components(links)
-    placed = lists.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
-    open_lists = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
-    rest = materialize(placed.join(open_lists, "value", "left_semi"), "near-open")
-    other = rest.select("value", F.col("rep").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("place").alias("place_other"))
-    # at the first value that two sets share, what is left of both, it included, must still hold the least overlap
-    shared = (F.col("n") + F.col("n_other")) * percent
-    possible = (F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) * (100 + percent) >= shared) & (F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
+    placed = lists.join(tied, "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+    open_lists = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    rest = materialize(placed.join(open_lists, "key", "left_semi"), "near-open")
+    discard(lists)
+    other = rest.select("key", F.col("node").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("place").alias("place_other"))
+    # At the first key that two sets share, each value shared before has one beside it that is not: so few are shared
+    # before, and what is left of both must hold the others of the least overlap.
+    before = F.least("place", "place_other", F.floor((F.col("place") + F.col("place_other")) / 3))
+    overlap = before + F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other"))
+    possible = (overlap * (100 + percent) >= (F.col("n") + F.col("n_other")) * percent) & (F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
     done = stars.unionByName(stars.select(F.col("member").alias("hub"), F.col("hub").alias("member")))
-    crossing = rest.withColumnRenamed("rep", "hub").join(other, "value").filter((F.col("component") != F.col("other")) & (F.col("hub") < F.col("member")) & possible).select("hub", "member").distinct().join(done, ["hub", "member"], "left_anti")
-    more = _verify(source, reps, crossing, width, percent)
-    tied = components(links.unionByName(more))
-
-    ids = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")).join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    linked = sets.select("doc_id", "f1", "f2", "n").join(ids, ["f1", "f2", "n"], "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.col("doc_id")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    crossing = rest.withColumnRenamed("node", "hub").join(other, "key").filter((F.col("component") != F.col("other")) & (F.col("hub") < F.col("member")) & possible).select("hub", "member").distinct().join(done, ["hub", "member"], "left_anti")
+    more = _verify(source, listed, crossing, width, percent)
+    discard(listed, stars, rest)
+
+    shared = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a <> high").drop("high")
+    same = rows.join(shared, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")  # rows that share an id
+    tied = components(links.unionByName(more).unionByName(same))
+    placed = rows.join(tied, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component"))
+    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    own = placed.join(ids, "component").select("row", "component_id")
+    return narrow.join(own, "row", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -274,19 +274,18 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert [found[i]["component_id"] for i in range(len(texts))] == comp
 
 
-def test_near_duplicate_filters_keep_every_link(spark):
-    """One set inside the other at a similarity of exactly 0.8, of hashes on both sides of 2^63."""
+def test_no_link_of_the_least_similarity_is_lost(spark):
+    """Pairs of sets that differ by as many values as a similarity of 0.8 allows, on one side or on both, at any places of the order."""
     r = random.Random(14)
-    pairs, texts = [], []
-    for i in range(0, 600, 2):
-        own = [r.getrandbits(40) for _ in range(70)]
-        texts += [" ".join(f"w{x}" for x in own), " ".join(f"w{x}" for x in own[:56])]
-        pairs.append((i, i + 1))
-    docs = frame(spark, texts).select("doc_id", "text")
-    ranks = spark.sparkContext.broadcast(near_dup.Ranks(1, {}, np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    sets = docs.mapInArrow(lambda b: near_dup._sets(b, 1, 80, ranks), "doc_id long, n long, f1 long, f2 long, retained array<long>")
-    sketches = sets.withColumnRenamed("doc_id", "rep").select("rep", "n", "retained")
-    assert near_dup._verify(docs, sketches, spark.createDataFrame(pairs, "hub long, member long"), 1, 80).count() == len(pairs)
+    texts = []
+    for _ in range(400):
+        shared = [r.getrandbits(40) for _ in range(r.choice([4, 5, 8, 13, 33, 40, 48, 56, 63, 200]))]
+        more = len(shared) // 4
+        x = r.choice([0, more // 2, r.randint(0, more), more])
+        sides = [shared + [r.getrandbits(40) for _ in range(k)] for k in (x, more - x)]
+        texts += [" ".join(f"w{v}" for v in r.sample(side, len(side))) for side in sides]
+    found = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(frame(spark, texts), width=1).collect()}
+    assert [found[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
@@ -295,6 +294,13 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert {r["component_id"] for r in found if r["doc_id"] in (7, 8)} == {7}
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(3, a), (5, a), (5, b), (9, b + " tail"), (9, b + " tail"), (12, "other words"), (12, ""), (None, a)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((x["doc_id"] or 0, x["component_id"] or 0) for x in found) == [(0, 0), (3, 3), (5, 3), (5, 3), (9, 3), (9, 3), (12, 12), (12, 12)]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (101, 100), (100, 101)], "a long, b long")
     found = dict(map(tuple, cc.components(links).collect()))
