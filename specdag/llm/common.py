@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Fixed values. A word is a run of characters outside this set: the space and U+0009 to U+000D.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
+#: Fixed value: bytes of an Arrow batch of a materialized table's making.
+BATCH_BYTES = 16 << 20
 
 _written: dict[str, SparkSession] = {}
 
@@ -66,13 +68,26 @@ def _remove_written() -> None:
             return
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the bytes, not only the rows, of what a Python worker gets at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specdag-{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     _written[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table._specdag_path = path

@@ -11,8 +11,8 @@ Up to the first such two, at most x + y + 1 values are shared, hence they are am
 is 2 (1 - t) n + 2 at most, which is what a set of n values retains.
 
 Equal sets are one class before any list is made. Lists are not expanded into pairs: each list is first tied to its most
-central member, the links so confirmed form components, and only members of a list that are still in different components
-are paired. A group of copies thus costs as many pairs as it has members, and no link that joins components is lost.
+central member, the links so confirmed form components, and only members of lists that are still in different components
+are paired, by single values of the sketches then. A group of copies thus costs as many pairs as it has members, and no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -219,19 +219,39 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """The inverted lists of two members or more: ``key``, ``node``, its ``n`` and ``place`` in its sketch, and the list's ``size``."""
+    """The inverted lists of two members or more: ``key``, ``node`` and the list's ``size``."""
     following = F.transform(F.slice("retained", 1, F.size("retained") - 1), lambda v, i: F.xxhash64(v, F.get("retained", i + 1)))
-    entries = classes.filter(F.size("retained") > 1).select("node", "n", F.posexplode(following).alias("place", "key"))
+    entries = classes.filter(F.size("retained") > 1).select("node", F.explode(following).alias("key"))
     sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "near-keys")
     drop_shuffles(classes.sparkSession)
-    packed = entries.select("key", "node", (F.shiftleft("n", 32) + F.col("place")).alias("n_place"))
-    found = packed.join(sizes, "key").select("key", "node", "size", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"))
-    lists = materialize(found, "near-lists")
+    lists = materialize(entries.join(sizes, "key"), "near-lists")
     discard(sizes)
     drop_shuffles(classes.sparkSession)
     return lists
 
 
+def _crossing(lists: DataFrame, listed: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, member) that may be linked of different components of ``tied``, of nodes that lie with another component in a list.
+
+    Two sets that are linked share one of the first n - least + 1 values of each, least being what a linked set must share,
+    and from the first that they share on, both must still hold the least overlap."""
+    placed = lists.select("key", "node").join(tied, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    nodes = materialize(placed.join(mixed, "key", "left_semi").select("node", "component").distinct(), "near-open")
+    first = F.slice("retained", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    entries = listed.join(nodes, "node").select("node", "component", "n", F.posexplode(first).alias("place", "value"))
+    mixed = entries.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
+    rest = materialize(entries.join(mixed, "value", "left_semi"), "near-rest")
+    discard(nodes)
+    other = rest.select("value", F.col("node").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("place").alias("place_other"))
+    overlap = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other"))
+    possible = (overlap * (100 + percent) >= (F.col("n") + F.col("n_other")) * percent) & (F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
+    pairs = rest.withColumnRenamed("node", "hub").join(other, "value").filter((F.col("component") != F.col("other")) & (F.col("hub") < F.col("member")) & possible)
+    pairs = materialize(pairs.select("hub", "member").distinct(), "near-crossing")
+    discard(rest)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` (its set's size) and ``component_id``, the least id reachable over
     links of a Jaccard similarity of ``percent`` (80 at least) or more; a row is to stay if the two ids are equal.
@@ -266,20 +286,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     links = _verify(source, listed, stars, width, percent)
 
     tied = components(links)
-    placed = lists.join(tied, "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
-    open_lists = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    rest = materialize(placed.join(open_lists, "key", "left_semi"), "near-open")
+    crossing = _crossing(lists, listed, tied, percent)
     discard(lists)
-    other = rest.select("key", F.col("node").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("place").alias("place_other"))
-    # At the first key that two sets share, each value shared before has one beside it that is not: so few are shared
-    # before, and what is left of both must hold the others of the least overlap.
-    before = F.least("place", "place_other", F.floor((F.col("place") + F.col("place_other")) / 3))
-    overlap = before + F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other"))
-    possible = (overlap * (100 + percent) >= (F.col("n") + F.col("n_other")) * percent) & (F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
     done = stars.unionByName(stars.select(F.col("member").alias("hub"), F.col("hub").alias("member")))
-    crossing = rest.withColumnRenamed("node", "hub").join(other, "key").filter((F.col("component") != F.col("other")) & (F.col("hub") < F.col("member")) & possible).select("hub", "member").distinct().join(done, ["hub", "member"], "left_anti")
-    more = _verify(source, listed, crossing, width, percent)
-    discard(listed, stars, rest)
+    more = _verify(source, listed, crossing.join(done, ["hub", "member"], "left_anti"), width, percent)
+    discard(listed, stars, crossing)
 
     shared = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a <> high").drop("high")
     same = rows.join(shared, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")  # rows that share an id
