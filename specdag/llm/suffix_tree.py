@@ -1,438 +1,485 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-A text is a sequence of words and one end. The next word's distribution depends on the longest kept ending, letter by
-letter, of the word before it, down to that whole word with its start. Every ending that training texts have often enough to
-tell, a fixed number of times, is tried as a context; it is kept if its distribution diverges enough from its longest kept suffix', and smoothed towards that suffix'.
-Scores come from the longest suffix states. Words that training texts lack share the mass of the words seen once, evenly over
-as many unseen words as the words seen once and twice let expect.
-
-What is gathered from the corpus are the counts of every distinct word after every context in all training texts. Texts
-are cut into blocks; a block sends its distinct words to buckets by hash, a bucket adds up the counts and scores each
-distinct pair of context and word once, and returns the figures to the blocks, where texts add up those of their
-words. So a word that fills the corpus costs a few entries for each block.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+A text is a sequence of words and one end. A context is what stands before a word: the last word, the last two, up to the
+last three, the start of the text counting as one. Every context that training texts have twice is put to a divergence test: it
+is kept if what follows it differs enough from what follows its longest kept suffix. The test is the gain in log likelihood
+over that suffix, with every occurrence judged by the context's other occurrences only. A kept context's distribution is
+smoothed towards that of its longest kept suffix, and a word is scored by the longest kept suffix of what stands before it.
+At the root are the counts of words. Words that training texts lack share the mass of the words seen once, evenly over as many
+unseen words as the words seen once and twice let expect: were there more, the shares would sum to more than one.
+
+Work is dealt by subtrees. All contexts that end in one word are the tree below that word; a bucket has whole subtrees, so
+that it counts, tests, smooths and scores by itself, and no table of contexts is ever sent anywhere. A context that has a large
+share of all words is hot: its subtree is dealt by the next longer contexts, and its own figures are found on a
+second way, as are those of the root: blocks of texts send the distinct pairs of such a context and a word to buckets by word, and
+these tell each subtree what the words in it have there. So a word that fills the corpus costs a few entries for each block,
+and any list of hot contexts gives the same scores.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specdag.llm.common import ascii_lower, drop_shuffles, materialize, text_slices, words_of
+from specdag.llm.common import ascii_lower, discard, drop_shuffles, materialize, text_slices, words_of
 from specdag.llm.grams import mix
 
-#: How often training texts must have an ending for it to be tried, and pairs that are expanded at a time.
-LEAST, AT_ONCE = 100, 1 << 18
-_BLOCKS = "block long, bucket int, words binary, size int, runs binary, contexts binary, counts binary, ids array<long>, held array<boolean>, codes binary, ends binary"
+#: The longest context, how often training texts must have one, what it must gain in nats to be kept, and how
+#: much weight, for each distinct word that follows it, its longest kept suffix may get.
+DEPTH, LEAST, STRENGTH, WEIGHTS = 3, 2, 1.0, (0.25, 0.5, 1.0, 2.0, 4.0)
+#: The end of a text as a word (no word has a space), and the symbol before a text's first word.
+END, START = " ", np.uint64(0x5354415254)
+#: The bytes of a block of texts, and the unit of the sums of logarithms that buckets return.
+BLOCK_BYTES, UNIT = 8 << 20, 1e-10
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-def _pack(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), "zstd", asbytes=True) if len(values) else b""
 
+def _pack(*columns: np.ndarray) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True) if (raw := b"".join(c.tobytes() for c in columns)) else b""
 
-def _unpack(blob: bytes | None, size: int, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if size else np.zeros(0, kind)
 
+def _unpack(blob: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    total, at, out = sum(np.dtype(kind).itemsize * n for kind, n in kinds), 0, []
+    raw = pa.decompress(blob, total, "zstd", asbytes=True) if total else b""
+    for kind, n in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += np.dtype(kind).itemsize * n
+    return out
 
-class Letters:
-    """Words from behind: hashes of their endings, letter by letter, a newline for the start of a word being the last letter."""
 
-    def __init__(self, words: list[str]):
-        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
-        self.letters = np.frombuffer(("\n" + "\n".join(words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        self.ends = np.cumsum(self.lengths + 1) - 1
-
-    def longer(self, some: np.ndarray, before: np.ndarray, depth: int) -> np.ndarray:
-        """Of the endings of words ``some`` with one letter more than ``depth``, given the hashes of those with ``depth``."""
-        with np.errstate(over="ignore"):
-            return mix(before * np.uint64(0x9E3779B97F4A7C15) + self.letters[self.ends[some] - depth] + np.uint64(1))
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often training texts have each word."""
-    for batch in text_slices(batches, "text", 16 << 20):
-        words, codes, offsets = words_of(batch.column("text"))
-        held = np.array(batch.column("held").to_pylist(), bool)
-        n = np.bincount(codes[~np.repeat(held, np.diff(offsets))], minlength=len(words))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(n[some].astype(np.int64))], ["word", "n"])
-
-
-def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every ending of every word: its hash, the next shorter one's, how many letters that has, and how often."""
-    for batch in text_slices(batches, "word"):
-        words, n = Letters(batch.column("word").to_pylist()), batch.column("n").to_numpy()
-        some, before, depth, parts = np.arange(len(n)), np.zeros(len(n), np.uint64), 0, []
-        while len(some):
-            own = words.longer(some, before, depth)
-            found, first, place = np.unique(own, return_index=True, return_inverse=True)
-            parts.append((found.view(np.int64), before[first].view(np.int64), np.full(len(found), depth), np.bincount(place, n[some]).astype(np.int64)))
-            depth += 1
-            more = words.lengths[some] >= depth
-            some, before = some[more], own[more]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["ending", "before", "depth", "n"])
+def _joined(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(before * _ODD + symbol)
 
 
 @dataclass
-class Contexts:
-    """Endings to try, number 0 being none. ``hashes`` are sorted, ``own`` has the number of each, ``above[c]`` is that of the
-    next shorter one and ``depth[c]`` how many there are down to c. An ending that is as frequent as the next shorter one
-    has the same occurrences and therefore its number."""
+class Hot:
+    """Hot contexts, numbered from 1 by depth; number 0 is the root. ``sorted`` has the hashes in order and ``own`` their numbers;
+    ``above[c]`` is the number of c's suffix, which is hot too."""
 
     hashes: np.ndarray
-    own: np.ndarray
     above: np.ndarray
     depth: np.ndarray
+    sorted: np.ndarray
+    own: np.ndarray
 
     @classmethod
-    def build(cls, hashes: np.ndarray, before: np.ndarray, letters: np.ndarray, n: np.ndarray) -> Contexts:
-        order = np.argsort(hashes)
-        hashes, before, letters, n = hashes[order], before[order], letters[order], n[order]
-        own, above, depth, many = np.zeros(len(hashes), np.int64), [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 1
-        by = np.lexsort((hashes, letters))
-        edges = np.searchsorted(letters[by], np.arange(int(letters.max()) + 2)) if len(by) else np.zeros(1, np.int64)
-        known = np.zeros(len(hashes), np.int64)
-        for d in range(len(edges) - 1):
-            at = by[edges[d] : edges[d + 1]]
-            up = np.searchsorted(hashes, before[at]) if d else at
-            fresh = (n[at] < n[up]) | (d == 0)
-            own[at] = np.where(fresh, 0, own[up])
-            own[at[fresh]] = np.arange(many, many + int(fresh.sum()))
-            above.append(own[up[fresh]] if d else np.zeros(int(fresh.sum()), np.int64))
-            known[at] = known[up] + fresh if d else 1
-            depth.append(known[at[fresh]])
-            many += int(fresh.sum())
-        return cls(hashes, own, np.concatenate(above), np.concatenate(depth))
-
-    @classmethod
-    def of(cls, endings: list[str]) -> Contexts:
-        """Of endings whose endings are among them."""
-        rows = []
-        for e in endings:
-            words, before = Letters([e.removeprefix("\n")]), np.zeros(1, np.uint64)
-            for depth in range(len(e)):
-                before, shorter = words.longer(np.zeros(1, np.int64), before, depth), before
-            rows.append((before[0], shorter[0], len(e) - 1, -len(e)))
-        return cls.build(*(np.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (np.uint64, np.uint64, np.int64, np.int64), strict=True)))
-
-    @property
-    def size(self) -> int:
-        return len(self.above)
-
-    @property
-    def paths(self) -> np.ndarray:
-        """The numbers from the shortest ending of each context to itself, with -1 behind."""
-        out = np.full((self.size, int(self.depth.max())), -1, np.int64)
-        for c in range(1, self.size):
-            out[c] = out[self.above[c]]
-            out[c, self.depth[c] - 1] = c
-        return out
-
-    def after(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words), np.int64)
-        letters, some, before, depth = Letters(words), np.arange(len(words)), np.zeros(len(words), np.uint64), 0
-        while len(some) and len(self.hashes):
-            found = letters.longer(some, before, depth)
-            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-            hit = self.hashes[at] == found
-            out[some[hit]] = self.own[at[hit]]
-            depth += 1
-            hit &= letters.lengths[some] >= depth
-            some, before = some[hit], found[hit]
+    def build(cls, rows: list[tuple[int, int, int]]) -> Hot:
+        """From (hash, hash of the suffix, depth); a context whose suffix is not among them is left out."""
+        number, above, depth = {0: 0}, [0], [0]
+        for own, suffix, d in sorted(rows, key=lambda x: (x[2], x[0])):
+            if suffix in number:
+                number[own] = len(above)
+                above.append(number[suffix])
+                depth.append(d)
+        hashes = np.array(list(number), np.uint64)
+        order = np.argsort(hashes[1:]) + 1
+        return cls(hashes, np.array(above), np.array(depth), hashes[order], order)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers, 0 for what is not hot."""
+        if not len(self.sorted):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.own[at], 0)
+
+
+class Block:
+    """Texts as one sequence of symbols: the words of each and an end behind them."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        words, codes, offsets = words_of(batch.column("text"))
+        self.words, self.held = [*words, END], np.array(batch.column("held").to_pylist(), bool)
+        ends = offsets[1:] + np.arange(batch.num_rows)
+        self.symbols = np.full(len(codes) + batch.num_rows, len(words), np.int64)
+        inner = np.ones(len(self.symbols), bool)
+        inner[ends] = False
+        self.symbols[inner] = codes
+        self.text = np.repeat(np.arange(batch.num_rows), np.diff(offsets) + 1)
+        self.place = np.arange(len(self.symbols)) - (offsets[:-1] + np.arange(batch.num_rows))[self.text]
+        self.training = ~self.held[self.text]
+        self.ids = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+
+    def before(self, distance: int) -> np.ndarray:
+        """The symbol so far before each; 0 where the text had not begun."""
+        out = np.zeros(len(self.symbols), np.uint64)
+        out[distance:] = self.ids[self.symbols[: len(self.symbols) - distance]]
+        out[self.place == distance - 1] = START
+        out[self.place < distance - 1] = 0
         return out
 
-    def every(self, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys (word * contexts + context) and counts of all pairs, each context's with those of longer ones."""
-        keys, counts = [word * self.size], [n]
-        while len(word):
-            some = context > 0
-            word, context, n = word[some], context[some], n[some]
-            keys.append(word * self.size + context)
-            counts.append(n)
-            context = self.above[context]
-        found, n = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(found)
-        found, n = found[order], n[order]
-        first = np.flatnonzero(np.diff(found, prepend=-1))
-        return found[first], np.add.reduceat(n, first).astype(np.int64) if len(first) else n
-
-
-def _by_words(pairs: np.ndarray, many: int) -> Iterator[slice]:
-    """Cut sorted pairs into stretches of whole words, so that expanding them takes bounded memory."""
-    start = 0
-    while start < len(pairs):
-        past = min(start + AT_ONCE, len(pairs))
-        past = int(np.searchsorted(pairs, (pairs[past - 1] // many + 1) * many))
-        yield slice(start, past)
-        start = past
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, shared: object) -> Iterator[pa.RecordBatch]:
-    """For each block of texts a row with the pairs of context and word that they go through, as codes, and a row for each
-    bucket with its distinct words, one a line, the contexts of each, and how often training texts have each pair.
-    Codes go by bucket and word, so a bucket's answers fill one stretch of them."""
-    schema = pa.schema(
-        [("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("size", pa.int32()), ("runs", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())]
-        + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("codes", pa.binary()), ("ends", pa.binary())]
-    )
-    contexts = shared.value
-    partition, many = TaskContext.get().partitionId(), contexts.size
-    for number, batch in enumerate(text_slices(batches, "text", 8 << 20)):
-        block = partition << 33 | number
-        words, codes, offsets = words_of(batch.column("text"))
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    def contexts(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hashes of the contexts of each length in turn, 0 where there is none, and the symbols before."""
+        symbols, found, last = [self.before(d) for d in range(1, depth + 1)], [], np.full(len(self.symbols), 1, np.uint64)
+        for s in symbols:
+            last = np.where(s > 0, _joined(last, s), np.uint64(0))
+            found.append(last)
+        return np.array(found).reshape(depth, -1), symbols
+
+    def dealt(self, hot: Hot, depth: int, buckets: int, ids: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of each symbol: its longest hot context, the hash of the next longer one (0 if there is none), its bucket, and the symbols
+        before that go beyond. What has no longer context is spread over buckets by text and symbol."""
+        contexts, symbols = self.contexts(depth)
+        longest, key, level, open_ = np.zeros(len(self.symbols), np.int64), np.zeros(len(self.symbols), np.uint64), np.full(len(self.symbols), depth), np.ones(len(self.symbols), bool)
+        for d in range(depth):
+            number = np.where(open_ & (contexts[d] > 0), hot.find(contexts[d]), 0)
+            stop = open_ & (number == 0)
+            key[stop], level[stop] = contexts[d][stop], d
+            longest = np.where(number > 0, number, longest)
+            open_ &= number > 0
+        spread = mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64) ^ _ODD)[self.text]
+        bucket = np.where(key > 0, mix(key), mix(spread ^ self.ids[self.symbols])) % np.uint64(buckets)
+        beyond = []
+        for k in range(1, depth):  # the k-th symbol that is longer than the key
+            at = level + k
+            beyond.append(np.where((key > 0) & (at < depth), np.choose(np.minimum(at, depth - 1), symbols), 0))
+        return longest, key, bucket.astype(np.int64), beyond
+
+
+def _hot(batches: Iterator[pa.RecordBatch], share: float, depth: int) -> Iterator[pa.RecordBatch]:
+    """Contexts that have a quarter of ``share`` of a block's training words, with their counts; at hash 0 the number of all."""
+    for batch in text_slices(batches, "text", 2 * BLOCK_BYTES):
+        block = Block(batch)
+        contexts, _ = block.contexts(depth)
+        some, rows = np.flatnonzero(block.training), [(np.zeros(1, np.uint64), np.zeros(1, np.uint64), 0, np.array([block.training.sum()]))]
+        least = max(2, share / 4 * len(some))
+        for d in range(depth):
+            some = some[contexts[d][some] > 0]
+            found, first, n = np.unique(contexts[d][some], return_index=True, return_counts=True)
+            often = n >= least
+            rows.append((found[often], contexts[d - 1][some[first[often]]] if d else np.zeros(int(often.sum()), np.uint64), d + 1, n[often]))
+            some = some[np.isin(contexts[d][some], found[often])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([r[k] for r in rows]).view(np.int64)) for k in (0, 1)] + [pa.array(np.concatenate([np.full(len(r[0]), r[2]) for r in rows])), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int64))],
+            ["hash", "above", "depth", "n"],
+        )
+
+
+_ITEMS = "bucket int, words binary, size long, distinct int, pairs int, items binary, wants binary, wanted int"
+
+
+def _items(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: object) -> Iterator[pa.RecordBatch]:
+    """For each block of texts and bucket of words: the words, one a line; for each word its pairs with hot contexts, how often
+    training texts have them, and the buckets of subtrees that ask for them."""
+    many = len(hot.value.above)
+    for batch in text_slices(batches, "text", BLOCK_BYTES):
+        block = Block(batch)
+        longest, _, ask, _ = block.dealt(hot.value, depth, buckets, batch.column("doc_id").to_pylist())
+        raw = [w.encode("utf-8", "surrogatepass") for w in block.words]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        before = np.zeros(len(codes), np.int64)
-        before[1:] = contexts.after(words)[codes[:-1]] if len(codes) else 0
-        before[offsets[:-1][np.diff(offsets) > 0]] = 0  # a text begins without a context
-        pairs, codes = np.unique(place[codes] * many + before, return_inverse=True)
-        held = np.array(batch.column("held").to_pylist(), bool)
-        counts = np.bincount(codes[~np.repeat(held, np.diff(offsets))], minlength=len(pairs)).astype("<i4")
-        runs = np.bincount(pairs // many, minlength=len(words)).astype("<i4")
+        pairs, codes = np.unique(place[block.symbols] * many + longest, return_inverse=True)
+        counts = np.bincount(codes[block.training], minlength=len(pairs))
+        wants = np.unique(codes * buckets + ask)
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        starts = np.concatenate(([0], np.cumsum(runs)))
-        rows = {name: [] for name in schema.names}
-
-        def put(rows: dict[str, list] = rows, block: int = block, **row: object) -> None:
-            for name, column in rows.items():
-                column.append(row.get(name, block if name == "block" else None))
-
+        of_pairs = np.searchsorted(pairs, edges * many)
+        of_wants = np.searchsorted(wants, of_pairs * buckets)
+        rows = []
         for b in np.flatnonzero(np.diff(edges)):
-            i, j = edges[b], edges[b + 1]
-            own = slice(starts[i], starts[j])
-            put(bucket=int(b), words=pa.compress(w := b"\n".join(raw[x] for x in order[i:j]), "zstd", asbytes=True), size=len(w), runs=_pack(runs[i:j]), contexts=_pack((pairs[own] % many).astype("<u4")), counts=_pack(counts[own]))
-        put(bucket=-1, ids=batch.column("doc_id").to_pylist(), held=held.tolist(), codes=_pack(codes.astype("<i4")), ends=_pack(offsets.astype("<i8")))
-        yield pa.RecordBatch.from_pydict(rows, schema=schema)
-
-
-def _reduce(table: pa.Table, contexts: Contexts) -> pa.Table:
-    """One row for a bucket: its distinct words with their counts, its pairs of word and context with theirs, and for each
-    block where its pairs are among them; of each context its count and its distinct words."""
+            own, asked = slice(of_pairs[b], of_pairs[b + 1]), slice(of_wants[b], of_wants[b + 1])
+            text = b"\n".join(raw[x] for x in order[edges[b] : edges[b + 1]])
+            items = _pack((pairs[own] // many - edges[b]).astype("<i4"), (pairs[own] % many).astype("<i4"), counts[own].astype("<i4"))
+            wanted = _pack((wants[asked] // buckets - of_pairs[b]).astype("<i4"), (wants[asked] % buckets).astype("<i4"))
+            rows.append({"bucket": int(b), "words": pa.compress(text, "zstd", asbytes=True), "size": len(text), "distinct": int(edges[b + 1] - edges[b]), "pairs": own.stop - own.start, "items": items, "wants": wanted, "wanted": asked.stop - asked.start})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("size", pa.int64()), ("distinct", pa.int32()), ("pairs", pa.int32()), ("items", pa.binary()), ("wants", pa.binary()), ("wanted", pa.int32())]))
+
+
+def _every(keys: np.ndarray, n: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (word * contexts + context) and counts of all pairs, those of each context with those of longer ones."""
+    many, found, counts = len(hot.above), [keys], [n]
+    while len(keys):
+        some = keys % many > 0
+        keys, n = keys[some] - keys[some] % many + hot.above[keys[some] % many], n[some]
+        found.append(keys)
+        counts.append(n)
+    every, place = np.unique(np.concatenate(found), return_inverse=True)
+    return every, np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
+
+
+def _reduce(table: pa.Table, hot: Hot, buckets: int) -> pa.Table:
+    """One row for a bucket of words: hashes of the distinct words, their pairs with the root and hot contexts and their counts, who
+    asks for which pair, and of each context how many words follow it and how many distinct ones."""
     known: dict[bytes, int] = {}
-    many, parts, sums = contexts.size, [], []
-    for words, size, runs, before, counts in zip(*(table.column(c).to_pylist() for c in ("words", "size", "runs", "contexts", "counts")), strict=True):
-        own = pa.decompress(words, size, "zstd", asbytes=True).split(b"\n")
+    many, parts, sums, asked = len(hot.above), [], [], []
+    for row in table.to_pylist():
+        own = pa.decompress(row["words"], row["size"], "zstd", asbytes=True).split(b"\n")
         refs = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own))
-        runs = _unpack(runs, len(own), "<i4")
-        total = int(runs.sum())
-        parts.append(np.repeat(refs, runs) * many + _unpack(before, total, "<u4"))
-        sums.append(_unpack(counts, total, "<i4"))
-    pairs, place = np.unique(np.concatenate(parts), return_inverse=True)
-    n = np.bincount(place, np.concatenate(sums), len(pairs)).astype("<i8")
-    context_counts, context_words = np.zeros((2, many), np.int64)
-    for part in _by_words(pairs, many):
-        keys, every = contexts.every(pairs[part] // many, pairs[part] % many, n[part])
-        context = (keys % many)[every > 0]
-        context_counts += np.bincount(context, every[every > 0], many).astype(np.int64)
-        context_words += np.bincount(context, minlength=many)
-    some = np.flatnonzero(context_words)
-    word_counts = np.bincount(pairs // many, n, len(known)).astype("<i8")
-    return pa.table(
-        {
-            "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
-            "size": pa.array([len(known)], pa.int64()),
-            "counts": pa.array([_pack(word_counts)], pa.binary()),
-            "tokens": pa.array([int(word_counts.sum())], pa.int64()),
-            "distinct": pa.array([int((word_counts > 0).sum())], pa.int64()),
-            "pairs": pa.array([len(pairs)], pa.int64()),
-            "pair_keys": pa.array([_pack(pairs.astype("<i8"))], pa.binary()),
-            "pair_counts": pa.array([_pack(n)], pa.binary()),
-            "some": pa.array([some], pa.list_(pa.int64())),
-            "context_counts": pa.array([context_counts[some]], pa.list_(pa.int64())),
-            "context_words": pa.array([context_words[some]], pa.list_(pa.int64())),
-            "once": pa.array([int((word_counts == 1).sum())], pa.int64()),
-            "twice": pa.array([int((word_counts == 2).sum())], pa.int64()),
-            "blocks": pa.array([table.column("block").to_pylist()], pa.list_(pa.int64())),
-            "sizes": pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
-            "refs": pa.array([_pack(place.astype("<i4"))], pa.binary()),
-        }
-    )
+        word, context, n = _unpack(row["items"], *[("<i4", row["pairs"])] * 3)
+        keys = refs[word] * many + context
+        pair, by = _unpack(row["wants"], *[("<i4", row["wanted"])] * 2)
+        parts.append(keys)
+        sums.append(n)
+        asked.append(np.stack((keys[pair], by)))
+    every, n = _every(np.concatenate(parts), np.concatenate(sums), hot)
+    keys, by = np.concatenate(asked, axis=1)
+    wants = np.unique(np.searchsorted(every, keys) * buckets + by)
+    seen = n > 0
+    of_words = n[every % many == 0]
+    row = {
+        "bucket": table.column("bucket")[0].as_py(),
+        "distinct": len(known),
+        "pairs": len(every),
+        "wanted": len(wants),
+        "data": _pack(np.fromiter((xxhash.xxh64_intdigest(w) for w in known), "<u8", len(known)), every.astype("<i8"), n.astype("<i8"), wants.astype("<i8")),
+        "context_counts": np.bincount(every % many, n, many).astype(np.int64).tolist(),
+        "context_words": np.bincount((every % many)[seen], minlength=many).tolist(),
+        "once": int((of_words == 1).sum()),
+        "twice": int((of_words == 2).sum()),
+    }
+    return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), ("distinct", pa.int64()), ("pairs", pa.int64()), ("wanted", pa.int64()), ("data", pa.binary()), ("context_counts", pa.list_(pa.int64())), ("context_words", pa.list_(pa.int64())), ("once", pa.int64()), ("twice", pa.int64())]))
+
+
+_WORDS = "bucket int, distinct long, pairs long, wanted long, data binary, context_counts array<long>, context_words array<long>, once long, twice long"
+
+
+@dataclass
+class Top:
+    """The root and the hot contexts: which are kept, with their counts, their distinct words and the weight of their longest kept
+    suffix. At the root the weight is that of all unseen words, of which there are ``unseen``."""
 
+    hot: Hot
+    kept: np.ndarray
+    counts: np.ndarray
+    distinct: np.ndarray
+    weights: np.ndarray
+    unseen: float
 
-#: How much weight, for each distinct word of a context, its longest kept suffix may get.
-WEIGHTS = (0.25, 0.5, 1.0, 2.0, 4.0)
+    def probabilities(self, every: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
+        """Of each pair's word after its context, for contexts down to ``depth``; for longer ones that after their suffix."""
+        many, out = len(self.kept), np.zeros(len(every))
+        context = every % many
+        up = np.searchsorted(every, every - context + self.hot.above[context])
+        root = context == 0
+        out[root] = np.where(n[root] > 0, n[root], self.weights[0] / self.unseen) / (self.counts[0] + self.weights[0])
+        for d in range(1, int(self.hot.depth.max()) + 1):
+            at = np.flatnonzero(self.hot.depth[context] == d)
+            q, c = out[up[at]], context[at]
+            own = (n[at] + self.weights[c] * q) / np.maximum(1, self.counts[c] + self.weights[c])
+            out[at] = np.where(self.kept[c] & (d <= depth), own, q)
+        return out
 
 
-def _gains(batches: Iterator[pa.RecordBatch], shared: object, figures: object) -> Iterator[pa.RecordBatch]:
-    """What each context would add to the log likelihood over the next shorter one, under each weight of smoothing.
+def _gain(n: np.ndarray, total: np.ndarray, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of n occurrences of a word after a context: the gain in log likelihood over ``q`` if each is judged by the others."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n > 0, n * (np.log((n - 1 + weight * q) / (total - 1 + weight)) - np.log(q)), 0.0)
 
-    It is the divergence of the two distributions with every occurrence judged by the others only: without that, rare
-    words make any context look informative."""
-    contexts, (counts, distinct) = shared.value, figures.value
-    many, above = contexts.size, contexts.above
+
+def _gains(batches: Iterator[pa.RecordBatch], top: object, depth: int) -> Iterator[pa.RecordBatch]:
+    """What each hot context of ``depth`` would gain over its longest kept suffix, under each weight."""
+    tree = top.value
+    many = len(tree.kept)
     for batch in batches:
-        for size, keys, n in zip(batch.column("pairs").to_pylist(), batch.column("pair_keys"), batch.column("pair_counts"), strict=True):
-            pairs, n = _unpack(keys.as_py(), size, "<i8"), _unpack(n.as_py(), size, "<i8")
-            sums = np.zeros((len(WEIGHTS), many))
-            for part in _by_words(pairs, many):
-                keys, every = contexts.every(pairs[part] // many, pairs[part] % many, n[part])
-                keys, every = keys[every > 0], every[every > 0]
-                c = keys % many
-                q = np.maximum(every[np.searchsorted(keys, keys - c + above[c])] - 1, 0.5) / counts[above[c]]
-                d, less, total, alone = distinct[c], every - 1, counts[c] - 1, np.log(q)
-                for k, w in enumerate(WEIGHTS):
-                    sums[k] += np.bincount(c, every * (np.log((less + w * d * q) / (total + w * d)) - alone), many)
-            some = np.flatnonzero(sums.any(0))
+        for row in batch.to_pylist():
+            _, every, n, _ = _unpack(row["data"], ("<u8", row["distinct"]), ("<i8", row["pairs"]), ("<i8", row["pairs"]), ("<i8", row["wanted"]))
+            q, c = tree.probabilities(every, n, depth - 1), every % many
+            at = np.flatnonzero((tree.hot.depth[c] == depth) & (n > 0))
+            sums = [np.bincount(c[at], _gain(n[at], tree.counts[c[at]], w * tree.distinct[c[at]], q[at]), many) for w in WEIGHTS]
+            some = np.unique(c[at])
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], ["context", *(f"g{k}" for k in range(len(WEIGHTS)))])
 
 
-@dataclass
-class WordTree:
-    """Which contexts are kept, with their counts and the weight of their longest kept suffix; at the root the weight is that
-    of all unseen words, of which there are ``unseen``."""
+_DEALT = "bucket int, block long, positions int, distinct int, texts int, data binary, ids array<long>, held array<boolean>"
+_DEALT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("positions", pa.int32()), ("distinct", pa.int32()), ("texts", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
 
-    contexts: Contexts
-    kept: np.ndarray
-    counts: np.ndarray
-    weights: np.ndarray
-    unseen: float
 
-    def score(self, word_counts: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 probability of each pair's word after its context."""
-        many, above, depth = self.contexts.size, self.contexts.above, self.contexts.depth
-        keys, every = self.contexts.every(word, context, n)
-        c, seen = keys % many, word_counts[keys // many]
-        log = np.log10(np.where(seen > 0, seen, self.weights[0] / self.unseen)) - np.log10(self.counts[0] + self.weights[0])
-        order = np.argsort(depth[c], kind="stable")
-        edges = np.searchsorted(depth[c][order], np.arange(1, int(depth.max()) + 2))
-        for i, j in zip(edges, edges[1:], strict=False):
-            at = order[i:j]
-            log[at] = log[np.searchsorted(keys, keys[at] - c[at] + above[c[at]])]
-            at = at[self.kept[c[at]]]
-            weight, total = self.weights[c[at]], self.counts[c[at]] + self.weights[c[at]]
-            below = log[at] + np.log10(weight / total)
-            with np.errstate(divide="ignore"):
-                own = np.log10(every[at] / total)
-            high = np.maximum(below, own)
-            log[at] = high + np.log10(10 ** (below - high) + 10 ** (own - high))
-        return log[np.searchsorted(keys, word * many + context)]
-
-
-def _answers(batches: Iterator[pa.RecordBatch], tree: object) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, words in enumerate(batch.column("size").to_pylist()):
-            counts = _unpack(batch.column("counts")[row].as_py(), words, "<i8")
-            size = batch.column("pairs")[row].as_py()
-            many = tree.value.contexts.size
-            pairs, n = _unpack(batch.column("pair_keys")[row].as_py(), size, "<i8"), _unpack(batch.column("pair_counts")[row].as_py(), size, "<i8")
-            word = pairs // many
-            costs = np.zeros(size, "<f4")
-            for part in _by_words(pairs, many):
-                costs[part] = tree.value.score(counts, word[part], pairs[part] % many, n[part])
-            seen = counts[word]
-            blocks, sizes = batch.column("blocks")[row].as_py(), batch.column("sizes")[row].as_py()
-            refs, at = _unpack(batch.column("refs")[row].as_py(), sum(sizes), "<i4"), 0
-            found = []
-            for k in sizes:
-                own = refs[at : at + k]
-                found.append((_pack(seen[own]), _pack(costs[own])))
-                at += k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int64()), pa.array([batch.column("bucket")[row].as_py()] * len(blocks), pa.int32()), pa.array(sizes, pa.int64()), pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())],
-                ["block", "bucket", "size", "counts", "costs"],
-            )
+def _names(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash for a word after a hot context."""
+    with np.errstate(over="ignore"):
+        return mix(word ^ mix(context * _ODD + np.uint64(7)))
 
 
-def _texts(table: pa.Table) -> pa.Table:
-    """Sums over the words of each text of a block."""
-    rows = sorted(table.select(["bucket", "size", "counts", "costs"]).to_pylist(), key=lambda r: r["bucket"])[1:]
-    none = [np.zeros(0)]
-    counts = np.concatenate(none + [_unpack(r["counts"], r["size"], "<i8") for r in rows])
-    costs = np.concatenate(none + [_unpack(r["costs"], r["size"], "<f4") for r in rows])
-    texts = table.filter(pc.equal(table.column("bucket"), -1)).to_pylist()[0]
-    ends = _unpack(texts["ends"], len(texts["ids"]) + 1, "<i8")
-    codes = _unpack(texts["codes"], int(ends[-1]), "<i4")
-    owner, n = np.repeat(np.arange(len(texts["ids"])), np.diff(ends)), len(texts["ids"])
-    return pa.table(
-        {
-            "doc_id": pa.array(texts["ids"], pa.int64()),
-            "held_out": pa.array(texts["held"], pa.bool_()),
-            "words": pa.array(np.diff(ends)),
-            "known": pa.array(np.bincount(owner, counts[codes] > 0, n).astype(np.int64)),
-            "base": pa.array(np.bincount(owner, np.log10(counts + 1)[codes], n).astype(float)),
-            "model": pa.array(np.bincount(owner, costs[codes], n).astype(float)),
-        }
-    )
+def _answers(batches: Iterator[pa.RecordBatch], top: object, buckets: int) -> Iterator[pa.RecordBatch]:
+    """To each bucket of subtrees the probability of each word that it asks for after its hot context, and the word's count."""
+    tree = top.value
+    many = len(tree.kept)
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, every, n, wants = _unpack(row["data"], ("<u8", row["distinct"]), ("<i8", row["pairs"]), ("<i8", row["pairs"]), ("<i8", row["wanted"]))
+            pair, by = wants // buckets, wants % buckets
+            order = np.argsort(by, kind="stable")
+            pair, by = pair[order], by[order]
+            word, context = every // many, every % many
+            names, q, count = _names(tree.hot.hashes[context], ids[word]), tree.probabilities(every, n, 1 << 30), n[np.searchsorted(every, word * many)]
+            edges = np.searchsorted(by, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)):
+                own = pair[edges[b] : edges[b + 1]]
+                data = _pack(names[own], q[own].astype("<f4"), count[own].astype("<i8"))
+                yield pa.RecordBatch.from_pylist([{"bucket": int(b), "positions": len(own), "data": data}], schema=_DEALT_SCHEMA)
+
+
+def _positions(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: object) -> Iterator[pa.RecordBatch]:
+    """For each block of texts and bucket of subtrees the symbols that follow contexts in it: the subtree, the symbols before
+    that go beyond, the symbol, and its text. One bucket gets the ids of the block's texts."""
+    partition = TaskContext.get().partitionId()
+    for number, batch in enumerate(text_slices(batches, "text", BLOCK_BYTES)):
+        block, ids = Block(batch), batch.column("doc_id").to_pylist()
+        number |= partition << 33
+        longest, key, bucket, beyond = block.dealt(hot.value, depth, buckets, ids)
+        names = _names(hot.value.hashes[longest], block.ids[block.symbols])
+        order = np.argsort((bucket.astype(np.uint64) << np.uint64(44)) | key >> np.uint64(20))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [{"bucket": number % buckets, "block": number, "ids": ids, "held": block.held.tolist()}]
+        for b in np.flatnonzero(np.diff(edges)):
+            own = order[edges[b] : edges[b + 1]]
+            found, codes = np.unique(names[own], return_inverse=True)
+            texts = (block.text[own] * 2 + block.training[own]).astype("<u4")
+            data = _pack(found, codes.astype("<u4"), key[own], texts, *(x[own].astype("<u4") for x in beyond))
+            rows.append({"bucket": int(b), "block": number, "positions": len(own), "distinct": len(found), "texts": batch.num_rows, "data": data})
+        yield pa.RecordBatch.from_pylist(rows, schema=_DEALT_SCHEMA)
+
+
+def walk(key: np.ndarray, beyond: list[np.ndarray], symbol: np.ndarray, q: np.ndarray, training: np.ndarray, least: int, strength: float) -> np.ndarray:
+    """The probability of each symbol after its longest kept context: ``key`` names the shortest one that is tried (0: none),
+    ``beyond`` what makes it longer, one symbol at a time (0: the text begins), and ``q`` is the probability after the suffix of ``key``."""
+    p, some, size = q.copy(), np.flatnonzero(key), int(symbol.max(initial=0)) + 1
+    group = key[some]
+    for d in range(len(beyond) + 1):
+        if d:
+            longer = beyond[d - 1][some]
+            some, group = some[longer > 0], (context[longer > 0].astype(np.uint64) << np.uint64(32)) | longer[longer > 0].astype(np.uint64)
+        _, context = np.unique(group, return_inverse=True)
+        counts = np.bincount(context, training[some])
+        enough = counts[context] >= least
+        some, context = some[enough], context[enough]
+        if not len(some):
+            break
+        pairs = context * size + symbol[some]
+        order = np.argsort(pairs)
+        pairs, at = pairs[order], some[order]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        n, c, own = np.add.reduceat(training[at].astype(np.int64), first), pairs[first] // size, p[at[first]]
+        distinct, best, weight = np.bincount(c, n > 0, len(counts)), np.full(len(counts), strength), np.zeros(len(counts))
+        for w in WEIGHTS:
+            gain = np.bincount(c, _gain(n, counts[c], w * distinct[c], own), len(counts))
+            weight = np.where(gain > best, w * distinct, weight)
+            best = np.maximum(gain, best)
+        kept = weight[c] > 0
+        own = np.where(kept, (n + weight[c] * own) / np.maximum(1, counts[c] + weight[c]), own)
+        p[at] = np.repeat(own, np.diff(np.append(first, len(pairs))))
+    return p
+
+
+def _subtrees(table: pa.Table, depth: int, least: int, strength: float) -> pa.Table:
+    """The sums of a bucket's symbols for each text: known ones, logarithms of counts, and logarithms of probabilities."""
+    names, q, counts, rows, out = [np.zeros(0, np.uint64)], [np.zeros(0, "<f4")], [np.zeros(0, "<i8")], [], []
+    for row in table.to_pylist():
+        if row["block"] is None:
+            found = _unpack(row["data"], ("<u8", row["positions"]), ("<f4", row["positions"]), ("<i8", row["positions"]))
+            names.append(found[0]), q.append(found[1]), counts.append(found[2])
+        elif row["ids"] is not None:
+            out.append({"block": row["block"], "ids": row["ids"], "held": row["held"]})
+        else:
+            rows.append(row)
+    names, q, counts = np.concatenate(names), np.concatenate(q), np.concatenate(counts)
+    order = np.argsort(names)
+    names, q, counts = names[order], q[order], counts[order]
+    parts, start = [], 0
+    for row in rows:
+        n = row["positions"]
+        found, codes, key, texts, *beyond = _unpack(row["data"], ("<u8", row["distinct"]), ("<u4", n), ("<u8", n), *[("<u4", n)] * (depth + 1))
+        at = np.searchsorted(names, found)
+        parts.append((at[codes], key, (texts >> 1).astype(np.int64) + start, (texts & 1).astype(bool), *beyond))
+        start += row["texts"]
+    if parts:
+        symbol, key, text, training, *beyond = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        p = walk(key, beyond, symbol, q[symbol].astype(float), training, least, strength)
+        many = np.bincount(text, minlength=start)
+        known = np.bincount(text, counts[symbol] > 0, start)
+        base = np.round(np.bincount(text, np.round(np.log10(counts + 1) / UNIT)[symbol], start)).astype("<i8")
+        model = np.bincount(text, np.log10(p), start)
+        begin = 0
+        for row in rows:
+            own = np.flatnonzero(many[begin : begin + row["texts"]])
+            own_at = own + begin
+            out.append({"block": row["block"], "n": len(own), "data": _pack(own.astype("<u4"), many[own_at].astype("<u4"), known[own_at].astype("<u4"), base[own_at], model[own_at].astype("<f4"))})
+            begin += row["texts"]
+    return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]))
 
 
-def score(docs: DataFrame, held_out: Callable[[Column], Column], *, least: int = LEAST, ending_share: float = 0.0, strength: float = 0.0, buckets: int | None = None) -> DataFrame:
+def _texts(table: pa.Table) -> pa.Table:
+    """Adds up what the buckets say of the texts of a block."""
+    rows = table.to_pylist()
+    texts = next(r for r in rows if r["ids"] is not None)
+    many, known, base, model = np.zeros((4, len(texts["ids"])))
+    for row in rows:
+        if row["ids"] is None:
+            n = row["n"]
+            own, a, b, c, d = _unpack(row["data"], ("<u4", n), ("<u4", n), ("<u4", n), ("<i8", n), ("<f4", n))
+            many[own] += a
+            known[own] += b
+            base[own] += c
+            model[own] += d
+    return pa.table({"doc_id": pa.array(texts["ids"], pa.int64()), "held_out": pa.array(texts["held"], pa.bool_()), "tokens": pa.array(many.astype(np.int64)), "known": pa.array(known.astype(np.int64)), "base": pa.array(base * UNIT), "model": pa.array(model)})
+
+
+def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int = DEPTH, least: int = LEAST, strength: float = STRENGTH, buckets: int | None = None) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out and score every row.
 
     Columns: ``doc_id``, ``held_out``, ``n_tokens`` (words and the end), ``n_known`` (those that training texts have),
-    ``train_tokens``, ``base_score`` (log10 under add-one word counts) and ``score`` (log10 under the tree). A-Z are lower-cased; words
-    are runs without the space and U+0009 to U+000D. Null and empty texts are one end. A null id counts as training. Repeated
-    rows count each; other columns are ignored; an empty table gives no rows; without training texts all words are unseen.
-    Every ending of the word before, up to the whole word, is tried if training texts have it ``least`` times (and, if that is
-    given, ``ending_share`` of all training words), so the tree grows with the corpus; it is kept if it gains more than ``strength`` nats for each of its distinct words.
+    ``train_tokens``, ``base_score`` (log10 under add-one word counts) and ``score`` (log10 under the tree). A-Z are lower-cased;
+    words are runs without the space and U+0009 to U+000D. Null and empty texts are one end. A null id counts as training.
+    Repeated rows count each; other columns are ignored; an empty table gives no rows; without training texts all words are unseen.
+
+    Contexts of up to ``depth`` words are tried if training texts have them ``least`` times (2 at least) and kept if they gain more than
+    ``strength`` nats. The word that a subtree is dealt by and the words scored are told apart by 64-bit hashes, the words further
+    back, within a subtree, by 32-bit ones. ``buckets`` follows the number of shuffle partitions, and with it what counts as hot, so
+    that a bucket stays small as the input grows; the hot contexts, which are all that tasks are sent, are 3 * buckets at most for each length.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = max(2, least)
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    counted = materialize(source.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "pst-vocabulary")
-    if ending_share:
-        least = max(least, ending_share * (counted.agg(F.sum("n")).first()[0] or 0))
-    endings = counted.mapInArrow(_endings, "ending long, before long, depth long, n long").groupBy("ending").agg(F.first("before").alias("before"), F.first("depth").alias("depth"), F.sum("n").alias("n"))
-    tried = endings.filter(F.col("n") >= F.lit(least)).toArrow()
-    contexts = Contexts.build(*(tried.column(c).to_numpy().view(kind) for c, kind in (("ending", np.uint64), ("before", np.uint64), ("depth", np.int64), ("n", np.int64))))
-    shared = spark.sparkContext.broadcast(contexts)
+    share = 1 / (2 * buckets)
+    often = source.mapInArrow(partial(_hot, share=share, depth=depth), "hash long, above long, depth long, n long").groupBy("hash").agg(F.first("above").alias("above"), F.first("depth").alias("depth"), F.sum("n").alias("n"))
+    often = materialize(often, "pst-often")
+    training = often.filter("hash = 0").agg(F.sum("n")).first()[0] or 0
+    rows = often.filter(F.col("hash") != 0).filter(F.col("n") >= F.lit(share * training * 3 / 4)).select("hash", "above", "depth").collect()
+    discard(often)
+    contexts = Hot.build([(r["hash"] % (1 << 64), r["above"] % (1 << 64), r["depth"]) for r in rows])
+    hot = spark.sparkContext.broadcast(contexts)
+    items = source.mapInArrow(partial(_items, buckets=buckets, depth=depth, hot=hot), _ITEMS)
+    words = materialize(items.groupBy("bucket").applyInArrow(lambda table: _reduce(table, hot.value, buckets), _WORDS), "pst-words")
     drop_shuffles(spark)
-    blocks = materialize(source.mapInArrow(partial(_blocks, buckets=buckets, shared=shared), _BLOCKS), "pst-blocks")
-    words = materialize(
-        blocks.filter("bucket >= 0")
-        .select("block", "bucket", "words", "size", "runs", "contexts", "counts")
-        .repartition(buckets, "bucket")
-        .groupBy("bucket")
-        .applyInArrow(
-            lambda table: _reduce(table, shared.value),
-            "bucket int, size long, counts binary, tokens long, distinct long, pairs long, pair_keys binary, pair_counts binary,"
-            "some array<long>, context_counts array<long>, context_words array<long>, once long, twice long, blocks array<long>, sizes array<long>, refs binary",
-        ),
-        "pst-words",
-    )
-    drop_shuffles(spark)
-    of_words = [x or 0 for x in words.agg(*(F.sum(c) for c in ("tokens", "distinct", "once", "twice"))).first()]
-    training = blocks.filter("bucket < 0").agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    tokens, distinct = of_words[0] + training, of_words[1] + (training > 0)
-    once, twice = max(1, of_words[2]), max(1, of_words[3])
-    figures = np.zeros((2, contexts.size))
-    by_context = words.select(F.explode(F.arrays_zip("some", "context_counts", "context_words")).alias("x")).groupBy("x.some")
-    table = by_context.agg(F.sum("x.context_counts").alias("n"), F.sum("x.context_words").alias("words")).toArrow()
-    figures[:, table.column("some").to_numpy()] = table.column("n").to_numpy(), table.column("words").to_numpy()
+
+    sums = words.select(F.posexplode(F.arrays_zip("context_counts", "context_words")).alias("context", "x")).groupBy("context").agg(F.sum("x.context_counts").alias("n"), F.sum("x.context_words").alias("words")).toArrow()
+    figures = np.zeros((2, len(contexts.above)))
+    figures[:, sums.column("context").to_numpy()] = sums.column("n").to_numpy(), sums.column("words").to_numpy()
+    once, twice = (max(1, x or 0) for x in words.agg(F.sum("once"), F.sum("twice")).first())
+    tokens, distinct = int(figures[0, 0]), int(figures[1, 0])
+    top = Top(contexts, np.zeros(len(contexts.above), bool), figures[0], figures[1], np.zeros(len(contexts.above)), max(1.0, once**2 / (2 * twice)))
+    top.weights[0] = once
     names = [f"g{k}" for k in range(len(WEIGHTS))]
-    told = words.select("pairs", "pair_keys", "pair_counts").mapInArrow(partial(_gains, shared=shared, figures=spark.sparkContext.broadcast(figures)), ", ".join(["context long", *(f"{g} double" for g in names)]))
-    table = told.groupBy("context").agg(*(F.sum(g).alias(g) for g in names)).toArrow()
-    gains = np.zeros((contexts.size, len(WEIGHTS)))
-    gains[table.column("context").to_numpy()] = np.column_stack([table.column(g).to_numpy() for g in names])
+    for d in range(1, int(contexts.depth.max()) + 1):
+        told = words.mapInArrow(partial(_gains, top=spark.sparkContext.broadcast(top), depth=d), ", ".join(["context long", *(f"{g} double" for g in names)]))
+        table = told.groupBy("context").agg(*(F.sum(g).alias(g) for g in names)).toArrow()
+        gains = np.zeros((len(contexts.above), len(WEIGHTS)))
+        gains[table.column("context").to_numpy()] = np.column_stack([table.column(g).to_numpy() for g in names])
+        fresh = contexts.depth == d
+        top = replace(top, kept=np.where(fresh, (gains.max(1) > strength) & (top.counts >= least), top.kept), weights=np.where(fresh, figures[1] * np.array(WEIGHTS)[gains.argmax(1)], top.weights))
+
+    answers = words.mapInArrow(partial(_answers, top=spark.sparkContext.broadcast(top), buckets=buckets), _DEALT)
+    positions = source.mapInArrow(partial(_positions, buckets=buckets, depth=depth, hot=hot), _DEALT)
+    subtrees = positions.unionByName(answers).groupBy("bucket").applyInArrow(lambda table: _subtrees(table, depth - 1, least, strength), "block long, n int, data binary, ids array<long>, held array<boolean>")
+    subtrees = materialize(subtrees, "pst-sums")
+    discard(words)
     drop_shuffles(spark)
-    weights = figures[1] * np.array(WEIGHTS)[gains.argmax(1)]
-    weights[0] = once
-    kept = (gains.max(1) > strength * figures[1]) & (np.arange(len(gains)) > 0)
-    tree = spark.sparkContext.broadcast(WordTree(contexts, kept, figures[0], weights, max(1.0, once**2 / (2 * twice))))
-    answers = words.mapInArrow(partial(_answers, tree=tree), "block long, bucket int, size long, counts binary, costs binary")
-    texts = blocks.filter("bucket < 0").select("block", "bucket", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("costs"), "ids", "held", "codes", "ends")
-    nothing = {"ids": "array<long>", "held": "array<boolean>", "codes": "binary", "ends": "binary"}
-    both = answers.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in nothing.items())).unionByName(texts)
-    sums = both.groupBy("block").applyInArrow(_texts, "doc_id long, held_out boolean, words long, known long, base double, model double")
-    end = (training + 1) / (tokens + 2)  # the share of ends among training tokens, smoothed
+    sums = subtrees.groupBy("block").applyInArrow(_texts, "doc_id long, held_out boolean, tokens long, known long, base double, model double")
     unit = float(np.log10(tokens + distinct + 1))
     return sums.select(
-        "doc_id",
-        "held_out",
-        (F.col("words") + 1).alias("n_tokens"),
-        (F.col("known") + (1 if training else 0)).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + float(np.log10(training + 1)) - (F.col("words") + 1) * unit).alias("base_score"),
-        (F.col("model") + F.col("words") * float(np.log10(1 - end)) + float(np.log10(end))).alias("score"),
+        "doc_id", "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("tokens") * unit).alias("base_score"), F.col("model").alias("score")
     )
