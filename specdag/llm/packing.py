@@ -8,6 +8,7 @@ none needs padding; equal lengths share a bucket, from which a trainer draws bat
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -34,7 +35,8 @@ class Encoder:
     """Token ids of whole texts through the ``tokenizers`` file at ``path``.
 
     If ``ranks`` names the same vocabulary as a rank file, with ``pattern`` as its pre-tokenizer, texts of settled
-    characters go through ``tiktoken``, which gives the same ids several times faster; other texts never do.
+    characters go through ``tiktoken``, which gives the same ids several times faster; other texts never do, and no text that
+    holds the string of an added token, which ``tokenizers`` reads as that token.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
@@ -42,6 +44,8 @@ class Encoder:
         if ranks:
             import tiktoken
 
+            with open(path, encoding="utf-8") as file:
+                self.added = [t["content"] for t in json.load(file).get("added_tokens", ())]
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -52,9 +56,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        return found
+        return Tokenizer.from_file(self.path)
 
     @classmethod
     def of(cls, path: str, ranks: str | None = None, pattern: str | None = None) -> Encoder:
@@ -64,7 +66,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.fast and (text.isascii() or _SETTLED.fullmatch(text)) and not _CONTROL.search(text):
+        if self.fast and (text.isascii() or _SETTLED.fullmatch(text)) and not _CONTROL.search(text) and not any(x in text for x in self.added):
             return array("I", self.fast.encode_ordinary(text)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
