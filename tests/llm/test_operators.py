@@ -121,16 +121,38 @@ def test_tree_takes_the_tightest_bin():
                 plain.remove(want)
 
 
-def test_best_fit_decreasing_keeps_capacity():
-    r = random.Random(4)
-    sizes = [r.randint(1, 100) for _ in range(500)]
-    bins, opened = sharding.best_fit_decreasing(sizes, 100)
-    loads = collections.Counter()
-    for s, b in zip(sizes, bins, strict=True):
-        loads[b] += s
-    assert max(loads.values()) <= 100 and opened == len(loads) <= math.ceil(sum(sizes) / 100 * 11 / 9) + 1
+def test_tree_stays_balanced():
+    tree = sharding.Tree()
+    for b in range(4096):
+        tree.add((b, b))
+    assert tree.root.height <= 17
+    assert [tree.take(0)[1] for _ in range(4096)] == list(range(4096)) and tree.root is None
+
+
+def naive_best_fit(sizes, capacity):
+    """Bins' loads in the order of opening, item after item."""
+    loads, bins = [], []
+    for size in sorted(sizes, reverse=True):
+        fitting = [(capacity - load - size, b) for b, load in enumerate(loads) if load + size <= capacity]
+        b = min(fitting)[1] if fitting else len(loads)
+        if not fitting:
+            loads.append(0)
+        loads[b] += size
+        bins.append((size, b))
+    return loads, sorted(bins)
+
+
+@pytest.mark.parametrize("most", [3, 20, 100])
+def test_best_fit_decreasing_equals_item_by_item(most):
+    r = random.Random(most)
+    for _ in range(30):
+        sizes = [r.randint(1, most) for _ in range(r.randint(0, 200))]
+        classes = list(collections.Counter(sizes).items())
+        runs, opened = sharding.best_fit_decreasing(classes, 100)
+        loads, bins = naive_best_fit(sizes, 100)
+        assert opened == len(loads) and sorted((size, b) for (size, _), own in zip(classes, runs, strict=True) for b, n in own for _ in range(n)) == bins
     with pytest.raises(ValueError):
-        sharding.best_fit_decreasing([101], 100)
+        sharding.best_fit_decreasing([(101, 1)], 100)
 
 
 def test_shards(spark, odd):
@@ -148,8 +170,11 @@ def test_shards(spark, odd):
     assert all(len(s) == 1 for s in by_text.values()) and set(sums) <= set(range(7))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(sums.values()) <= max(1.05 * sum(sums.values()) / 7, 16000)
-    fixed = sharding.shard(docs, capacity=20_000)
-    assert fixed.groupBy("shard").agg(F.sum("size").alias("b")).agg(F.max("b")).first()[0] <= 20_000
+    fixed = sharding.shard(docs, capacity=20_000).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    in_groups = collections.Counter()
+    for r in docs.collect():
+        in_groups[r["text"] or ""] += len((r["text"] or "").encode()) + 16
+    assert [r["b"] for r in sorted(fixed, key=lambda r: r["shard"])] == naive_best_fit(list(in_groups.values()), 20_000)[0]
     with pytest.raises(ValueError):
         sharding.shard(docs)
 
