@@ -34,11 +34,6 @@ def remainder(id_column: Column, modulus: int) -> Column:
     return (F.crc32(F.encode(id_column.cast("string"), "UTF-8")) % modulus).cast("int")
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only; every other character stays."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``: a one-element array holds it, so Catalyst cannot copy its expression."""
     return F.transform(F.array(value), body)[0]

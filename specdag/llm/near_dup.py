@@ -23,11 +23,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specdag.llm.common import ascii_lower, discard, drop_shuffles, materialize, text_slices, words_of
+from specdag.llm.common import discard, drop_shuffles, materialize, text_slices, words_of
 from specdag.llm.components import components
 from specdag.llm.grams import mix
 
@@ -38,6 +39,7 @@ MOST_BROADCAST, GROUP = 1_000_000, 256
 SHARE, MOST_WORDS, MOST_SHINGLES = 2e-4, 1 << 16, 1 << 18
 #: Fixed value: the bits of a shingle's hash; those above it hold its rarity.
 BITS = 56
+_ALL = -(1 << 63)  # stands for all words together
 
 
 @dataclass(frozen=True)
@@ -45,22 +47,29 @@ class Ranks:
     """What the order of shingles goes by: how often words and frequent shingles occur."""
 
     tokens: int
-    words: dict[str, int]
-    hashes: np.ndarray  # of frequent shingles, in order
-    counts: np.ndarray
+    words: tuple[np.ndarray, np.ndarray]  # hashes in order, and counts
+    shingles: tuple[np.ndarray, np.ndarray]
+
+
+def _looked_up(hashes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts, 0 for what the table lacks."""
+    if not len(table[0]):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+    return np.where(table[0][at] == hashes, table[1][at], 0)
 
 
 class Shingles:
     """Of each of a batch of texts the distinct shingles in order: hashes of ``BITS`` bits, under ``ranks`` with the rarity above."""
 
     def __init__(self, texts: pa.Array, width: int, ranks: Ranks | None = None):
-        words, codes, self.offsets = words_of(texts)
+        words, self.codes, self.offsets = words_of(pc.ascii_lower(texts))
         self.width, self.ranks = width, ranks
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        self.words = hashes[codes] if words else np.zeros(0, np.uint64)
+        self.distinct = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        self.words = self.distinct[self.codes] if words else np.zeros(0, np.uint64)
         self.logs = np.zeros(len(self.words), np.float32)
         if ranks is not None and words:
-            self.logs = np.log2(np.fromiter((ranks.words.get(w, 0) for w in words), np.float32, len(words)) + np.float32(0.5))[codes]
+            self.logs = np.log2(_looked_up(self.distinct >> np.uint64(64 - BITS), ranks.words) + np.float32(0.5)).astype(np.float32)[self.codes]
         self.windows = self._windows(0, len(self.words), width)  # those across two texts are never read
 
     def _windows(self, begin: int, past: int, width: int) -> np.ndarray:
@@ -76,9 +85,7 @@ class Shingles:
         for k in range(begin, begin + width):
             logs += self.logs[k : k + n]
         seen = np.exp2(np.minimum(logs, 60)) + np.float32(0.5)  # occurrences if words met at random
-        if len(self.ranks.hashes):
-            at = np.minimum(np.searchsorted(self.ranks.hashes, h), len(self.ranks.hashes) - 1)
-            seen = np.maximum(seen, np.where(self.ranks.hashes[at] == h, self.ranks.counts[at], 0))
+        seen = np.maximum(seen, _looked_up(h, self.ranks.shingles))
         rank = np.minimum(np.round(3 * np.log2(seen)) + 3, 127).astype(np.uint64)
         return rank << np.uint64(BITS) | h
 
@@ -98,37 +105,35 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each word and shingle, for those that a slice has often enough, and of all words together."""
-    for batch in text_slices(batches, "text", 8 << 20):
-        words, codes, _ = words_of(batch.column("text"))
-        n = np.bincount(codes, minlength=len(words))
+    """Occurrences of words (as -1 - hash) and shingles (as hash), for those that a slice has often enough, and of all words together."""
+    for batch in text_slices(batches, "text"):
+        shingles = Shingles(batch.column("text"), width)
+        n = np.bincount(shingles.codes, minlength=len(shingles.distinct))
         some = np.flatnonzero(n >= max(2, SHARE * batch.num_rows))
-        windows = np.sort(Shingles(batch.column("text"), width).windows)
+        windows = np.sort(shingles.windows)
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(windows)), bool), windows[1:] != windows[:-1])))
         m = np.diff(np.append(first, len(windows)))
         often = m >= max(3, SHARE * batch.num_rows)
-        found, shingles = [words[i] for i in some], windows[first[often]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([None] + found + [None] * len(shingles), pa.string()),
-                pa.array(np.concatenate((np.full(1 + len(found), -1, np.int64), shingles.astype(np.int64)))),
-                pa.array(np.concatenate(([len(codes)], n[some], m[often])).astype(np.int64)),
-            ],
-            ["word", "shingle", "n"],
-        )
+        words = -1 - (shingles.distinct[some] >> np.uint64(64 - BITS)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([_ALL], words, windows[first[often]].astype(np.int64)))), pa.array(np.concatenate(([len(shingles.codes)], n[some], m[often])).astype(np.int64))], ["item", "n"])
 
 
 def _ranks(source: DataFrame, width: int) -> Ranks:
     total = source.count()
-    counted = materialize(source.mapInArrow(partial(_frequent, width=width), "word string, shingle long, n long").groupBy("word", "shingle").agg(F.sum("n").alias("n")), "near-counts")
-    often = counted.filter(F.col("n") >= SHARE * total)
-    common = often.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
-    tokens = counted.filter("word IS NULL AND shingle < 0").agg(F.sum("n")).first()[0] or 0
-    repeated = often.filter("word IS NULL AND shingle >= 0").orderBy(F.desc("n"), "shingle").limit(MOST_SHINGLES).select("shingle", "n").toArrow()
-    hashes = repeated.column("shingle").to_numpy().astype(np.uint64)
-    order = np.argsort(hashes)
+    counted = materialize(source.mapInArrow(partial(_frequent, width=width), "item long, n long").groupBy("item").agg(F.sum("n").alias("n")), "near-counts")
+    tokens = counted.filter(F.col("item") == _ALL).agg(F.sum("n")).first()[0] or 0
+    often = counted.filter((F.col("n") >= SHARE * total) & (F.col("item") != _ALL))
+
+    def table(kind: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        found = kind.orderBy(F.desc("n"), "item").limit(most).toArrow()
+        hashes = found.column("item").to_numpy().astype(np.uint64)
+        order = np.argsort(hashes)
+        return hashes[order], found.column("n").to_numpy()[order]
+
+    words = table(often.filter("item < 0").select((-1 - F.col("item")).alias("item"), "n"), MOST_WORDS)
+    shingles = table(often.filter("item >= 0"), MOST_SHINGLES)
     discard(counted)
-    return Ranks(tokens, dict(zip(common.column("word").to_pylist(), common.column("n").to_pylist(), strict=True)), hashes[order], repeated.column("n").to_numpy()[order])
+    return Ranks(tokens, words, shingles)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: object) -> Iterator[pa.RecordBatch]:
@@ -220,11 +225,14 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
 
 def _lists(classes: DataFrame) -> DataFrame:
     """The inverted lists of two members or more: ``key``, ``node`` and the list's ``size``."""
-    following = F.transform(F.slice("retained", 1, F.size("retained") - 1), lambda v, i: F.xxhash64(v, F.get("retained", i + 1)))
-    entries = classes.filter(F.size("retained") > 1).select("node", F.explode(following).alias("key"))
-    sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "near-keys")
+    at = classes.filter(F.size("retained") > 1).select("node", "retained", F.explode(F.sequence(F.lit(0), F.size("retained") - 2)).alias("at"))
+    entries = at.select("node", F.xxhash64(F.get("retained", F.col("at")), F.get("retained", F.col("at") + 1)).alias("key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("size > 1")
+    sizes = materialize(sizes, "near-keys")
     drop_shuffles(classes.sparkSession)
-    lists = materialize(entries.join(sizes, "key"), "near-lists")
+    two = sizes.filter("size = 2").select("key", F.explode(F.array("low", "high")).alias("node"), "size")
+    more = checked_join(entries, sizes.filter("size > 2").select("key", "size"), "key")  # most lists have two members
+    lists = materialize(two.unionByName(more), "near-lists")
     discard(sizes)
     drop_shuffles(classes.sparkSession)
     return lists
@@ -264,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranks = spark.sparkContext.broadcast(_ranks(source, width))
     schema = "doc_id long, n long, f1 long, f2 long, retained array<long>"
     made = source.mapInArrow(partial(_sets, width=width, percent=percent, ranks=ranks), schema)
@@ -275,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     copies = rows.filter("row <> node").select("row")
     classes = checked_join(known, copies, "row", "left_anti").select(F.col("row").alias("node"), F.col("doc_id").alias("doc"), "n", "f1", "retained")
     lists = _lists(classes)
-    listed = materialize(classes.join(lists.select("node").distinct(), "node", "left_semi"), "near-sketches")
+    listed = materialize(checked_join(classes, materialize(lists.select("node").distinct(), "near-listed"), "node", "left_semi"), "near-sketches")
     narrow = materialize(sets.select("doc_id", "row", "n"), "near-ids")
     discard(sets)
     source = source.filter(F.col("doc_id").isNotNull())
