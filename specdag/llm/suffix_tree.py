@@ -25,12 +25,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specdag.llm.common import ascii_lower, discard, drop_shuffles, materialize, text_slices, words_of
+from specdag.llm.common import discard, drop_shuffles, materialize, text_slices, words_of
 from specdag.llm.grams import mix
 
 #: The longest context, how often training texts must have one, what it must gain in nats to be kept, and how
@@ -98,7 +99,7 @@ class Block:
     """Texts as one sequence of symbols: the words of each and an end behind them."""
 
     def __init__(self, batch: pa.RecordBatch):
-        words, codes, offsets = words_of(batch.column("text"))
+        words, codes, offsets = words_of(pc.ascii_lower(batch.column("text")))
         self.words, self.held = [*words, END], np.array(batch.column("held").to_pylist(), bool)
         ends = offsets[1:] + np.arange(batch.num_rows)
         self.symbols = np.full(len(codes) + batch.num_rows, len(words), np.int64)
@@ -286,7 +287,7 @@ def _gains(batches: Iterator[pa.RecordBatch], top: object, depth: int) -> Iterat
             _, every, n, _ = _unpack(row["data"], ("<u8", row["distinct"]), ("<i8", row["pairs"]), ("<i8", row["pairs"]), ("<i8", row["wanted"]))
             q, c = tree.probabilities(every, n, depth - 1), every % many
             at = np.flatnonzero((tree.hot.depth[c] == depth) & (n > 0))
-            sums = [np.bincount(c[at], _gain(n[at], tree.counts[c[at]], w * tree.distinct[c[at]], q[at]), many) for w in WEIGHTS]
+            sums = [np.bincount(c[at], _gain(n[at], tree.counts[c[at]], w * tree.distinct[c[at]], q[at]), many).astype(float) for w in WEIGHTS]
             some = np.unique(c[at])
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], ["context", *(f"g{k}" for k in range(len(WEIGHTS)))])
 
@@ -443,7 +444,7 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = max(2, least)
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     share = 1 / (2 * buckets)
     often = source.mapInArrow(partial(_hot, share=share, depth=depth), "hash long, above long, depth long, n long").groupBy("hash").agg(F.first("above").alias("above"), F.first("depth").alias("depth"), F.sum("n").alias("n"))
     often = materialize(often, "pst-often")
