@@ -32,13 +32,12 @@ SPACING = " .-_*~'`,:;/\\|+="
 #: Costs in nats of leaving a disguise unread, of dropping spacing, and of a repeated letter read once.
 AS_IS, DROPPED, REPEATED = 6.0, 0.5, 0.3
 SIZES = (3, 4, 5, 6)
-MOST_LATTICE = 48  # characters of one lattice; longer words and runs are read in overlapping pieces
+PHRASE = 48  # letters of a reading; a longer one is a phrase, of which overlapping pieces count each
 UNLIKELY = 4.0  # nats of a doubled letter that may be a disguise
 
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&@+=~`_-¡¿“”‘’«»…"
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<{\[€£¡#%*.\-_~'`/\\].*|[0-9@$!|+(<{\[€£¡#%*].*[^\W\d_].*|.*([^\W\d_])\1\1.*", re.DOTALL)
 _DOUBLED = re.compile(r"([^\W\d_])\1")
-_STRETCHED = re.compile(r"(.)\1{2,}", re.DOTALL)
 _MARK = "^"
 
 
@@ -71,6 +70,11 @@ class CharacterModel:
             costs[g] = float(-np.log(p))
         return cls(costs, float(np.log(2 * total + 2 * alphabet)))
 
+    @property
+    def most(self) -> float:
+        """No letter costs more, whatever stands before it."""
+        return self.floor + 1.5
+
     def cost(self, context: str, letter: str) -> float:
         """Of ``letter`` after the two letters of ``context``."""
         get = self.costs.get
@@ -81,33 +85,55 @@ class CharacterModel:
         return found
 
 
+def _readings_of(c: str) -> list[tuple[str, float]]:
+    """The letters that a character may be read as, with their costs."""
+    return [(c, 0.0 if c.isalpha() else AS_IS)] + [(x, 0.2) for x in STANDS_FOR.get(c, "")]
+
+
 def decode(seen: str, model: CharacterModel) -> str:
-    """The likeliest reading of a disguised word: Viterbi over the letters each character may stand for.
+    """The likeliest reading of a disguised word of any length: Viterbi over the letters each character may stand for.
 
     A state is the last two letters read. A character is read as one of its letters, dropped as spacing, or dropped as
-    a repeat of the letter before it.
+    a repeat of the letter before it. States are left out only where they cannot win: whatever may follow, the best state can
+    go the same way, and the two letters of its own that it goes by cost it at most ``model.most`` each.
     """
-    states: dict[str, tuple[float, str]] = {_MARK * 2: (0.0, "")}
-    before = ""
+    lattice: dict[str, list[tuple[str, float]]] = {}
+    states: dict[str, tuple[float, tuple | None]] = {_MARK * 2: (0.0, None)}
+    get, floor, before, slack = model.costs.get, model.floor, "", 2 * model.most
     for c in seen:
-        after: dict[str, tuple[float, str]] = {}
-
-        def put(state: str, cost: float, read: str, after: dict[str, tuple[float, str]] = after) -> None:
-            if state not in after or cost < after[state][0]:
-                after[state] = (cost, read)
-
-        readings = [(c, 0.0 if c.isalpha() else AS_IS)] + [(x, 0.2) for x in STANDS_FOR.get(c, "")]
+        after: dict[str, tuple[float, tuple | None]] = {}
+        readings = lattice.get(c)
+        if readings is None:
+            readings = lattice[c] = _readings_of(c)
+        spacing = c in SPACING
         for state, (cost, read) in states.items():
+            last = state[1]
             for letter, extra in readings:
-                put(state[1] + letter, cost + extra + model.cost(state, letter), read + letter)
-                if letter == before[-1:] or letter == state[1]:
-                    put(state, cost + extra + REPEATED, read)
-            if c in SPACING:
-                put(state, cost + DROPPED, read)
-        best = min(x[0] for x in after.values())
-        states = {s: x for s, x in after.items() if x[0] < best + 25}  # others cannot win back what they lack
+                found = get(state + letter)
+                if found is None:
+                    found = get(last + letter)
+                    found = get(letter, floor) + 1.5 if found is None else found + 0.7
+                found += cost + extra
+                to = last + letter
+                old = after.get(to)
+                if old is None or found < old[0]:
+                    after[to] = (found, (letter, read))
+                if letter == before or letter == last:
+                    old, found = after.get(state), cost + extra + REPEATED
+                    if old is None or found < old[0]:
+                        after[state] = (found, read)
+            if spacing:
+                old, found = after.get(state), cost + DROPPED
+                if old is None or found < old[0]:
+                    after[state] = (found, read)
+        most = min(x[0] for x in after.values()) + slack
+        states = {s: x for s, x in after.items() if x[0] <= most}
         before = c
-    return min((cost + model.cost(state, _MARK), read) for state, (cost, read) in states.items())[1]
+    read, out = min(((cost + model.cost(state, _MARK), state, read) for state, (cost, read) in states.items()), key=lambda x: x[:2])[2], []
+    while read:
+        out.append(read[0])
+        read = read[1]
+    return "".join(reversed(out))
 
 
 @dataclass
@@ -115,7 +141,7 @@ class ToxicModel:
     hashes: np.ndarray  # sorted n-gram hashes with evidence
     weights: np.ndarray
     letters: CharacterModel
-    fit: np.ndarray  # intercept and a weight for each of the best words' evidence
+    fit: np.ndarray  # intercept and a weight for each measurement of ``best_words``
 
 
 def _plain(words: list[str]) -> list[str]:
@@ -133,9 +159,9 @@ def evidence(words: list[str], model: ToxicModel) -> np.ndarray:
     return out
 
 
-def _pieces(text: str) -> list[str]:
-    """Overlapping pieces of a length that a lattice may have; no piece lies within the one before."""
-    return [text[i : i + MOST_LATTICE] for i in range(0, max(1, len(text) - MOST_LATTICE // 2), MOST_LATTICE // 2)]
+def _pieces(reading: str) -> list[str]:
+    """Overlapping pieces of a long reading; no piece lies within the one before."""
+    return [reading[i : i + PHRASE] for i in range(0, max(1, len(reading) - PHRASE // 2), PHRASE // 2)]
 
 
 def _odd_doubles(core: str, letters: CharacterModel) -> bool:
@@ -155,16 +181,11 @@ def _readings(words: list[str], memo: dict[str, str], letters: CharacterModel) -
         if len(core) < 3 or not (_DISGUISED.fullmatch(core) or _odd_doubles(core, letters)):
             out.append([])
             continue
-        if len(core) > MOST_LATTICE:
-            core = _STRETCHED.sub(r"\1\1", core)
-        read = []
-        for piece in _pieces(core):
-            if piece not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                memo[piece] = decode(piece, letters)
-            read.append(memo[piece])
-        out.append([r for r in read if r])
+        if core not in memo:
+            if len(memo) > 200_000:
+                memo.clear()
+            memo[core] = decode(core, letters)
+        out.append([r for r in _pieces(memo[core]) if r])
     return out
 
 
@@ -187,11 +208,11 @@ TOP = 5
 
 
 def best_words(texts: pa.Array, model: ToxicModel, memo: dict[str, str]) -> np.ndarray:
-    """For each text the evidence of its ``TOP`` most toxic distinct words, restored where they were disguised, and the
-    logarithm of its words: a long text meets some evidence by chance."""
+    """For each text the evidence of its ``TOP`` most toxic distinct words, restored where they were disguised, the logarithm
+    of the sum of all others', and that of its words: a long text meets some evidence by chance."""
     words, codes, offsets = words_of(texts)
-    out = np.zeros((len(texts), TOP + 1))
-    out[:, TOP] = np.log1p(np.diff(offsets))
+    out = np.zeros((len(texts), TOP + 2))
+    out[:, TOP + 1] = np.log1p(np.diff(offsets))
     if not words:
         return out
     strength = np.maximum(evidence(_plain(words), model), 0)
@@ -211,14 +232,14 @@ def best_words(texts: pa.Array, model: ToxicModel, memo: dict[str, str]) -> np.n
         found.setdefault(int(np.searchsorted(offsets, at, side="right")) - 1, {}).update(own)
     single = np.fromiter((len(w.strip(".,-_*")) == 1 for w in words), bool, len(words))
     for text, a, b in _spaced(codes, offsets, single):
-        for i in range(a, b, MOST_LATTICE // 2):  # long runs in overlapping pieces
-            spaced = "".join(words[c].strip(".,-_*")[:1] for c in codes[i : min(b, i + MOST_LATTICE)]).lower()
-            whole = decode(spaced, model.letters)
-            if (s := evidence([whole], model)[0]) > 0:
-                found.setdefault(text, {})[whole] = s
+        read = _pieces(decode("".join(words[c].strip(".,-_*")[:1] for c in codes[a:b]).lower(), model.letters))
+        for piece, s in zip(read, evidence(read, model).tolist(), strict=True):
+            if s > 0:
+                found.setdefault(text, {})[piece] = s
     for text, by in found.items():
-        best = sorted(by.values(), reverse=True)[:TOP]
-        out[text, : len(best)] = best
+        best = sorted(by.values(), reverse=True)
+        out[text, : len(best[:TOP])] = best[:TOP]
+        out[text, TOP] = np.log1p(sum(best[TOP:]))
     return out
 
 
@@ -287,10 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column]
     counts = np.array(list(plain.values())).reshape(-1, 2)
     hashes, weights = _weights(words, counts[:, 0], counts[:, 1], least_docs, least_g)
     letters = CharacterModel.of({w: t + c for w, (t, c) in plain.items() if w.isalpha()})
-    model = ToxicModel(hashes, weights, letters, np.zeros(TOP + 2))
+    model = ToxicModel(hashes, weights, letters, np.zeros(TOP + 3))
     measured = sample.mapInArrow(partial(_best, model=model), "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.first("label").alias("label"), F.first("x").alias("x"))
     found = sorted((r["doc_id"], r["label"], r["x"]) for r in measured.collect())
-    model.fit = _logistic(np.array([r[2] for r in found]).reshape(-1, TOP + 1), np.array([r[1] for r in found], float))
+    model.fit = _logistic(np.array([r[2] for r in found]).reshape(-1, TOP + 2), np.array([r[1] for r in found], float))
     return model
 
 
@@ -305,8 +326,9 @@ def _apply(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """``doc_id`` and ``score`` of every row of ``docs``.
 
-    Whole texts are read; null and empty ones get the score of a text without evidence. Repeated rows are scored each
-    by itself, other columns are ignored, an empty table gives no rows. One pass, no shuffle; the model's size is bounded
+    Whole texts are read; null and empty ones get the score of a text without evidence, as all do if nothing could be
+    learned. Repeated rows are scored each by itself, null ids stay null, ties among words count each, other columns are ignored,
+    an empty table gives no rows. One pass, no shuffle; the model's size is bounded
     by its training sample.
     """
     return docs.select("doc_id", "text").mapInArrow(partial(_apply, model=model), "doc_id long, score double")
