@@ -1,7 +1,8 @@
 """Personal data by pattern, checksum and context, built from DataFrame functions only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod 97 for bank accounts, part and digit
-ranges for the rest), and words close by raise a span's score. Positions come from the pieces between the matches.
+ranges for the rest), and words close by raise a span's score. Kinds whose pattern says little by itself start below the least
+score, so that a word close by decides about them. Positions come from the pieces between the matches.
 
 Patterns here repeat single characters only, never groups: Java's matcher keeps a stack frame for each repeat of a group,
 and a long text would overflow it. A separator that counts as part of a match is first masked by one other character.
@@ -123,6 +124,9 @@ KINDS: tuple[Kind, ...] = (
         ends=_account,
     ),
     Kind("secret", r"(?i)(?:token|secret|password|passwd|api_?key|access_?key)[\x20\t]*[=:][\x20\t]*[\"']?[A-Za-z0-9_+/-]{16,}", lambda t: t.rlike("[=:]"), _same, lambda m: F.lit(True), 0.6, ("login", "auth", "user"), base=False),
+    # the next two are numbers like any others unless a word close by says what they are
+    Kind("local_phone", r"\(?[0-9]+\)?[ .-][0-9]+[ .-][0-9]+", lambda t: t.rlike("[0-9][ .-][0-9]"), _same, lambda m: m.rlike(r"^(\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}$"), 0.4, ("phone", "call", "tel", "mobile", "fax", "anruf", "llamar"), base=False),
+    Kind("national_id", r"[0-9]+-[0-9]+-[0-9]+", lambda t: t.rlike("[0-9]-[0-9]"), _same, lambda m: m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.4, ("ssn", "social", "identity", "passport", "ausweis", "pasaporte"), base=False),
 )
 #: How far context words are looked for, what one adds, and what a span that is no base one must reach.
 NEAR, BONUS, LEAST = 40, 0.2, 0.6
@@ -191,6 +195,11 @@ def find_pii(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     return raw.select("doc_id", *(["text"] if keep_text else []), pii_spans(F.col("text")).alias("spans"))
 
 
+def scores(spans: Column) -> Column:
+    """Of each span the score in hundredths, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

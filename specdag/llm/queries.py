@@ -42,12 +42,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from specdag.llm.pii import KINDS, find_pii, listed
+    from specdag.llm.pii import KINDS, find_pii, listed, scores
 
     found = find_pii(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.array_size(F.filter(F.transform("spans", lambda s: s["kind"]), F.lit(k.name).eqNullSafe)).cast("long").alias(f"n_{k.name}") for k in KINDS if k.base]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), scores(F.col("spans")).alias("scores"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from specdag.llm.quality_rules import ablation, ledger
+
+    return ablation(ledger(read(spark, sf_dir, "documents")), "v1")
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specdag.llm.common import remainder
     from specdag.llm.quality_gam import classify, fit
@@ -97,6 +103,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "quality_ablation": quality_ablation,
     "op8_quality_gam": op8_quality_gam,
     "op9_near_dup": op9_near_dup,
     "op10_language": op10_language,
@@ -104,4 +111,4 @@ QUERIES = {
 
 #: The others are learned, tokenize, or pack and link in ways that SQL cannot state or not over whole tables; tests hold
 #: those against brute force.
-ORACLES: dict[str, str] = {"op5_pii": oracles.PII, "op7_quality_rules": oracles.QUALITY_RULES}
+ORACLES: dict[str, str] = {"op5_pii": oracles.PII, "op7_quality_rules": oracles.QUALITY_RULES, "quality_ablation": oracles.QUALITY_ABLATION}
