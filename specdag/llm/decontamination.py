@@ -2,7 +2,7 @@
 
 An item that may be off by k edits is cut into k + 1 pieces: wherever it occurs, one piece occurs exactly. An automaton
 finds all pieces of all items in one walk over a text; each hit says where the item would lie, and Myers' bit-parallel
-edit distance over that window decides.
+edit distance over that window decides. Run backwards from where the occurrence ends, it tells where that begins.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specdag.llm.common import text_slices
+from specdag.llm.common import discard, materialize, text_slices
 
 _BETWEEN = re.compile(r"[\W_]+")
-#: Items that one automaton holds, and the length below which only an exact occurrence counts.
-BLOCK, SHORT = 20_000, 24
+#: Fixed value: bytes of the items that one automaton holds; a block has twice as many at most, but for a single item.
+BLOCK = 32 << 20
 
 
 def normal(text: str | None) -> str:
@@ -35,14 +35,15 @@ def pieces(length: int, budget: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
-    """The least edit distance of ``pattern`` to any part of ``text``, with that part's end, if within ``budget``."""
+def myers(pattern: str, text: str, budget: int, anchored: bool = False) -> tuple[int, int] | None:
+    """The least edit distance of ``pattern`` to any part of ``text`` (``anchored``: to any beginning), with the first such
+    part's end, if within ``budget``."""
     m = len(pattern)
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << m - 1
-    up, down, distance, best = full, 0, m, None
+    full, top, step = (1 << m) - 1, 1 << m - 1, int(anchored)
+    up, down, distance, best = full, 0, m, (m, 0) if m <= budget else None
     for end, c in enumerate(text, 1):
         eq = masks.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
@@ -51,7 +52,7 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
             distance += 1
         elif left & top:
             distance -= 1
-        right, left = right << 1 & full, left << 1 & full
+        right, left = (right << 1 | step) & full, left << 1 & full
         up, down = left | ~(diagonal | right) & full, right & diagonal
         if distance <= budget and (best is None or distance < best[0]):
             best = (distance, end)
@@ -74,7 +75,7 @@ class Items:
             text = normal(raw)
             if not text.strip():
                 continue
-            budget = int(len(text) * error_rate) if len(text) >= SHORT else 0
+            budget = int(len(text) * error_rate)
             for begin, end in pieces(len(text), budget):
                 at.setdefault(text[begin:end], []).append((len(ids), begin))
             ids.append(item), texts.append(text), budgets.append(budget)
@@ -103,7 +104,9 @@ class Items:
                     tried.add((k, start))
                     low = max(0, start - budget)
                     if hit := myers(self.texts[k], text[low : start + length + budget], budget):
-                        found[k] = (self.ids[k], hit[0], max(0, low + hit[1] - length), low + hit[1])
+                        past = low + hit[1]
+                        back = myers(self.texts[k][::-1], text[max(0, past - length - budget) : past][::-1], hit[0], anchored=True)
+                        found[k] = (self.ids[k], hit[0], past - back[1], past)
         return list(found.values())
 
 
@@ -125,33 +128,48 @@ def _clean(batches: Iterator[pa.RecordBatch], rows: object, error_rate: float) -
         yield batch.filter(pa.array([not items.matches(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
 
-def _blocks(benchmark: DataFrame, block: int) -> list:
-    """Broadcast lists of (item_id, text), of bounded length each."""
+def _blocks(benchmark: DataFrame, block: int) -> tuple[int, Iterator]:
+    """How many blocks the items fall into, by hash, and one after the other a broadcast list of (item_id, text) of each: so many that
+    none has over twice ``block`` bytes, but for a single item."""
     spark = benchmark.sparkSession
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    many = max(1, -(-known.count() // block))
-    return [spark.sparkContext.broadcast([tuple(r) for r in known.filter(F.pmod(F.xxhash64("text"), F.lit(many)) == b).sort("item_id", "text").collect()]) for b in range(many)]
+    number = lambda many: F.pmod(F.xxhash64("item_id", "text"), F.lit(many))
+    many = max(1, -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
+    while known.groupBy(number(many).alias("b")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.countDistinct("item_id", "text").alias("n")).filter((F.col("bytes") > 2 * block) & (F.col("n") > 1)).limit(1).count():
+        many *= 2
+    return many, (spark.sparkContext.broadcast([tuple(r) for r in known.filter(number(many) == b).sort("item_id", "text").collect()]) for b in range(many))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.05, block: int = BLOCK) -> DataFrame:
     """A row for each document and item that it holds: ``doc_id``, ``item_id``, ``distance`` (edits), ``start`` and ``end`` of its
     first occurrence in the normalised text.
 
-    Items of at least 24 normalised characters may be off by ``error_rate`` of their length; shorter ones must occur as
-    they are, between word borders. Null or empty texts and items match nothing; null ids stay null; repeated rows and
-    items are reported each; other columns are ignored; an empty table gives no rows. No shuffle; the items come in
-    blocks of ``block``, each broadcast on its own.
+    Items may be off by ``error_rate`` of their normalised length, rounded down; so short ones must occur as they are, between
+    word borders. Null or empty texts and items match nothing; null ids stay null; repeated rows and items are reported each;
+    other columns are ignored; an empty table gives no rows. No shuffle; the items come in blocks of about ``block`` bytes, which
+    are broadcast one at a time: if there are more than one, each scans the documents and its matches are written before the next.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [source.mapInArrow(partial(_find, rows=rows, error_rate=error_rate), "doc_id long, item_id long, distance long, start long, end long") for rows in _blocks(benchmark, block)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    many, blocks = _blocks(benchmark, block)
+    out = None
+    for rows in blocks:
+        found = source.mapInArrow(partial(_find, rows=rows, error_rate=error_rate), "doc_id long, item_id long, distance long, start long, end long")
+        if many > 1:
+            found = materialize(found, "leaks")
+            rows.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.05, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item in the sense of ``find_leaks``."""
-    for rows in _blocks(benchmark, block):
-        docs = docs.mapInArrow(partial(_clean, rows=rows, error_rate=error_rate), docs.schema)
+    """The rows of ``docs``, with all their columns, that hold no item in the sense of ``find_leaks``: null and empty texts stay, repeated
+    rows stay or go together, an empty table gives no rows and an empty benchmark removes none."""
+    many, blocks = _blocks(benchmark, block)
+    for rows in blocks:
+        last, docs = docs, docs.mapInArrow(partial(_clean, rows=rows, error_rate=error_rate), docs.schema)
+        if many > 1:
+            docs = materialize(docs, "unleaked")
+            rows.destroy()
+            if hasattr(last, "_specdag_path") and "specdag-unleaked-" in last._specdag_path:
+                discard(last)
     return docs

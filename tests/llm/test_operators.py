@@ -256,6 +256,12 @@ def test_pii_checksums_context_and_redaction(spark):
     assert found[5]["clean"] == "héllo <EMAIL>, <IP>" and found[0]["clean"] == "my IBAN <IBAN> here"
 
 
+def test_pii_context_decides(spark):
+    texts = ["call 555 123 4567 now", "sum 555 123 4567 now", "ssn 078-05-1120", "part 078-05-1120", "ssn 000-05-1120", "phone: (555) 123-4567", "phone " + "x" * 60 + " (555) 123-4567"]
+    found = {r["doc_id"]: [(s["kind"], s["score"]) for s in r["spans"]] for r in pii.find_pii(frame(spark, texts)).collect()}
+    assert [found[i] for i in range(7)] == [[("local_phone", 0.6)], [], [("national_id", 0.6)], [], [], [("local_phone", 0.6)], []]
+
+
 def test_accounts_before_other_capitals(spark):
     de, no = "DE89 3704 0044 0532 0130 00", "NO9386011117947"
     texts = [f"{de} Bitte", f"{de.replace(' ', '')} BIC COBADEFF", f"{de} 12 EUR", f"{no} {no}", f"{de.replace(' ', '')}und", f"x{de}", f"{de}, {de} A", f"{de}1", "AB12 " + "CD34 " * 9 + de]
@@ -356,6 +362,40 @@ def test_myers_equals_dynamic_programming():
         assert (hit[0] if hit else len(p)) == plain(p, t)
 
 
+def test_leaks_equal_distances_to_all_parts(spark):
+    """Every item and text: found if and only if some part of the text is near enough, with the right place and distance."""
+    r = random.Random(15)
+    vary = lambda t, n: "".join(c if r.random() > n / len(t) else r.choice(["", "q", c + "z"]) for c in t)
+    items = [prose(i, r.randint(1, 12), ["abc", "de", "fgh", "ijkl"]) for i in range(25)]
+    texts = [f"{prose(i, 5, ['mn', 'opq'])} {vary(r.choice(items), r.choice([0, 1, 2, 4]))} {prose(i, 4, ['mn', 'abc'])}" for i in range(40)]
+
+    def distance(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, d in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    def whole(p, t):
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, d in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    found = dc.find_leaks(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), error_rate=0.1).collect()
+    normal = [dc.normal(t) for t in texts]
+    want = {(i, k) for i, t in enumerate(normal) for k, p in enumerate(map(dc.normal, items)) if distance(p, t) <= int(0.1 * len(p))}
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want and len(want) > 20
+    for x in found:
+        p = dc.normal(items[x["item_id"]])
+        assert whole(p, normal[x["doc_id"]][x["start"] : x["end"]]) == x["distance"] <= int(0.1 * len(p))
+
+
 def test_leaks(spark, odd):
     r = random.Random(7)
     items = [prose(i, 40, [f"term{r.randint(0, 500)}" for _ in range(90)]) for i in range(6)] + ["short one", None, ""]
@@ -371,77 +411,97 @@ def test_leaks(spark, odd):
     docs = odd.unionByName(frame(spark, texts, 100))
     found = {(x["doc_id"], x["item_id"]): x["distance"] for x in dc.find_leaks(docs, bench).collect()}
     assert set(found) == {(100, 0), (101, 1), (102, 2), (105, 6), (108, 5)} and found[100, 0] == 0 < found[102, 2]
-    assert {(x["doc_id"], x["item_id"]) for x in dc.find_leaks(docs, bench, block=2).collect()} == set(found)
-    kept = dc.remove_leaks(docs, bench, block=4)
+    assert {(x["doc_id"], x["item_id"]) for x in dc.find_leaks(docs, bench, block=300).collect()} == set(found)
+    kept = dc.remove_leaks(docs, bench, block=400)
     assert kept.columns == docs.columns and {x["doc_id"] for x in docs.collect()} - {x["doc_id"] for x in kept.collect()} == {100, 101, 102, 105, 108}
 
 
 # --- learned operators -------------------------------------------------------
 
 
-def test_suffix_tree_base_and_gain(spark):
+def tree_scores(tokens, training, depth, least, strength):
+    """log10 of each sequence under the tree, in plain Python."""
+    after = collections.defaultdict(collections.Counter)
+    for t in (t for i, t in tokens.items() if i in training):
+        for k, w in enumerate(t):
+            history = ["<", *t[:k]][-depth:]
+            for d in range(len(history) + 1):
+                after[tuple(history[len(history) - d :])][w] += 1
+    once, twice = (max(1, sum(n == k for n in after[()].values())) for k in (1, 2))
+    unseen, total = max(1.0, once**2 / (2 * twice)), sum(after[()].values())
+    weights = {}
+
+    def weight(context):
+        if context not in weights:
+            own, n = after[context], sum(after[context].values())
+            gains = [(0.0, 0)]
+            for w in (0.25, 0.5, 1.0, 2.0, 4.0):
+                m, gain = w * len(own), 0.0
+                for word, k in own.items():
+                    q = probability(context[1:], word)
+                    gain += k * (math.log((k - 1 + m * q) / (n - 1 + m)) - math.log(q)) if n > 1 else 0
+                gains.append((gain, m))
+            best = max(gains, key=lambda x: x[0])
+            weights[context] = best[1] if n >= least and best[0] > strength else 0
+        return weights[context]
+
+    def probability(context, word):
+        if not context:
+            return (after[()].get(word) or once / unseen) / (total + once)
+        q, m = probability(context[1:], word), weight(context) if context in after else 0
+        return (after[context][word] + m * q) / (sum(after[context].values()) + m) if m else q
+
+    out = {}
+    for i, t in tokens.items():
+        out[i] = sum(math.log10(probability(tuple(["<", *t[:k]][-depth:]), w)) for k, w in enumerate(t))
+    return out, sum(w > 0 for w in weights.values())
+
+
+@pytest.mark.parametrize(("buckets", "depth"), [(1, 3), (7, 3), (40, 3), (5, 1)])
+def test_suffix_tree_equals_brute_force(spark, buckets, depth):
+    """However many buckets there are, and with them hot contexts."""
     r = random.Random(8)
-    langs = [[f"{stem}{end}" for stem in stems for end in ends] for stems, ends in (("ab cd ef gh ij".split(), ["ing", "ed", "s"]), ("mo ni ku ra te".split(), ["ung", "keit", "en"]))]
-    texts = [" ".join(r.choice(langs[i % 2]) for _ in range(60)) for i in range(120)] + [None, "", "Abing ABING\tunseen"]
-    docs = frame(spark, texts)
-    held = lambda i: remainder(i, 7) == 2
+    phrases = [prose(i, r.randint(2, 7), [f"w{k}" for k in range(25)]).split() for i in range(12)]
+    texts = [" ".join(w for _ in range(r.randint(1, 12)) for w in r.choice(phrases)) for _ in range(90)]
+    texts += texts[:4] + [None, "", "W1 w2\tunseen", "the the the the the the", "x " * 300, " \n"]
     tokens = {i: WORD.findall((t or "").translate(LOWER)) + [None] for i, t in enumerate(texts)}
-    counts = collections.Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    training = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2}
+    counts = collections.Counter(w for i in training for w in tokens[i])
     total, distinct = sum(counts.values()), len(counts)
-    gain = 0.0
-    for x in suffix_tree.score(docs, held, ending_share=0.02).collect():
+    want, kept = tree_scores(tokens, training, depth, 2, 1.0)
+    assert kept > 20
+    found = suffix_tree.score(frame(spark, texts), lambda i: remainder(i, 7) == 2, buckets=buckets, depth=depth).collect()
+    assert sorted(x["doc_id"] for x in found) == list(range(len(texts)))
+    for x in found:
         t = tokens[x["doc_id"]]
-        assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 7 == 2)
+        assert x["held_out"] == (x["doc_id"] not in training)
         assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(t), sum(counts[w] > 0 for w in t), total)
         assert x["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in t))
-        assert x["score"] < 0
-        if x["held_out"] and len(t) > 10:
-            gain += (x["score"] - x["base_score"]) / len(t)
-    assert gain > 0
-
-
-def test_suffix_tree_tries_rare_whole_words(spark):
-    r = random.Random(13)
-    pairs = [(f"{a}{b}{c}ation", f"{c}{b}{a}ously") for a in "bcdfgh" for b in "aeiou" for c in "klmnprst"]
-    texts = [" ".join(w for _ in range(30) for w in r.choice(pairs)) for _ in range(1400)]
-    rows = suffix_tree.score(frame(spark, texts), lambda i: remainder(i, 7) == 2).filter("held_out").collect()
-    # each word is one of 480, a share of 0.002; what follows is told by whole words only
-    assert sum(x["score"] for x in rows) / sum(x["n_tokens"] for x in rows) > -1.5
-
-
-def test_contexts_equal_plain_counts():
-    words = [w * 60 for w in ("a", "ba")] + ["xation", "yation", "a", "日本"]
-    n = [3, 150, 120, 99, 7, 100]
-    batch = [b for b in suffix_tree._endings(iter([pa.RecordBatch.from_pydict({"word": words, "n": n})]))]
-    table = pa.Table.from_batches(batch).filter(pc.field("n") >= 100)
-    contexts = suffix_tree.Contexts.build(*(table.column(c).to_numpy().view(k) for c, k in (("ending", np.uint64), ("before", np.uint64), ("depth", np.int64), ("n", np.int64))))
-    plain = collections.Counter("".join(["\n", *w])[-i:] for w, k in zip(words, n, strict=True) for i in range(1, len(w) + 2) for _ in range(k))
-    want = {}
-    for e in (e for e, k in plain.items() if k >= 100):  # endings of one count along a chain are one context
-        want.setdefault((next(e[-i:] for i in range(1, len(e) + 1) if plain[e[-i:]] == plain[e])), []).append(e)
-    assert contexts.size == len(want) + 1
-    got = contexts.after(words)
-    assert (got > 0).all() and got[2] != got[3] and contexts.depth[got[2]] > contexts.depth[got[3]] and contexts.depth[got[4]] == 1
+        assert x["score"] == pytest.approx(want[x["doc_id"]], rel=1e-5)
+
+
+def test_suffix_tree_tells_copies_and_repeated_rows(spark):
+    r = random.Random(12)
+    texts = [prose(i, 60, [f"w{k}" for k in range(200)]) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts[:20])] + [(7, texts[7]), (None, "w1 w2")]
+    found = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), lambda i: F.lit(False)).collect()
+    assert len(found) == len(rows) and len({x["score"] for x in found if x["doc_id"] == 7}) == 1
+    rate = {x["doc_id"]: x["score"] / x["n_tokens"] for x in found}
+    assert min(rate[i] for i in range(20)) > max(rate[i] for i in range(20, 60)) and r
 
 
 def test_suffix_tree_probabilities_sum_to_one():
-    contexts = suffix_tree.Contexts.of(["a", "ba", "\nba"])
-    assert contexts.after(["ba", "cba", "xa", "q", ""]).tolist() == [3, 2, 1, 0, 0]
     rng = np.random.default_rng(0)
-    word, context = np.repeat(np.arange(6), 4), np.tile(np.arange(4), 6)
-    n = rng.integers(0, 5, 24)
-    keys, every = contexts.every(word, context, n)
-    figures = np.bincount(keys % 4, every, 4)
-    tree = suffix_tree.WordTree(contexts, np.array([False, True, True, True]), figures, np.array([2.0, 3.0, 4.0, 5.0]), 7.0)
-    counts = np.bincount(word, n, 6)
-    p = 10 ** tree.score(counts, word, context, n)
-    for c in range(4):
-        known = p[context == c][counts > 0].sum()
-        unseen = 2.0 / 7.0 / (counts.sum() + 2)
-        for k in contexts.paths[c]:
-            if k > 0:
-                unseen *= tree.weights[k] / (figures[k] + tree.weights[k])
-        assert known + 7 * unseen == pytest.approx(1.0)
+    size, n = 12, 400
+    q = rng.random(size)
+    q /= q.sum()
+    key, beyond, symbol = rng.integers(1, 4, n).astype(np.uint64), [rng.integers(0, 3, n).astype("<u4") for _ in range(2)], rng.integers(0, 6, n)
+    beyond[1] = np.where(beyond[0] > 0, beyond[1], 0)
+    asked = np.repeat(np.arange(n), size)
+    every = np.concatenate((symbol, np.tile(np.arange(size), n)))
+    p = suffix_tree.walk(np.concatenate((key, key[asked])), [np.concatenate((x, x[asked])) for x in beyond], every, q[every], np.arange(len(every)) < n, 2, -1e9)
+    assert np.allclose(p[n:].reshape(n, size).sum(1), 1)
+    assert not np.allclose(p[n:].reshape(n, size), q)
 
 
 def test_quality_gam(spark):
@@ -490,6 +550,36 @@ def test_deobfuscation_and_scores(spark):
     assert sum((whole[i] >= 0.5) == (i >= 160) for i in out) >= 0.95 * len(out)
 
 
+def cheapest_readings(seen, model):
+    """Every reading of a disguised word with its least cost, by trying all."""
+    out = {}
+
+    def go(i, state, cost, read):
+        if i == len(seen):
+            cost += model.cost(state, "^")
+            out[read] = min(cost, out.get(read, math.inf))
+            return
+        c = seen[i]
+        for letter, extra in [(c, 0.0 if c.isalpha() else toxicity.AS_IS)] + [(x, 0.2) for x in toxicity.STANDS_FOR.get(c, "")]:
+            go(i + 1, state[1] + letter, cost + extra + model.cost(state, letter), read + letter)
+            if letter in (seen[i - 1 : i], state[1]):
+                go(i + 1, state, cost + extra + toxicity.REPEATED, read)
+        if c in toxicity.SPACING:
+            go(i + 1, state, cost + toxicity.DROPPED, read)
+
+    go(0, "^^", 0.0, "")
+    return out
+
+
+def test_decode_equals_all_readings():
+    r = random.Random(3)
+    model = toxicity.CharacterModel.of(collections.Counter(prose(1, 300, "idiot moron stupid the there noon been".split()).split()))
+    for _ in range(300):
+        seen = "".join(r.choice("idotmn0134$!.-*|6us") for _ in range(r.randint(1, 6)))
+        costs = cheapest_readings(seen, model)
+        assert costs[toxicity.decode(seen, model)] == pytest.approx(min(costs.values())), seen
+
+
 def test_languages_and_spans(spark):
     vocab = {"en": "the house and water with that stone going thing".split(), "de": "das haus und wasser mit dass stein gehen ding".split(), "ru": "дом и вода с тем камень идти вещь".split()}
     r = random.Random(11)
