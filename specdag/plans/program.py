@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import datetime
+import enum
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specdag.errors import Finding, SpecError
+from specdag.errors import Finding, SpecError, raise_if_rejected
 from specdag.functions import expr as E
 from specdag.functions.expr import MARK, Scope
 from specdag.operators.lower import aggregate, lower
 from specdag.plans import build as B
 from specdag.plans import steps as S
-from specdag.plans.spec import JoinSpec, MetricSpec, Spec, StepSpec, TableSpec
-from specdag.sources.catalog import Catalog
+from specdag.plans.perf import lint
+from specdag.plans.spec import CaseSpec, JoinSpec, MetricSpec, Spec, StepSpec, TableSpec
+from specdag.plans.validate import check_label, check_plan, check_spec, check_window, join_evidence, merge_facts
+from specdag.sources.catalog import Catalog, TableMeta
 
 
 def order(steps: tuple[StepSpec, ...]) -> list[StepSpec]:
@@ -56,9 +59,41 @@ def check(spec: Spec) -> list[Finding]:
     return out
 
 
+class Kind(enum.Enum):
+    """What a step is to the others: it makes rows for them, reads theirs, is the last, or stands alone."""
+
+    PRODUCER = "PRODUCER"
+    CONSUMER = "CONSUMER"
+    FINAL = "FINAL"
+    STANDALONE = "STANDALONE"
+
+
+def kinds(steps: tuple[StepSpec, ...]) -> dict[str, Kind]:
+    """The kind of each step, in the order of running."""
+    ordered = order(steps)
+    if len(ordered) == 1:
+        return {ordered[0].name: Kind.STANDALONE}
+    out = {s.name: Kind.CONSUMER if any(x != "input" for x in s.sources) else Kind.PRODUCER for s in ordered}
+    return out | {ordered[-1].name: Kind.FINAL}
+
+
+def branches(spec: Spec) -> Spec:
+    """A specification whose filtered metrics are steps of their own: one for each over the output's grain, and one that merges them by
+    FULL joins, with a label that takes the first branch there is a value of. Without two filtered metrics it is returned as it is."""
+    own = [m for m in spec.metrics if m.filter is not None]
+    if spec.steps or len(own) < 2 or not spec.grain:
+        return spec
+    made = tuple(StepSpec(f"branch_{m.name}", ("input",), spec.grain, (replace(m, filter=None),), filters=(m.filter,), time_range=spec.time_range) for m in own)
+    joins = tuple(JoinSpec(made[0].name, b.name, tuple((g, g) for g in spec.grain), "FULL") for b in made[1:])
+    label = next((o for o in spec.outputs if o not in spec.grain and o not in {m.name for m in own}), None)
+    cases = (CaseSpec(label, tuple((E.IsNull(E.Col(None, m.name), True), m.name, True) for m in own), phase="post_aggregate"),) if label else ()
+    merge = StepSpec("merge_conditional", tuple(b.name for b in made), cases=cases, joins=joins)
+    return replace(spec, metrics=(), dimensions=(), joins=(), time_range=None, steps=(*made, merge))
+
+
 @dataclass
 class Result:
-    """A step's rows and the column groups that are unique in them."""
+    """A step's rows and the column groups that are unique in them. A name that two sources have is there under each source's."""
 
     df: DataFrame
     unique: tuple[tuple[str, ...], ...] = ()
@@ -108,30 +143,38 @@ def bridge(left: list[str], tables: tuple[TableSpec, ...], target: TableSpec) ->
     return None
 
 
+def _named(c: E.Col, there: list[str]) -> E.Col:
+    """The column under its source's name if two sources have it, else by its name alone."""
+    return c if c.table and f"{c.table}{MARK}{c.name}" in there else E.Col(None, c.name)
+
+
 class Runner:
-    def __init__(self, spec: Spec, catalog: Catalog, as_of: datetime.date | None = None):
-        self.spec, self.catalog, self.as_of = spec, catalog, as_of
+    def __init__(self, spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fanout: str = "error"):
+        self.spec, self.catalog, self.as_of, self.on_fanout = spec, catalog, as_of, on_fanout
         self.results: dict[str, Result] = {}
         self.persisted: list[DataFrame] = []
 
-    def _join(self, left: Result, right: Result, alias: str, keys: tuple[tuple[str, str], ...], how: str, on_fanout: str) -> Result:
-        """Join the right side under ``alias``; columns of one name appear once, the left side's."""
+    def _join(self, left: Result, right: Result, name: str, alias: str, keys: tuple[tuple[str, str], ...], how: str, on_fanout: str) -> Result:
+        """Join the right side under ``alias`` to the left one, ``name``. A key of one name appears once; any other column that both have
+        appears under both names, so that reading it without one raises."""
         if how == "cross":
-            return Result(left.df.crossJoin(right.df.select(*(F.col(f"`{c}`") for c in right.df.columns if c not in left.df.columns))))
-        if not keys:
+            on_fanout, on = "allow", None
+        elif not keys:
             raise SpecError("JOIN", f"{alias} has no join keys")
         unique = any(set(u) <= {r for _, r in keys} for u in right.unique)
         if not unique and on_fanout == "error":
             raise SpecError("FANOUT", f"{[r for _, r in keys]} is no declared unique key of {alias}")
         marked = right.df.select(*(F.col(f"`{c}`").alias(f"{alias}{MARK}{c}") for c in right.df.columns))
-        on = [F.col(f"`{l}`") == F.col(f"`{alias}{MARK}{r}`") for l, r in keys]
-        joined = left.df.join(marked, on, how)
-        same = {l: r for l, r in keys if l == r}
+        if how != "cross":
+            on = [F.col(f"`{l}`") == F.col(f"`{alias}{MARK}{r}`") for l, r in keys]
+        joined = left.df.crossJoin(marked) if on is None else left.df.join(marked, on, how)
+        same = {l for l, r in keys if l == r}
+        twice = {c for c in _bare(left.df) if c in right.df.columns and c not in same}
         columns = []
         for c in left.df.columns:
             own = F.col(f"`{c}`")
-            columns.append((F.coalesce(own, F.col(f"`{alias}{MARK}{c}`")) if c in same and how in ("right", "full") else own).alias(c))
-        columns += [F.col(f"`{alias}{MARK}{c}`").alias(c) for c in right.df.columns if c not in left.df.columns]
+            columns.append((F.coalesce(own, F.col(f"`{alias}{MARK}{c}`")) if c in same and how in ("right", "full") else own).alias(f"{name}{MARK}{c}" if c in twice else c))
+        columns += [F.col(f"`{alias}{MARK}{c}`").alias(f"{alias}{MARK}{c}" if c in twice else c) for c in right.df.columns if c not in same]
         return Result(joined.select(*columns), left.unique if unique and how in ("inner", "left") else ())
 
     def _table(self, t: TableSpec) -> Result:
@@ -159,7 +202,8 @@ class Runner:
                 how, keys = "inner", tuple((c, c) for c in found.df.columns if c in right.df.columns and c in step.group_by)
                 if not keys:
                     raise SpecError("JOIN", f"{step.name}: say how {name} and {other} are joined")
-            found = self._join(found, right, other, keys, how, "allow")
+            # a LEFT join may multiply rows in a step; any other needs a unique key on its right
+            found = self._join(found, right, name, other, keys, how, "allow" if how == "left" else self.on_fanout)
             seen.add(other)
         return self._prefixed(step, found, seen, tables)
 
@@ -170,22 +214,31 @@ class Runner:
         for alias in dict.fromkeys(r.rpartition(".")[0] for r in refs if "." in r):
             if alias in seen or alias not in tables or all(r.rpartition(".")[2] in found.df.columns for r in refs if r.startswith(f"{alias}.")):
                 continue
-            target = tables[alias]
+            target, name = tables[alias], next(iter(sorted(seen)))
             keys = auto_keys(found.df.columns, target, alias, (*step.joins, *self.spec.joins))
             if not keys:
                 between = bridge(found.df.columns, self.spec.tables, target)
                 if between is None:
                     raise SpecError("JOIN", f"{step.name}: no way to {alias}")
                 middle, first, keys = between
-                found = self._join(found, self._table(middle), middle.alias, first, "inner", "error")
+                found = self._join(found, self._table(middle), name, middle.alias, first, "inner", "error")
                 seen.add(middle.alias)
-            found = self._join(found, self._table(target), alias, keys, "inner", "error")
+            self._evidence(found, target, keys)
+            found = self._join(found, self._table(target), name, alias, keys, "inner", "error")
             seen.add(alias)
         return found
 
-    def _metric(self, m: MetricSpec) -> S.Metric:
+    def _evidence(self, found: Result, target: TableSpec, keys: tuple[tuple[str, str], ...]) -> None:
+        """Raise if keys that no one declared speak too weakly for a join."""
+        for l, r in keys:
+            declared = any((l, r) in j.keys or (r, l) in j.keys for j in self.spec.joins)
+            left = TableMeta("rows", unique_keys=tuple(u for u in found.unique if u == (l,)))
+            if join_evidence(left, target.meta, l, r, declared=declared or (r,) in target.meta.unique_keys).action == "block":
+                raise SpecError("JOIN_EVIDENCE", f"say that {l} and {target.alias}.{r} are joined")
+
+    def _metric(self, m: MetricSpec, there: list[str]) -> S.Metric:
         plain = B.metric(m)
-        value = E.Col(None, plain.input.name) if isinstance(plain.input, E.Col) else plain.input
+        value = _named(plain.input, there) if isinstance(plain.input, E.Col) else plain.input
         return S.Metric(plain.name, plain.func, value, plain.distinct, plain.where)
 
     def run_step(self, step: StepSpec) -> Result:
@@ -196,15 +249,17 @@ class Runner:
             todo.append(S.Filter(B.time_filter(step.time_range, self.as_of)))
         early = [c for c in step.cases if c.phase == "pre_aggregate"]
         todo += [B.case(c) for c in early]
-        keys = [g.rpartition(".")[2] for g in step.group_by]
-        keys += [c.output for c in early if step.metrics and c.output not in keys]
+        there = found.df.columns
+        values = {g.rpartition(".")[2]: _named(B.column(g), there) for g in step.group_by}
+        values |= {c.output: E.Col(None, c.output) for c in early if step.metrics and c.output not in values}
+        keys = list(values)
         if step.metrics:
-            todo.append(S.Aggregate(tuple(S.Key(k, E.Col(None, k)) for k in keys), tuple(self._metric(m) for m in step.metrics)))
+            todo.append(S.Aggregate(tuple(S.Key(k, v) for k, v in values.items()), tuple(self._metric(m, there) for m in step.metrics)))
         todo += [S.Derive(name, value) for name, value in step.expressions]
         todo += [B.case(c) for c in step.cases if c.phase != "pre_aggregate"]
         if not step.metrics and keys:
             extra = [n for n, _ in step.expressions] + [c.output for c in step.cases]
-            todo.append(S.Project(tuple(S.Key(k, E.Col(None, k)) for k in dict.fromkeys((*keys, *extra)))))
+            todo.append(S.Project(tuple(S.Key(k, values.get(k) or E.Col(None, k)) for k in dict.fromkeys((*keys, *extra)))))
         df = found.df
         for t in todo:
             match t:
@@ -230,6 +285,10 @@ class Runner:
                 self.persisted.append(result.df)
             self.results[s.name] = result
         df = self.results[steps[-1].name].df
+        twice = {c.rpartition(MARK)[2] for c in df.columns if MARK in c}
+        if asked := sorted(twice & {*self.spec.outputs, *(n for n, _ in self.spec.sort)}):
+            raise SpecError("AMBIGUOUS_COLUMN", f"{asked} may be any of {sorted(c for c in df.columns if MARK in c)}")
+        df = df.select(*(F.col(f"`{c}`") for c in df.columns if MARK not in c))
         rest: list = []
         for w in self.spec.windows:
             rest += B.window(w, self.spec.grain)
@@ -253,11 +312,43 @@ def split_cross_grain(grouped: DataFrame, total: DataFrame) -> DataFrame:
     return grouped.crossJoin(F.broadcast(total))
 
 
-def run(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None) -> DataFrame:
-    """The rows of a specification with or without steps."""
+def facts(spec: Spec, catalog: Catalog) -> tuple[dict[str, TableMeta], list[Finding]]:
+    """What is known of each table by name: declared, else from the catalog, with types that nothing declares from its schema."""
+    out, findings = {}, []
+    for t in spec.tables:
+        meta, found = merge_facts(t.meta, catalog.meta.get(t.name))
+        findings += [f for f in found if f.level == "reject"]
+        if t.name in catalog.meta:
+            schema = {f.name: f.dataType.simpleString() for f in catalog.read(t.name).schema.fields}
+            out[t.name] = replace(meta, types=schema | {c: k for c, k in meta.types.items() if c in schema})
+    return out, findings
+
+
+def gate(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fanout: str = "error") -> list[Finding]:
+    """Every check of a specification before anything runs: raises at the first that rejects, else returns the warnings.
+
+    Types, join safety, grain and labels of the specification; the graph of its steps, or structure, frames and performance of its
+    plan; windows; and tables against the catalog."""
+    tables, findings = facts(spec, catalog)
+    findings += [*spec.warnings, *check_spec(spec, on_fanout)]
+    if spec.steps:
+        findings += check(spec)
+        for w in spec.windows:
+            findings += [f for x in B.window(w, spec.grain) if isinstance(x, S.Window) for f in check_window(x)]
+        for step in spec.steps:
+            for c in step.cases:
+                findings += check_label(c, spec)
+    else:
+        plan = B.build(spec, as_of)
+        findings += check_plan(plan, tables)
+        findings += lint(plan, tables)
+    return raise_if_rejected(findings)
+
+
+def run(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fanout: str = "error") -> DataFrame:
+    """The rows of a specification with or without steps, once ``gate`` lets it pass. ``on_fanout`` is error, warn or allow: what a join
+    on a key that is not declared unique means."""
+    gate(spec, catalog, as_of, on_fanout)
     if spec.steps:
-        for f in check(spec):
-            if f.level == "reject":
-                raise SpecError(f.code, f.message)
-        return Runner(spec, catalog, as_of).run()
+        return Runner(spec, catalog, as_of, on_fanout).run()
     return lower(B.build(spec, as_of), catalog)

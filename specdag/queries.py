@@ -19,7 +19,7 @@ from specdag.sources import snapshot
 from specdag.sources.catalog import Catalog, ForeignKey, TableMeta
 from specdag.verify.compare import diff
 from specdag.verify.digest import digest
-from specdag.verify.summary import summary
+from specdag.verify.summary import samples, summary
 
 TABLES = {
     "region": TableMeta("region", "dim", (("r_regionkey",),)),
@@ -135,7 +135,7 @@ query("filter_cmp", (_o, Filter(And((Cmp(">=", c("o.o_totalprice"), Lit(1000.0))
 query("filter_in", (_o, Filter(In(c("o.o_orderstatus"), ("O", "P"))), Project(_okeys)), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'P')")
 query("filter_not_in", (_o, Filter(In(c("o.o_orderstatus"), ("O", "P"), True)), Project(_okeys)), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus NOT IN ('O', 'P')")
 query("filter_between", (_o, Filter(Between(c("o.o_totalprice"), Lit(100000.0), Lit(150000.0))), Project(_okeys)), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000")
-query("filter_like", (narrow(P, "p_partkey", "p_name"), Filter(Like(c("p.p_name"), "%1%")), Project(keys("p.p_partkey", "p.p_name"))), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'")
+query("filter_like", (narrow(P, "p_partkey", "p_name"), Filter(Like(c("p.p_name"), "%red%")), Project(keys("p.p_partkey", "p.p_name"))), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%red%'")
 query(
     "filter_nested",
     (_o, Filter(Or((And((Cmp("=", c("o.o_orderstatus"), Lit("F")), Cmp(">", c("o.o_totalprice"), Lit(250000.0)))), Not(Or((Cmp("<", c("o.o_custkey"), Lit(1000)), Cmp("=", c("o.o_orderstatus"), Lit("O")))))))), Project(_okeys)),
@@ -439,7 +439,33 @@ def named_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- verification, profiles, snapshots ---------------------------------------
 
 
-@frame_query("digest_self")
+#: The digest's text and hashes by DuckDB's own functions.
+DIGEST_SELF = r"""
+WITH p AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS day,
+         regexp_replace(regexp_replace(CAST(CAST(round(CAST(o_totalprice AS DECIMAL(38, 12)), 6) AS DECIMAL(32, 6)) AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '.0') AS price
+  FROM orders
+),
+f AS (
+  SELECT list_transform([['05', CAST(o_orderkey AS VARCHAR)], ['05', CAST(o_custkey AS VARCHAR)], ['09', o_orderstatus], ['07', price], ['0B', day], ['09', o_orderpriority]],
+         lambda x: CASE WHEN x[2] IS NULL THEN x[1] || 'FFFFFFFF' ELSE x[1] || lpad(hex(strlen(x[2])), 8, '0') || hex(x[2]) END) AS parts
+  FROM p
+),
+h AS (SELECT upper(sha256(unhex(array_to_string(parts, '')))) AS h, count(*) AS n FROM f GROUP BY 1),
+b AS (
+  SELECT substr(h, 1, 2) AS b, upper(sha256(unhex(substr(h, 1, 2) || lpad(hex(count(*)), 16, '0') || string_agg(h || lpad(hex(n), 16, '0'), '' ORDER BY h)))) AS d, sum(n) AS rows
+  FROM h GROUP BY 1
+),
+e AS (SELECT lpad(hex(i), 2, '0') AS b FROM range(256) r(i)),
+w AS (
+  SELECT string_agg(e.b || coalesce(d, upper(sha256(unhex(e.b || '0000000000000000')))), '' ORDER BY e.b) AS every, CAST(coalesce(sum(rows), 0) AS BIGINT) AS row_count FROM e LEFT JOIN b ON e.b = b.b
+),
+s AS (SELECT sha256('{"version":"cdp-v1","fields":[["o_orderkey","INT64",null],["o_custkey","INT64",null],["o_orderstatus","VARCHAR",null],["o_totalprice","FLOAT64",6],["o_orderdate","TIMESTAMP",null],["o_orderpriority","VARCHAR",null]]}') AS spec_hash)
+SELECT spec_hash, row_count, sha256(unhex(hex('cdp-v1') || upper(spec_hash) || lpad(hex(row_count), 16, '0') || '0100' || every)) AS digest FROM w, s
+"""
+
+
+@frame_query("digest_self", DIGEST_SELF)
 def digest_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
@@ -466,20 +492,71 @@ def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal"))
 
 
-@frame_query("enum_profile")
+#: The rules of a profile over the unpivoted columns.
+ENUM_PROFILE = r"""
+WITH u AS (
+  SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS c,
+         unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR), o_orderpriority]) AS v FROM orders
+),
+g AS (SELECT c, count(*) AS n, count(DISTINCT v) AS d, list_sort(list_distinct(list(v))) AS vs FROM u GROUP BY c),
+w AS (
+  SELECT *, d / n AS share, d = 0 OR d > 50 OR regexp_matches(c, '(^|_)(id|key|year|month|day|date|time|timestamp|amount|price|quantity|count|total|name|description|url)$') AS never,
+         regexp_matches(c, 'status|state|type|level|category|priority|segment|stage|mode') AS named,
+         len(list_filter(vs, lambda v: regexp_matches(v, '^[A-Z][a-zA-Z]*([ -][A-Z][a-zA-Z]*)*$') AND length(v) BETWEEN 3 AND 25)) / len(vs) AS stately, len(list_filter(vs, lambda v: regexp_matches(v, '^([0-9]{1,6}|[A-Z]{2,6})$'))) / len(vs) AS coded
+  FROM g
+),
+j AS (
+  SELECT *, NOT never AND d <= 30 AND share <= 0.1 AND (stately >= 0.6 OR named) AS is_status, NOT never AND d BETWEEN 3 AND 50 AND share <= 0.05 AND coded >= 0.6 AS is_code FROM w
+)
+SELECT c AS "column", CASE WHEN is_status THEN CASE WHEN stately >= 0.9 AND named THEN 'HIGH' WHEN stately >= 0.8 AND named THEN 'MEDIUM' ELSE 'LOW' END WHEN is_code THEN 'LOW' ELSE 'NOT_ENUM' END AS tier,
+       CASE WHEN is_status THEN 'status' WHEN is_code THEN 'code' END AS kind, CASE WHEN is_status OR is_code THEN array_to_string(vs, '|') ELSE '' END AS "values", n AS rows
+FROM j
+"""
+
+
+@frame_query("enum_profile", ENUM_PROFILE)
 def enum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rows = [(p.column, p.tier, p.kind, list(p.values), p.rows) for p in profile(orders, orders.columns)]
-    return spark.createDataFrame(rows, "column string, tier string, kind string, values array<string>, rows long")
+    rows = [(p.column, p.tier, p.kind, "|".join(p.values), p.rows) for p in profile(orders, orders.columns)]
+    return spark.createDataFrame(rows, "column string, tier string, kind string, values string, rows long")
 
 
-@frame_query("snapshot_relation", "SELECT (SELECT count(*) FROM customer) AS customers, count(*) AS orders, count(*) AS with_customer FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+@frame_query(
+    "snapshot_relation",
+    """WITH a AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 200),
+    g AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM a) GROUP BY 1),
+    k AS (SELECT o_custkey FROM (SELECT o_custkey, sum(n) OVER (ORDER BY n, o_custkey) AS s FROM g) WHERE s <= 500)
+    SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders JOIN a ON o_custkey = c_custkey WHERE o_custkey IN (SELECT o_custkey FROM k)""",
+)
 def snapshot_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample wide enough for all: the anchor's rows and every order of them."""
+    """A sample of 200 customers and of their orders whole groups within a budget of 500 rows."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders")}
-    found = snapshot.related(tables, "customer", [snapshot.Relation("customer", "orders", (("c_custkey", "o_custkey"),))], rows=1 << 30, budget=1 << 40)
-    tied = found["orders"].join(found["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return found["customer"].agg(F.count("*").alias("customers")).crossJoin(found["orders"].agg(F.count("*").alias("orders"))).crossJoin(tied.agg(F.count("*").alias("with_customer")))
+    found = snapshot.related(tables, "customer", [snapshot.Relation("customer", "orders", (("c_custkey", "o_custkey"),))], rows=200, budget=500)
+    return found["orders"].join(found["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
+
+
+@frame_query("summary_samples", "SELECT * FROM customer ORDER BY c_custkey LIMIT 20")
+def summary_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
+@frame_query(
+    "conditional_branches",
+    """SELECT coalesce(u.o_custkey, o.o_custkey) AS o_custkey, urgent, other, coalesce(urgent, other) AS leading
+    FROM (SELECT o_custkey, count(*) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) u
+    FULL JOIN (SELECT o_custkey, count(*) AS other FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1) o ON u.o_custkey = o.o_custkey""",
+)
+def conditional_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step for each filtered metric, merged over the grain, the label being the first that has a value."""
+    only = lambda v: {"column_ref": "o_orderpriority", "operator": "=", "value": v}
+    spec = {
+        "source_tables": [{"name": "orders", "alias": "o", "columns": [{"name": n, "type": t} for n, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderpriority", "string"))]}],
+        "metrics": [{"metric_name": "urgent", "aggregation": "COUNT", "filter": only("1-URGENT")}, {"metric_name": "other", "aggregation": "COUNT", "filter": only("5-LOW")}],
+        "dimensions": [{"column_ref": "o.o_custkey"}],
+        "target_grain": ["o_custkey"],
+        "output_columns": ["o_custkey", "urgent", "other", "leading"],
+    }
+    return program.run(program.branches(parse(spec)), catalog(spark, sf_dir))
 
 
 @frame_query("snapshot_groups", "SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS groups FROM (SELECT n, sum(n) OVER (ORDER BY n, o_custkey) AS s FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)) WHERE s <= 5000")

@@ -72,18 +72,36 @@ def smallest_groups(df: DataFrame, key: str, groups: int = 10) -> DataFrame:
     return of_groups(df, smallest_keys(df, key, groups), key)
 
 
-def compare(left: DataFrame, right: DataFrame, keys: list[str] | None, tolerance: Tolerance = Tolerance(), sampled: bool = False) -> Report:
-    """Counters decide: columns, keys, counts, then values. No rows on both sides prove nothing and go to a person."""
+#: Rows beyond which a comparison looks at the groups of the smallest keys only, and the most rows of those.
+OVERFLOW, SAMPLED_ROWS = 100_000, 10_000
+
+
+def compare(left: DataFrame, right: DataFrame, keys: list[str] | None, tolerance: Tolerance = Tolerance(), sampled: bool | None = None, overflow: int = OVERFLOW) -> Report:
+    """Counters decide: columns, keys, counts, then values. No rows on both sides prove nothing and go to a person.
+
+    If a side has more than ``overflow`` rows, all rows are counted, and of the values only those of the complete groups of the ten
+    smallest first keys are compared, as many as have ``SAMPLED_ROWS`` rows together; ``sampled`` says so, or forbids it, whatever the rows."""
     if sorted(left.columns) != sorted(right.columns):
         return Report(Status.MISMATCH, "the columns differ", {})
     if not keys or not set(keys) <= set(left.columns):
         return Report(Status.HUMAN_REVIEW, "there are no keys to align rows by", {})
     counts = {}
+    if sampled is not False:
+        whole = {"left_whole": left.count(), "right_whole": right.count()}  # of all rows, before any are cut
+        sampled = sampled or max(whole.values()) > overflow
     if sampled:
-        counts = {"left_whole": left.count(), "right_whole": right.count()}  # of all rows, before any are cut
+        counts = whole
         if counts["left_whole"] != counts["right_whole"]:
             return Report(Status.MISMATCH, "the row counts differ", counts)
-        few = smallest_keys(left.select(keys[0]).unionByName(right.select(keys[0])), keys[0])
+        both = left.select(keys[0]).unionByName(right.select(keys[0]))
+        sizes = [tuple(r) for r in both.groupBy(keys[0]).count().orderBy(F.col(keys[0]).asc_nulls_last()).limit(10).collect()]
+        few, rows = [], 0
+        for key, n in sizes:
+            rows += n
+            if few and rows > 2 * SAMPLED_ROWS:
+                break
+            few.append((key,))
+        few = left.sparkSession.createDataFrame(few, left.select(keys[0]).schema)
         left, right = of_groups(left, few, keys[0]), of_groups(right, few, keys[0])
     for name, df in (("left", left), ("right", right)):
         null = reduce(lambda a, b: a | b, (F.col(f"`{k}`").isNull() | (F.col(f"`{k}`").cast("string") == "") for k in keys))

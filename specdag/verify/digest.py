@@ -123,3 +123,29 @@ def same(a: DataFrame, b: DataFrame, float_places: int = 6) -> bool:
     if x != y:
         raise SpecError("DIGEST", "the results have different columns")
     return digest(a, x).first() == digest(b, y).first()
+
+
+@dataclass(frozen=True)
+class Bound:
+    """A digest with what it holds for: how rows were read as bytes, and of which snapshot they were made."""
+
+    spec_hash: str
+    snapshot_id: str
+    row_count: int
+    digest: str
+
+
+def bound(df: DataFrame, snapshot_id: str, spec: DigestSpec | None = None) -> Bound:
+    row = digest(df, spec).first()
+    return Bound(row["spec_hash"], snapshot_id, row["row_count"], row["digest"])
+
+
+def compared(a: Bound, b: Bound) -> tuple[bool, str]:
+    """Whether two digests agree, and why not. Digests of different specifications or snapshots say nothing of each other and raise."""
+    if a.spec_hash != b.spec_hash:
+        raise SpecError("DIGEST", "the digests are of different specifications")
+    if a.snapshot_id != b.snapshot_id:
+        raise SpecError("DIGEST", "the digests are of different snapshots")
+    if a.row_count != b.row_count:
+        return False, f"{a.row_count} rows and {b.row_count}"
+    return (True, "") if a.digest == b.digest else (False, "the rows differ")

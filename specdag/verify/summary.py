@@ -22,6 +22,11 @@ def summary(df: DataFrame) -> DataFrame:
     return one.select("row_count", F.explode(rows).alias("r")).select("r.column", "row_count", "r.null_count", "r.total")
 
 
+def samples(df: DataFrame, rows: int = 20) -> DataFrame:
+    """The first rows by the columns in order, those that can be sorted: the same ones whenever they are asked for."""
+    return df.orderBy(*(F.col(f"`{f.name}`").asc_nulls_last() for f in df.schema.fields if not isinstance(f.dataType, T.MapType))).limit(rows)
+
+
 def anomalies(df: DataFrame, meta: TableMeta, drift: float = 0.5, partition: str | None = None, partitions: tuple = ()) -> list[Finding]:
     """Missing columns, types of another family, nulls where none may be, partitions without rows, and drift of the row count."""
     out = [Finding("MISSING_COLUMN", "reject", f"{meta.name} has no {c}") for c in meta.types if c not in df.columns]
