@@ -39,6 +39,8 @@ MOST_BROADCAST, GROUP = 1_000_000, 256
 SHARE, MOST_WORDS, MOST_SHINGLES = 2e-4, 1 << 16, 1 << 18
 #: Fixed value: the bits of a shingle's hash; those above it hold its rarity.
 BITS = 56
+#: Fixed value: how many values two sets must share for a pair of single values; four at most.
+TOGETHER = 3
 _ALL = -(1 << 63)  # stands for all words together
 
 
@@ -202,10 +204,13 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     # those, only what both retain.
     slack = F.col("k_hub") - F.size("s_hub")
     most = F.size(F.array_intersect("s_hub", "s_member")) + slack + F.greatest(F.col("n_hub") - F.col("k_hub"), F.col("n_member") - F.col("k_member"))
+    sizes = materialize(classes.select("node", "n"), "near-sizes")
+    for name in ("hub", "member"):
+        pairs = checked_join(pairs, sizes.select(F.col("node").alias(name), F.col("n").alias(f"size_{name}")), name)
     hopeful = (
-        pairs.join(sides[1], "member")
+        pairs.filter(F.least("size_hub", "size_member") * 100 >= F.greatest("size_hub", "size_member") * percent)
+        .join(sides[1], "member")
         .join(sides[0], "hub")
-        .filter(F.least("n_hub", "n_member") * 100 >= F.greatest("n_hub", "n_member") * percent)
         .filter(most * (100 + percent) >= (F.col("n_hub") + F.col("n_member")) * percent)
         .select("hub", "member")
     )
@@ -218,7 +223,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     full = texts.mapInArrow(partial(_full, width=width), "hub long, salt long, member long, found binary")
     near = full.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
     links = materialize(near.mapInArrow(partial(_confirm, percent=percent), "a long, b long").distinct(), "near-links")
-    discard(hopeful, wanted)
+    discard(sizes, hopeful, wanted)
     drop_shuffles(docs.sparkSession)
     return links
 
@@ -241,21 +246,23 @@ def _lists(classes: DataFrame) -> DataFrame:
 def _crossing(lists: DataFrame, listed: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, member) that may be linked of different components of ``tied``, of nodes that lie with another component in a list.
 
-    Two sets that are linked share one of the first n - least + 1 values of each, least being what a linked set must share,
-    and from the first that they share on, both must still hold the least overlap."""
-    placed = lists.select("key", "node").join(tied, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    Of two sets that are linked and not equal, which share four values at least, the first ``TOGETHER`` that they share are among the first
+    n - least + TOGETHER of each, least being what a linked set of n must share; from each of them on, both must still hold
+    the others of the least overlap. One rare value in common may be chance, several are not."""
+    placed = checked_join(lists.select("key", "node"), tied, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     nodes = materialize(placed.join(mixed, "key", "left_semi").select("node", "component").distinct(), "near-open")
-    first = F.slice("retained", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    entries = listed.join(nodes, "node").select("node", "component", "n", F.posexplode(first).alias("place", "value"))
+    first = F.slice("retained", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + TOGETHER).cast("int"))
+    entries = checked_join(listed, nodes, "node").select("node", "component", "n", F.posexplode(first).alias("place", "value"))
     mixed = entries.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
     rest = materialize(entries.join(mixed, "value", "left_semi"), "near-rest")
     discard(nodes)
+    drop_shuffles(lists.sparkSession)
     other = rest.select("value", F.col("node").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("place").alias("place_other"))
-    overlap = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other"))
+    overlap = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) + (TOGETHER - 1)
     possible = (overlap * (100 + percent) >= (F.col("n") + F.col("n_other")) * percent) & (F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
     pairs = rest.withColumnRenamed("node", "hub").join(other, "value").filter((F.col("component") != F.col("other")) & (F.col("hub") < F.col("member")) & possible)
-    pairs = materialize(pairs.select("hub", "member").distinct(), "near-crossing")
+    pairs = materialize(pairs.groupBy("hub", "member").agg(F.count("*").alias("together")).filter(F.col("together") >= TOGETHER).select("hub", "member"), "near-crossing")
     discard(rest)
     return pairs
 
@@ -289,8 +296,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     source = source.filter(F.col("doc_id").isNotNull())
 
     central = lists.groupBy("node").agg(F.sum("size").alias("weight"))
-    hubs = lists.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    central = materialize(central, "near-central")
+    hubs = checked_join(lists, central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
     stars = materialize(lists.join(hubs, "key").filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "near-stars")
+    discard(central)
     links = _verify(source, listed, stars, width, percent)
 
     tied = components(links)
