@@ -39,8 +39,9 @@ from specdag.llm.grams import mix
 DEPTH, LEAST, STRENGTH, WEIGHTS = 3, 2, 1.0, (0.25, 0.5, 1.0, 2.0, 4.0)
 #: The end of a text as a word (no word has a space), and the symbol before a text's first word.
 END, START = " ", np.uint64(0x5354415254)
-#: The bytes of a block of texts, and the unit of the sums of logarithms that buckets return.
-BLOCK_BYTES, UNIT = 8 << 20, 1e-10
+#: The bytes of a block of texts, the symbols of some blocks together that go to buckets at a time, the unit of the
+#: sums of logarithms that buckets return, and the bytes of the hashes of words and of the symbols further back.
+BLOCK_BYTES, AT_ONCE, UNIT, WIDE, NARROW = 8 << 20, 3 << 20, 1e-9, 7, 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,6 +59,17 @@ def _unpack(blob: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
+def _cut(values: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` low bytes of each value, plane by plane, so that what values in order have in common lies together."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def _whole(planes: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, -1).T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _joined(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(before * _ODD + symbol)
@@ -292,14 +304,17 @@ def _gains(batches: Iterator[pa.RecordBatch], top: object, depth: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], ["context", *(f"g{k}" for k in range(len(WEIGHTS)))])
 
 
-_DEALT = "bucket int, block long, positions int, distinct int, texts int, data binary, ids array<long>, held array<boolean>"
-_DEALT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("positions", pa.int32()), ("distinct", pa.int32()), ("texts", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
+_DEALT = "bucket int, block long, positions int, distinct int, texts int, data binary, ids array<long>, held array<boolean>, tokens array<int>"
+_DEALT_SCHEMA = pa.schema(
+    [("bucket", pa.int32()), ("block", pa.int64()), ("positions", pa.int32()), ("distinct", pa.int32()), ("texts", pa.int32()), ("data", pa.binary())]
+    + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int32()))]
+)
 
 
 def _names(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """One hash for a word after a hot context."""
     with np.errstate(over="ignore"):
-        return mix(word ^ mix(context * _ODD + np.uint64(7)))
+        return mix(word ^ mix(context * _ODD + np.uint64(7))) >> np.uint64(64 - 8 * WIDE)
 
 
 def _answers(batches: Iterator[pa.RecordBatch], top: object, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -310,36 +325,55 @@ def _answers(batches: Iterator[pa.RecordBatch], top: object, buckets: int) -> It
         for row in batch.to_pylist():
             ids, every, n, wants = _unpack(row["data"], ("<u8", row["distinct"]), ("<i8", row["pairs"]), ("<i8", row["pairs"]), ("<i8", row["wanted"]))
             pair, by = wants // buckets, wants % buckets
-            order = np.argsort(by, kind="stable")
-            pair, by = pair[order], by[order]
             word, context = every // many, every % many
             names, q, count = _names(tree.hot.hashes[context], ids[word]), tree.probabilities(every, n, 1 << 30), n[np.searchsorted(every, word * many)]
+            order = np.lexsort((names[pair], context[pair] > 0, by))  # those of the root first
+            pair, by = pair[order], by[order]
             edges = np.searchsorted(by, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 own = pair[edges[b] : edges[b + 1]]
-                data = _pack(names[own], q[own].astype("<f4"), count[own].astype("<i8"))
-                yield pa.RecordBatch.from_pylist([{"bucket": int(b), "positions": len(own), "data": data}], schema=_DEALT_SCHEMA)
+                hot = context[own] > 0
+                # at the root the count tells the probability
+                data = _pack(_cut(names[own], WIDE), _cut(count[own], 5), q[own][hot])
+                yield pa.RecordBatch.from_pylist([{"bucket": int(b), "positions": len(own), "distinct": int(hot.sum()), "data": data}], schema=_DEALT_SCHEMA)
 
 
 def _positions(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: object) -> Iterator[pa.RecordBatch]:
-    """For each block of texts and bucket of subtrees the symbols that follow contexts in it: the subtree, the symbols before
-    that go beyond, the symbol, and its text. One bucket gets the ids of the block's texts."""
-    partition = TaskContext.get().partitionId()
-    for number, batch in enumerate(text_slices(batches, "text", BLOCK_BYTES)):
-        block, ids = Block(batch), batch.column("doc_id").to_pylist()
-        number |= partition << 33
-        longest, key, bucket, beyond = block.dealt(hot.value, depth, buckets, ids)
-        names = _names(hot.value.hashes[longest], block.ids[block.symbols])
-        order = np.argsort((bucket.astype(np.uint64) << np.uint64(44)) | key >> np.uint64(20))
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [{"bucket": number % buckets, "block": number, "ids": ids, "held": block.held.tolist()}]
+    """For some blocks of texts together and each bucket of subtrees the symbols that follow contexts in it: the subtree, the symbols
+    before that go beyond, the symbol, and its text. One bucket gets the ids of the texts."""
+    partition, number = TaskContext.get().partitionId(), 0
+    parts, ids, held, tokens = [], [], [], []
+
+    def flushed() -> pa.RecordBatch:
+        names, key, bucket, text, *beyond = (np.concatenate(x) for x in zip(*parts, strict=True))
+        block = partition << 33 | number
+        further = beyond[0] if beyond else key
+        if buckets < 1 << 16:
+            order = np.argsort(bucket << np.uint64(48) | key >> np.uint64(32) << np.uint64(16) | further & np.uint64(0xFFFF))
+        else:
+            order = np.lexsort((further, key, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        rows = [{"bucket": block % buckets, "block": block, "ids": ids, "held": held, "tokens": tokens}]
         for b in np.flatnonzero(np.diff(edges)):
             own = order[edges[b] : edges[b + 1]]
             found, codes = np.unique(names[own], return_inverse=True)
-            texts = (block.text[own] * 2 + block.training[own]).astype("<u4")
-            data = _pack(found, codes.astype("<u4"), key[own], texts, *(x[own].astype("<u4") for x in beyond))
-            rows.append({"bucket": int(b), "block": number, "positions": len(own), "distinct": len(found), "texts": batch.num_rows, "data": data})
-        yield pa.RecordBatch.from_pylist(rows, schema=_DEALT_SCHEMA)
+            data = _pack(_cut(found, WIDE), _cut(codes, 4), _cut(key[own], 8), _cut(text[own], 4), *(_cut(x[own], NARROW) for x in beyond))
+            rows.append({"bucket": int(b), "block": block, "positions": len(own), "distinct": len(found), "texts": len(ids), "data": data})
+        return pa.RecordBatch.from_pylist(rows, schema=_DEALT_SCHEMA)
+
+    for batch in text_slices(batches, "text", BLOCK_BYTES):
+        block, own = Block(batch), batch.column("doc_id").to_pylist()
+        longest, key, bucket, beyond = block.dealt(hot.value, depth, buckets, own)
+        names = _names(hot.value.hashes[longest], block.ids[block.symbols])
+        parts.append((names, key, bucket.astype(np.uint64), (block.text + len(ids)) * 2 + block.training, *beyond))
+        ids += own
+        held += block.held.tolist()
+        tokens += np.bincount(block.text, minlength=batch.num_rows).tolist()
+        if sum(len(p[0]) for p in parts) >= AT_ONCE:
+            yield flushed()
+            parts, ids, held, tokens, number = [], [], [], [], number + 1
+    if parts:
+        yield flushed()
 
 
 def walk(key: np.ndarray, beyond: list[np.ndarray], symbol: np.ndarray, q: np.ndarray, training: np.ndarray, least: int, strength: float) -> np.ndarray:
@@ -373,58 +407,66 @@ def walk(key: np.ndarray, beyond: list[np.ndarray], symbol: np.ndarray, q: np.nd
     return p
 
 
-def _subtrees(table: pa.Table, depth: int, least: int, strength: float) -> pa.Table:
-    """The sums of a bucket's symbols for each text: known ones, logarithms of counts, and logarithms of probabilities."""
-    names, q, counts, rows, out = [np.zeros(0, np.uint64)], [np.zeros(0, "<f4")], [np.zeros(0, "<i8")], [], []
+def _subtrees(table: pa.Table, beyond_most: int, root: tuple[float, float], least: int, strength: float) -> pa.Table:
+    """The sums of a bucket's symbols for each text: known ones, logarithms of counts, and logarithms of probabilities. ``root`` has the
+    probability of an unseen word and the sum that counts are divided by."""
+    names, q, counts, rows, out = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.int64)], [], []
     for row in table.to_pylist():
+        n = row["positions"]
         if row["block"] is None:
-            found = _unpack(row["data"], ("<u8", row["positions"]), ("<f4", row["positions"]), ("<i8", row["positions"]))
-            names.append(found[0]), q.append(found[1]), counts.append(found[2])
+            found, count, hot = _unpack(row["data"], ("u1", n * WIDE), ("u1", n * 5), ("<f8", row["distinct"]))
+            count = _whole(count, 5).astype(np.int64)
+            own = np.where(count > 0, count / root[1], root[0])
+            own[n - row["distinct"] :] = hot
+            names.append(_whole(found, WIDE)), q.append(own), counts.append(count)
         elif row["ids"] is not None:
-            out.append({"block": row["block"], "ids": row["ids"], "held": row["held"]})
+            out.append({"block": row["block"], "ids": row["ids"], "held": row["held"], "tokens": row["tokens"]})
         else:
             rows.append(row)
+    del table
     names, q, counts = np.concatenate(names), np.concatenate(q), np.concatenate(counts)
     order = np.argsort(names)
     names, q, counts = names[order], q[order], counts[order]
     parts, start = [], 0
     for row in rows:
         n = row["positions"]
-        found, codes, key, texts, *beyond = _unpack(row["data"], ("<u8", row["distinct"]), ("<u4", n), ("<u8", n), *[("<u4", n)] * (depth + 1))
-        at = np.searchsorted(names, found)
-        parts.append((at[codes], key, (texts >> 1).astype(np.int64) + start, (texts & 1).astype(bool), *beyond))
+        found, codes, key, texts, *beyond = _unpack(row["data"], ("u1", row["distinct"] * WIDE), ("u1", n * 4), ("u1", n * 8), ("u1", n * 4), *[("u1", n * NARROW)] * beyond_most)
+        at = np.searchsorted(names, _whole(found, WIDE)).astype(np.int32)
+        texts = _whole(texts, 4)
+        parts.append((at[_whole(codes, 4)], _whole(key, 8), (texts >> np.uint64(1)).astype(np.int64) + start, (texts & np.uint64(1)).astype(bool), *(_whole(x, NARROW).astype(np.uint32) for x in beyond)))
         start += row["texts"]
+        row["data"] = None
     if parts:
         symbol, key, text, training, *beyond = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        p = walk(key, beyond, symbol, q[symbol].astype(float), training, least, strength)
-        many = np.bincount(text, minlength=start)
-        known = np.bincount(text, counts[symbol] > 0, start)
+        p = walk(key, beyond, symbol, q[symbol], training, least, strength)
+        del key, beyond
+        many, known = np.bincount(text, minlength=start), np.bincount(text, counts[symbol] > 0, start)
         base = np.round(np.bincount(text, np.round(np.log10(counts + 1) / UNIT)[symbol], start)).astype("<i8")
         model = np.bincount(text, np.log10(p), start)
         begin = 0
         for row in rows:
             own = np.flatnonzero(many[begin : begin + row["texts"]])
-            own_at = own + begin
-            out.append({"block": row["block"], "n": len(own), "data": _pack(own.astype("<u4"), many[own_at].astype("<u4"), known[own_at].astype("<u4"), base[own_at], model[own_at].astype("<f4"))})
+            at = own + begin
+            out.append({"block": row["block"], "n": len(own), "data": _pack(_cut(own, 4), _cut(known[at].astype(np.int64), 4), _cut(base[at], 7), model[at].astype("<f4"))})
             begin += row["texts"]
-    return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]))
+    return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int32()))]))
 
 
 def _texts(table: pa.Table) -> pa.Table:
     """Adds up what the buckets say of the texts of a block."""
     rows = table.to_pylist()
     texts = next(r for r in rows if r["ids"] is not None)
-    many, known, base, model = np.zeros((4, len(texts["ids"])))
+    known, base, model = np.zeros((3, len(texts["ids"])))
     for row in rows:
         if row["ids"] is None:
             n = row["n"]
-            own, a, b, c, d = _unpack(row["data"], ("<u4", n), ("<u4", n), ("<u4", n), ("<i8", n), ("<f4", n))
-            many[own] += a
-            known[own] += b
-            base[own] += c
-            model[own] += d
-    return pa.table({"doc_id": pa.array(texts["ids"], pa.int64()), "held_out": pa.array(texts["held"], pa.bool_()), "tokens": pa.array(many.astype(np.int64)), "known": pa.array(known.astype(np.int64)), "base": pa.array(base * UNIT), "model": pa.array(model)})
+            own, a, b, c = _unpack(row["data"], ("u1", n * 4), ("u1", n * 4), ("u1", n * 7), ("<f4", n))
+            own = _whole(own, 4).astype(np.int64)
+            known[own] += _whole(a, 4)
+            base[own] += _whole(b, 7)
+            model[own] += c
+    return pa.table({"doc_id": pa.array(texts["ids"], pa.int64()), "held_out": pa.array(texts["held"], pa.bool_()), "tokens": pa.array(texts["tokens"], pa.int64()), "known": pa.array(known.astype(np.int64)), "base": pa.array(base * UNIT), "model": pa.array(model)})
 
 
 def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int = DEPTH, least: int = LEAST, strength: float = STRENGTH, buckets: int | None = None) -> DataFrame:
@@ -436,8 +478,8 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
     Repeated rows count each; other columns are ignored; an empty table gives no rows; without training texts all words are unseen.
 
     Contexts of up to ``depth`` words are tried if training texts have them ``least`` times (2 at least) and kept if they gain more than
-    ``strength`` nats. The word that a subtree is dealt by and the words scored are told apart by 64-bit hashes, the words further
-    back, within a subtree, by 32-bit ones. ``buckets`` follows the number of shuffle partitions, and with it what counts as hot, so
+    ``strength`` nats. The word that a subtree is dealt by is told apart by a 64-bit hash, the words scored by 56-bit ones, the words
+    further back, within a subtree, by 24-bit ones. ``buckets`` follows the number of shuffle partitions, and with it what counts as hot, so
     that a bucket stays small as the input grows; the hot contexts, which are all that tasks are sent, are 3 * buckets at most for each length.
     """
     spark = docs.sparkSession
@@ -475,7 +517,9 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
 
     answers = words.mapInArrow(partial(_answers, top=spark.sparkContext.broadcast(top), buckets=buckets), _DEALT)
     positions = source.mapInArrow(partial(_positions, buckets=buckets, depth=depth, hot=hot), _DEALT)
-    subtrees = positions.unionByName(answers).groupBy("bucket").applyInArrow(lambda table: _subtrees(table, depth - 1, least, strength), "block long, n int, data binary, ids array<long>, held array<boolean>")
+    root = (float(once / top.unseen / (tokens + once)), float(tokens + once))
+    sent = "block long, n int, data binary, ids array<long>, held array<boolean>, tokens array<int>"
+    subtrees = positions.unionByName(answers).groupBy("bucket").applyInArrow(lambda table: _subtrees(table, depth - 1, root, least, strength), sent)
     subtrees = materialize(subtrees, "pst-sums")
     discard(words)
     drop_shuffles(spark)
