@@ -527,6 +527,41 @@ def test_gam_finds_an_interaction():
     assert ((model.score(x) >= 0.5) == y).mean() > 0.9 and (1, 0) in [p[:2] for p in model.pairs]
 
 
+def plain_tree(at, size, g, h, ridge):
+    """The best tree of three leaves over the bins by trying every cut, as steps of the bins."""
+    sums = lambda lo, hi, v: sum(x for x, k in zip(v, at, strict=True) if lo <= k < hi)
+    worth = lambda lo, hi: sums(lo, hi, g) ** 2 / (sums(lo, hi, h) + ridge)
+    first = max(range(1, size), key=lambda c: (round(worth(0, c) + worth(c, size), 9), -c))
+    cuts = [0, first, size]
+    options = [(round(worth(a, c) + worth(c, b) - worth(a, b), 9), a, c) for a, b in ((0, first), (first, size)) for c in range(a + 1, b)]
+    if options and max(options)[0] > 0:
+        gain = max(o[0] for o in options)
+        place = max(a for g_, a, _ in options if g_ == gain)
+        cuts = sorted({*cuts, min(c for g_, a, c in options if g_ == gain and a == place)})
+    return [next(sums(a, b, g) / (sums(a, b, h) + ridge) for a, b in zip(cuts, cuts[1:], strict=False) if a <= k < b) for k in range(size)]
+
+
+def test_gam_boosting_equals_plain_loops():
+    """The tables after some rounds over two features, by loops over rows and all cuts."""
+    r = random.Random(4)
+    n, rounds, rate, ridge, bins = 120, 5, 0.15, 4.0, 6
+    x = [[r.random(), r.random() ** 2] for _ in range(n)]
+    y = [int(r.random() < 0.2 + 0.6 * (a > 0.4)) for a, _ in x]
+    edges = [sorted(set(np.quantile([row[j] for row in x], [k / bins for k in range(1, bins)]).tolist())) for j in (0, 1)]
+    at = [[sum(e <= row[j] for e in edges[j]) for row in x] for j in (0, 1)]
+    start = math.log((sum(y) + 0.5) / (n + 1) / (1 - (sum(y) + 0.5) / (n + 1)))
+    tables, total = [[0.0] * (len(e) + 1) for e in edges], [start] * n
+    for _ in range(rounds):
+        for j in (0, 1):
+            p = [1 / (1 + math.exp(-t)) for t in total]
+            step = plain_tree(at[j], len(tables[j]), [a - b for a, b in zip(y, p, strict=True)], [a * (1 - a) for a in p], ridge)
+            tables[j] = [t + rate * s for t, s in zip(tables[j], step, strict=True)]
+            total = [t + rate * step[k] for t, k in zip(total, at[j], strict=True)]
+    model = quality_gam.train(np.array(x), np.array(y, float), bins=bins, rounds=rounds, rate=rate, ridge=ridge, pairs=0)
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables, strict=True))
+    assert np.allclose(model.score(np.array(x)), [1 / (1 + math.exp(-t)) for t in total])
+
+
 def test_deobfuscation_and_scores(spark):
     r = random.Random(10)
     insults = ["idiot", "moron", "stupid", "worthless"]

@@ -71,3 +71,45 @@ def test_run(spark, corpus):
     found = corpus_pipeline.run(spark, folder)
     assert found.groupBy("doc_id").agg(F.sum("length") == F.max("doc_tokens")).filter("NOT `(sum(length) = max(doc_tokens))`").count() == 0
     assert found.count() > 90
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, _spans int, score string, _id int, component_id int, _first string, start int"
+
+
+def folder_of(spark, tmp_path, docs, labels, items):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(docs, EXTRA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark", "all"])
+def test_stages_of_empty_tables_and_clashing_columns(spark, tmp_path, empty):
+    more = (1, "x", 2, 3, "y", 4)
+    docs = [(i, prose(i, 40), "en", "s", 1, *more) for i in range(12)] + [(None, None, None, None, None, *more), (20, "", None, None, None, *more)]
+    labels = [(i, i % 2, 0) for i in range(12)]
+    items = [(1, prose(900, 20)), (2, None)]
+    folder = folder_of(spark, tmp_path, [] if empty in ("documents", "all") else docs, [] if empty in ("labels", "all") else labels, [] if empty in ("benchmark", "all") else items)
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        again = spark.createDataFrame(rows.collect(), rows.schema)
+        if name != "packing":
+            extra = set(EXTRA.replace(",", "").split()[::2]) - set(corpus_pipeline.DOCUMENTS)
+            again = again.withColumns({c: F.lit(7) for c in sorted(extra)})  # each stage meets names that clash with its own
+        rows = stage(spark, again, folder)
+        assert rows.columns == list(corpus_pipeline.DOCUMENTS) or name == "packing", name
+    if empty in ("documents", "all"):
+        assert rows.count() == 0
+    elif empty != "benchmark":  # without labels nothing is rejected
+        assert {r["doc_id"] for r in rows.collect()} == {*range(12), None, 20}
+
+
+def test_repeated_rows_and_ids(spark, tmp_path):
+    a, b = prose(1, 60), prose(2, 60)
+    more = (1, "x", 2, 3, "y", 4)
+    rows = [(3, a), (3, a), (5, a), (7, b), (7, b + " tail"), (9, b), (11, ""), (11, ""), (13, None), (None, a), (None, a)]
+    folder = folder_of(spark, tmp_path, [(i, t, "en", "s", 1, *more) for i, t in rows], [], [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(3, a), (7, b + " tail"), (11, ""), (13, None), (None, a), (None, a)], key=repr)
