@@ -3,7 +3,8 @@
 A document's set holds hashes of its word shingles. The hash's top bits tell how rare a shingle is, so the least values of a
 set, which it retains as its sketch, are its rarest. Inverted lists of the retained values give candidates: a list is that of
 two values that follow one another in both sketches, since single values meet by chance the more the larger a corpus is. The
-sketches of two candidates bound the similarity of the sets from above and drop the impossible; the full sets confirm.
+sketches of two candidates bound the similarity of the sets from above and drop the impossible, first by odd sketches, which are
+narrow, then by the union of the retained values; the full sets confirm.
 
 No link is lost. Let two sets of similarity t >= 0.8 that are not equal be walked in the common order, and let x and y count the values that only
 one of them has. Their shared values are more than x + y + 1, so two of them follow one another with no other value between.
@@ -25,20 +26,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specdag.llm.common import discard, drop_shuffles, materialize, text_slices, words_of
 from specdag.llm.components import components
 from specdag.llm.grams import mix
 
-#: The most ids that are broadcast, beyond which a shuffled join takes over, and pairs of one salted group.
-MOST_BROADCAST, GROUP = 1_000_000, 256
+#: The most narrow rows that are broadcast, beyond which a shuffled join takes over, and pairs of one salted group.
+MOST_BROADCAST, GROUP = 400_000, 256
 #: Fixed values of cost only, results are the same under any: words and shingles that occur in so large a share of documents
 #: count as frequent, and the most of them that are told apart.
 SHARE, MOST_WORDS, MOST_SHINGLES = 2e-4, 1 << 16, 1 << 18
-#: Fixed value: the bits of a shingle's hash; those above it hold its rarity.
-BITS = 56
+#: The bits of a shingle's hash, above which are those of its rarity, and the bits of an odd sketch.
+BITS, ODD = 56, 512
 #: Fixed value: how many values two sets must share for a pair of single values; four at most.
 TOGETHER = 3
 _ALL = -(1 << 63)  # stands for all words together
@@ -106,6 +107,19 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
         return int(mixed.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(mixed)).view(np.int64))
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """For each of ODD bits whether an odd number of values fall on it. Two sketches differ in no more bits than the sets do in values."""
+    at = (found & np.uint64(ODD - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=ODD) & 1).view(np.int64)
+
+
+def _near_enough(one: str, other: str, percent: int) -> Column:
+    """By sizes ``n`` and odd sketches of two sides, whose columns end so: sets of the wanted similarity differ in so few values."""
+    n, m = F.col(f"n{one}"), F.col(f"n{other}")
+    differ = sum((F.bit_count(F.get(f"odd{one}", F.lit(i)).bitwiseXOR(F.get(f"odd{other}", F.lit(i)))) for i in range(1, ODD // 64)), F.bit_count(F.get(f"odd{one}", F.lit(0)).bitwiseXOR(F.get(f"odd{other}", F.lit(0)))))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Occurrences of words (as -1 - hash) and shingles (as hash), for those that a slice has often enough, and of all words together."""
     for batch in text_slices(batches, "text"):
@@ -141,17 +155,19 @@ def _ranks(source: DataFrame, width: int) -> Ranks:
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: object) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
         shingles = Shingles(batch.column("text"), width, ranks.value)
-        sizes, marks, retained = [], [], []
+        sizes, marks, odd, retained = [], [], [], []
         for i in range(batch.num_rows):
             found = shingles.of(i)
             sizes.append(len(found))
             marks.append(fingerprint(found))
+            odd.append(odd_sketch(found))
             retained.append(found[: 2 * (100 - percent) * len(found) // 100 + 2])
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in retained])))
         values = pa.array(np.concatenate(retained).view(np.int64)) if retained else pa.array([], pa.int64())
+        sketches = pa.array(np.concatenate(odd)) if odd else pa.array([], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*marks, strict=True)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
-            ["doc_id", "n", "f1", "f2", "retained"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*marks, strict=True)), pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1) * (ODD // 64), pa.int32()), sketches), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)],
+            ["doc_id", "n", "f1", "f2", "odd", "retained"],
         )
 
 
@@ -204,11 +220,12 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     # those, only what both retain.
     slack = F.col("k_hub") - F.size("s_hub")
     most = F.size(F.array_intersect("s_hub", "s_member")) + slack + F.greatest(F.col("n_hub") - F.col("k_hub"), F.col("n_member") - F.col("k_member"))
-    sizes = materialize(classes.select("node", "n"), "near-sizes")
+    sizes = materialize(classes.select("node", "n", "odd"), "near-sizes")
     for name in ("hub", "member"):
-        pairs = checked_join(pairs, sizes.select(F.col("node").alias(name), F.col("n").alias(f"size_{name}")), name)
+        pairs = checked_join(pairs, sizes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}")), name)
     hopeful = (
-        pairs.filter(F.least("size_hub", "size_member") * 100 >= F.greatest("size_hub", "size_member") * percent)
+        pairs.filter(_near_enough("_hub", "_member", percent))
+        .select("hub", "member")
         .join(sides[1], "member")
         .join(sides[0], "hub")
         .filter(most * (100 + percent) >= (F.col("n_hub") + F.col("n_member")) * percent)
@@ -243,24 +260,26 @@ def _lists(classes: DataFrame) -> DataFrame:
     return lists
 
 
-def _crossing(lists: DataFrame, listed: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+def _crossing(lists: DataFrame, hubs: DataFrame, listed: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, member) that may be linked of different components of ``tied``, of nodes that lie with another component in a list.
+    Those with the list's hub, and so all of a list of two, have been tried.
 
     Of two sets that are linked and not equal, which share four values at least, the first ``TOGETHER`` that they share are among the first
     n - least + TOGETHER of each, least being what a linked set of n must share; from each of them on, both must still hold
     the others of the least overlap. One rare value in common may be chance, several are not."""
-    placed = checked_join(lists.select("key", "node"), tied, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    untried = lists.filter("size > 2").select("key", "node").join(hubs.filter("size > 2").select("key", "hub"), "key").filter("node <> hub").select("key", "node")
+    placed = checked_join(untried, tied, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     nodes = materialize(placed.join(mixed, "key", "left_semi").select("node", "component").distinct(), "near-open")
     first = F.slice("retained", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + TOGETHER).cast("int"))
-    entries = checked_join(listed, nodes, "node").select("node", "component", "n", F.posexplode(first).alias("place", "value"))
+    entries = checked_join(listed, nodes, "node").select("node", "component", "n", "odd", F.posexplode(first).alias("place", "value"))
     mixed = entries.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
     rest = materialize(entries.join(mixed, "value", "left_semi"), "near-rest")
     discard(nodes)
     drop_shuffles(lists.sparkSession)
-    other = rest.select("value", F.col("node").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("place").alias("place_other"))
+    other = rest.select("value", F.col("node").alias("member"), F.col("component").alias("other"), F.col("n").alias("n_other"), F.col("odd").alias("odd_other"), F.col("place").alias("place_other"))
     overlap = F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) + (TOGETHER - 1)
-    possible = (overlap * (100 + percent) >= (F.col("n") + F.col("n_other")) * percent) & (F.least("n", "n_other") * 100 >= F.greatest("n", "n_other") * percent)
+    possible = (overlap * (100 + percent) >= (F.col("n") + F.col("n_other")) * percent) & _near_enough("", "_other", percent)
     pairs = rest.withColumnRenamed("node", "hub").join(other, "value").filter((F.col("component") != F.col("other")) & (F.col("hub") < F.col("member")) & possible)
     pairs = materialize(pairs.groupBy("hub", "member").agg(F.count("*").alias("together")).filter(F.col("together") >= TOGETHER).select("hub", "member"), "near-crossing")
     discard(rest)
@@ -281,14 +300,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranks = spark.sparkContext.broadcast(_ranks(source, width))
-    schema = "doc_id long, n long, f1 long, f2 long, retained array<long>"
+    schema = "doc_id long, n long, f1 long, f2 long, odd array<long>, retained array<long>"
     made = source.mapInArrow(partial(_sets, width=width, percent=percent, ranks=ranks), schema)
     sets = materialize(made.withColumn("row", F.monotonically_increasing_id()), "near-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     least = known.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     rows = materialize(known.select("doc_id", "row", "f1", "f2", "n").join(least.select("f1", "f2", "n", F.col("least.row").alias("node")), ["f1", "f2", "n"]).select("row", "doc_id", "node"), "near-rows")
     copies = rows.filter("row <> node").select("row")
-    classes = checked_join(known, copies, "row", "left_anti").select(F.col("row").alias("node"), F.col("doc_id").alias("doc"), "n", "f1", "retained")
+    classes = checked_join(known, copies, "row", "left_anti").select(F.col("row").alias("node"), F.col("doc_id").alias("doc"), "n", "f1", "odd", "retained")
     lists = _lists(classes)
     listed = materialize(checked_join(classes, materialize(lists.select("node").distinct(), "near-listed"), "node", "left_semi"), "near-sketches")
     narrow = materialize(sets.select("doc_id", "row", "n"), "near-ids")
@@ -297,14 +316,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     central = lists.groupBy("node").agg(F.sum("size").alias("weight"))
     central = materialize(central, "near-central")
-    hubs = checked_join(lists, central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
-    stars = materialize(lists.join(hubs, "key").filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "near-stars")
+    hubs = materialize(checked_join(lists, central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"), F.first("size").alias("size")), "near-hubs")
+    stars = materialize(lists.drop("size").join(hubs, "key").filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "near-stars")
     discard(central)
     links = _verify(source, listed, stars, width, percent)
 
     tied = components(links)
-    crossing = _crossing(lists, listed, tied, percent)
-    discard(lists)
+    crossing = _crossing(lists, hubs, listed, tied, percent)
+    discard(lists, hubs)
     done = stars.unionByName(stars.select(F.col("member").alias("hub"), F.col("hub").alias("member")))
     more = _verify(source, listed, crossing.join(done, ["hub", "member"], "left_anti"), width, percent)
     discard(listed, stars, crossing)
