@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from specdag.functions import calendar
 from specdag.functions.expr import And, Arith, Between, Case, Cmp, Col, Hour, In, IsNull, Like, Lit, Not, NullIfZero, Or, Ratio, parse_predicate, parse_value
-from specdag.functions.profile import profile
+from specdag.functions.profile import STATUS_WORDS, profile
 from specdag.operators.lower import lower
 from specdag.plans import program
 from specdag.plans.spec import parse
@@ -493,31 +493,41 @@ def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The rules of a profile over the unpivoted columns.
-ENUM_PROFILE = r"""
+ENUM_PROFILE = rf"""
 WITH u AS (
-  SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS c,
-         unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR), o_orderpriority]) AS v FROM orders
+  SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS c,
+         unnest([CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) AS v FROM part
 ),
 g AS (SELECT c, count(*) AS n, count(DISTINCT v) AS d, list_sort(list_distinct(list(v))) AS vs FROM u GROUP BY c),
 w AS (
-  SELECT *, d / n AS share, d = 0 OR d > 50 OR regexp_matches(c, '(^|_)(id|key|year|month|day|date|time|timestamp|amount|price|quantity|count|total|name|description|url)$') AS never,
-         regexp_matches(c, 'status|state|type|level|category|priority|segment|stage|mode') AS named,
-         len(list_filter(vs, lambda v: regexp_matches(v, '^[A-Z][a-zA-Z]*([ -][A-Z][a-zA-Z]*)*$') AND length(v) BETWEEN 3 AND 25)) / len(vs) AS stately, len(list_filter(vs, lambda v: regexp_matches(v, '^([0-9]{1,6}|[A-Z]{2,6})$'))) / len(vs) AS coded
+  SELECT *, n < 10 OR d / n <= 0.1 AS rare, n < 10 OR d / n <= 0.05 AS rarer, d = 0 OR regexp_matches(c, 'year|_yr$|month|amount|price|qty|quantity|count|_cnt$|age|_days$|day_') AS never,
+         regexp_matches(c, '(_status|_state|_phase|_stage)$|^status_') AS stated, regexp_matches(c, '(_type|_code|_category|_class|_kind|_level)$|^type_|^code_') AS coded,
+         regexp_matches(c, '^(is|has|flag)_|_(flag|yn)$') AS flagged, list_transform(vs, lambda v: lower(v)) AS ls, list_avg(list_transform(vs, lambda v: length(v))) AS wide,
+         list_avg(list_transform(vs, lambda v: CAST(regexp_matches(v, '^[A-Z]{{2,4}}$') AS INT))) AS short, list_avg(list_transform(vs, lambda v: CAST(regexp_matches(v, '^[A-Z][a-zA-Z]*([ -][A-Z][a-zA-Z]*)*$') AS INT))) AS as_status,
+         list_avg(list_transform(vs, lambda v: CAST(regexp_matches(v, '^([0-9]{{1,6}}|[A-Z]{{2,6}})$') AS INT))) AS as_code
   FROM g
 ),
-j AS (
-  SELECT *, NOT never AND d <= 30 AND share <= 0.1 AND (stately >= 0.6 OR named) AS is_status, NOT never AND d BETWEEN 3 AND 50 AND share <= 0.05 AND coded >= 0.6 AS is_code FROM w
-)
-SELECT c AS "column", CASE WHEN is_status THEN CASE WHEN stately >= 0.9 AND named THEN 'HIGH' WHEN stately >= 0.8 AND named THEN 'MEDIUM' ELSE 'LOW' END WHEN is_code THEN 'LOW' ELSE 'NOT_ENUM' END AS tier,
-       CASE WHEN is_status THEN 'status' WHEN is_code THEN 'code' END AS kind, CASE WHEN is_status OR is_code THEN array_to_string(vs, '|') ELSE '' END AS "values", n AS rows
-FROM j
+k AS (
+  SELECT *, CASE WHEN never THEN NULL
+    WHEN d <= 2 AND (list_has_all(['0', '1', 'true', 'false'], ls) OR list_has_all(['y', 'n'], ls) OR list_has_all(['yes', 'no'], ls) OR list_has_all(['是', '否'], ls)) THEN 'flag'
+    WHEN flagged THEN NULL
+    WHEN d <= 30 AND rare AND wide BETWEEN 3 AND 25 AND short < 0.8 AND as_status >= 0.6 THEN 'status'
+    WHEN d BETWEEN 3 AND 50 AND rarer AND as_code >= 0.6 THEN 'code' END AS kind,
+    list_has_any(list_transform(ls, lambda v: replace(v, '-', '_')), {list(STATUS_WORDS)}) AS worded
+  FROM w
+)
+SELECT c AS "column", kind, CASE WHEN kind IS NULL THEN '' WHEN kind = 'flag' THEN array_to_string(ls, '|') ELSE array_to_string(vs, '|') END AS "values", n AS rows,
+       CASE WHEN kind IS NULL THEN 'NOT_ENUM' WHEN kind = 'flag' THEN CASE WHEN flagged THEN 'CERTAIN' ELSE 'LOW' END
+            WHEN (kind = 'status' AND as_status >= 0.9 AND stated) OR (kind = 'code' AND as_code >= 0.9 AND coded) THEN 'HIGH'
+            WHEN (kind = 'status' AND as_status >= 0.8 AND (stated OR worded)) OR (kind = 'code' AND as_code >= 0.8 AND coded) THEN 'MEDIUM' ELSE 'LOW' END AS tier
+FROM k
 """
 
 
 @frame_query("enum_profile", ENUM_PROFILE)
 def enum_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rows = [(p.column, p.tier, p.kind, "|".join(p.values), p.rows) for p in profile(orders, orders.columns)]
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = [(p.column, p.tier, p.kind, "|".join(p.values), p.rows) for p in profile(part, part.columns)]
     return spark.createDataFrame(rows, "column string, tier string, kind string, values string, rows long")
 
 

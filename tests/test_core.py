@@ -292,6 +292,9 @@ def test_enum_judgement():
     assert judge("order_status", ["Open", "Closed", "In Transit"], 3, 100).tier == "HIGH"
     assert judge("zip_code", ["10001", "10002", "10003"], 3, 1000).tier == "HIGH"
     assert judge("user_id", ["1", "2"], 2, 100).tier == "NOT_ENUM"
+    assert judge("state", ["0", "1"], 2, 100).tier == "LOW" and judge("is_open", ["a", "b", "c"], 3, 100).tier == "NOT_ENUM"
+    assert judge("c_level", ["PDR", "ADR", "OTH"], 3, 100).kind == "code" and judge("birth_year", ["1990", "1991", "1992"], 3, 100).tier == "NOT_ENUM"
+    assert judge("x", ["Open", "Closed", "Shut"], 3, 100).tier == "MEDIUM" and judge("x", ["Blue", "Red", "red"], 3, 100).tier == "LOW"
     assert judge("note", [], 0, 5).tier == "NOT_ENUM"
 
 
