@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from specdag.errors import SpecError
 from specdag.sources.catalog import Catalog, TableMeta
 
-#: Rows that the related tables of a sample may have, and cells that a stratum is dealt over.
-BUDGET, CELLS = 500_000, 256
+#: Rows that the related tables of a sample may have, cells that a stratum is dealt over, and rows of a snapshot's file.
+BUDGET, CELLS, FILE_ROWS = 500_000, 256, 2_000_000
 
 
 def sample(df: DataFrame, mode: str = "full", *, rows: int | None = None, fraction: float | None = None, by: str | None = None, seed: int = 0) -> DataFrame:
@@ -92,7 +92,7 @@ def related(tables: dict[str, DataFrame], anchor: str, relations: list[Relation]
 
 
 def _files(spark: SparkSession, folder: str) -> list[tuple[str, str, int]]:
-    """Name, SHA-256 and size of each data file, read where the executors are."""
+    """Name, SHA-256 and size of each data file, read where the executors are, each file whole by one task: ``write`` keeps them short."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
     rows = found.select("path", F.sha2("content", 256).alias("sha"), "length").collect()
     return sorted((r["path"].rpartition("/")[2], r["sha"], r["length"]) for r in rows)
@@ -108,7 +108,7 @@ def write(spark: SparkSession, tables: dict[str, DataFrame], folder: str, aliase
         raise SpecError("SNAPSHOT", f"{twice} are tables and aliases")
     manifest = {"version": 1, "tables": {}, "index": {t: t for t in tables} | aliases}
     for name, df in tables.items():
-        df.write.mode("error").parquet(f"{folder}/{name}")
+        df.write.mode("error").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{name}")
         manifest["tables"][name] = {"rows": spark.read.parquet(f"{folder}/{name}").count(), "files": _files(spark, f"{folder}/{name}")}
     manifest["id"] = hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("error").text(f"{folder}/_manifest")

@@ -50,9 +50,13 @@ def test_entry(spark):
 
 def test_rest_works_alone(tmp_path):
     root = Path(core.__file__).resolve().parents[1]
-    for name in ("specdag", "__spark_entry__.py"):
+    for name in ("specdag", "__spark_entry__.py", "tests", "bench.py"):
         source = root / name
         (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
-    shutil.rmtree(tmp_path / "specdag/llm", ignore_errors=True)
+    for name in ("specdag/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / name, ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    # the other tests, but for this file, which would run itself
+    found = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "--ignore=tests/test_entry.py", "tests"], cwd=tmp_path, check=False, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert found.returncode == 0, found.stdout[-2000:]
