@@ -18,10 +18,9 @@ and any list of hot contexts gives the same scores.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ DEPTH, LEAST, STRENGTH, WEIGHTS = 3, 2, 1.0, (0.25, 0.5, 1.0, 2.0, 4.0)
 END, START = " ", np.uint64(0x5354415254)
 #: The bytes of a block of texts, the symbols of some blocks together that go to buckets at a time, the unit of the
 #: sums of logarithms that buckets return, and the bytes of the hashes of words and of the symbols further back.
-BLOCK_BYTES, AT_ONCE, UNIT, WIDE, NARROW = 8 << 20, 3 << 20, 1e-9, 7, 3
+BLOCK_BYTES, AT_ONCE, UNIT, WIDE, NARROW = 8 << 20, 2 << 20, 1e-9, 7, 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,7 +120,10 @@ class Block:
         self.text = np.repeat(np.arange(batch.num_rows), np.diff(offsets) + 1)
         self.place = np.arange(len(self.symbols)) - (offsets[:-1] + np.arange(batch.num_rows))[self.text]
         self.training = ~self.held[self.text]
-        self.ids = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
 
     def before(self, distance: int) -> np.ndarray:
         """The symbol so far before each; 0 where the text had not begun."""
@@ -163,19 +165,33 @@ def _hot(batches: Iterator[pa.RecordBatch], share: float, depth: int) -> Iterato
     """Contexts that have a quarter of ``share`` of a block's training words, with their counts; at hash 0 the number of all."""
     for batch in text_slices(batches, "text", 2 * BLOCK_BYTES):
         block = Block(batch)
-        contexts, _ = block.contexts(depth)
-        some, rows = np.flatnonzero(block.training), [(np.zeros(1, np.uint64), np.zeros(1, np.uint64), 0, np.array([block.training.sum()]))]
-        least = max(2, share / 4 * len(some))
-        for d in range(depth):
-            some = some[contexts[d][some] > 0]
-            found, first, n = np.unique(contexts[d][some], return_index=True, return_counts=True)
-            often = n >= least
-            rows.append((found[often], contexts[d - 1][some[first[often]]] if d else np.zeros(int(often.sum()), np.uint64), d + 1, n[often]))
-            some = some[np.isin(contexts[d][some], found[often])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([r[k] for r in rows]).view(np.int64)) for k in (0, 1)] + [pa.array(np.concatenate([np.full(len(r[0]), r[2]) for r in rows])), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int64))],
-            ["hash", "above", "depth", "n"],
-        )
+        many = len(block.words) + 1  # as a code, the last is the start of a text
+        some, rows = np.flatnonzero(block.training), [(0, 0, 0, int(block.training.sum()))]
+        least, codes, hashes = max(2, share / 4 * len(some)), np.zeros(len(some), np.int64), [1]
+        for d in range(1, depth + 1):
+            there = block.place[some] >= d - 1
+            some, codes = some[there], codes[there]
+            last = np.where(block.place[some] == d - 1, many - 1, block.symbols[some - d])
+            if d == 1:
+                n = np.bincount(last, minlength=many)
+                found = np.flatnonzero(n >= least)
+                n, fresh = n[found], np.full(many, -1)
+                fresh[found] = np.arange(len(found))
+                codes = fresh[last]
+            else:
+                found, codes, n = np.unique(codes * many + last, return_inverse=True, return_counts=True)
+                often = np.flatnonzero(n >= least)
+                fresh = np.full(len(found), -1)
+                fresh[often] = np.arange(len(often))
+                found, n, codes = found[often], n[often], fresh[codes]
+            before, hashes = hashes, []
+            for x, k in zip(found.tolist(), n.tolist(), strict=True):
+                symbol = START if x % many == many - 1 else np.uint64(xxhash.xxh64_intdigest(block.words[x % many]))
+                hashes.append(int(_joined(np.array([before[x // many if d > 1 else 0]], np.uint64), symbol)[0]))
+                rows.append((hashes[-1], before[x // many] if d > 1 else 0, d, k))
+            some, codes = some[codes >= 0], codes[codes >= 0]
+        columns = [np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (0, 1)] + [np.array([r[k] for r in rows], np.int64) for k in (2, 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "above", "depth", "n"])
 
 
 _ITEMS = "bucket int, words binary, size long, distinct int, pairs int, items binary, wants binary, wanted int"
@@ -188,8 +204,7 @@ def _items(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: obj
     for batch in text_slices(batches, "text", BLOCK_BYTES):
         block = Block(batch)
         longest, _, ask, _ = block.dealt(hot.value, depth, buckets, batch.column("doc_id").to_pylist())
-        raw = [w.encode("utf-8", "surrogatepass") for w in block.words]
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
+        bucket = (block.ids % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -202,7 +217,7 @@ def _items(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: obj
         rows = []
         for b in np.flatnonzero(np.diff(edges)):
             own, asked = slice(of_pairs[b], of_pairs[b + 1]), slice(of_wants[b], of_wants[b + 1])
-            text = b"\n".join(raw[x] for x in order[edges[b] : edges[b + 1]])
+            text = "\n".join([block.words[x] for x in order[edges[b] : edges[b + 1]].tolist()]).encode("utf-8", "surrogatepass")
             items = _pack((pairs[own] // many - edges[b]).astype("<i4"), (pairs[own] % many).astype("<i4"), counts[own].astype("<i4"))
             wanted = _pack((wants[asked] // buckets - of_pairs[b]).astype("<i4"), (wants[asked] % buckets).astype("<i4"))
             rows.append({"bucket": int(b), "words": pa.compress(text, "zstd", asbytes=True), "size": len(text), "distinct": int(edges[b + 1] - edges[b]), "pairs": own.stop - own.start, "items": items, "wants": wanted, "wanted": asked.stop - asked.start})
@@ -346,13 +361,14 @@ def _positions(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot:
 
     def flushed() -> pa.RecordBatch:
         names, key, bucket, text, *beyond = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         block = partition << 33 | number
-        further = beyond[0] if beyond else key
+        further = beyond[0] if beyond else np.zeros(len(key), np.uint32)
         if buckets < 1 << 16:
-            order = np.argsort(bucket << np.uint64(48) | key >> np.uint64(32) << np.uint64(16) | further & np.uint64(0xFFFF))
+            order = np.argsort(bucket.astype(np.uint64) << np.uint64(48) | key >> np.uint64(32) << np.uint64(16) | further & np.uint32(0xFFFF)).astype(np.int32)
         else:
             order = np.lexsort((further, key, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint32))
         rows = [{"bucket": block % buckets, "block": block, "ids": ids, "held": held, "tokens": tokens}]
         for b in np.flatnonzero(np.diff(edges)):
             own = order[edges[b] : edges[b + 1]]
@@ -361,17 +377,18 @@ def _positions(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot:
             rows.append({"bucket": int(b), "block": block, "positions": len(own), "distinct": len(found), "texts": len(ids), "data": data})
         return pa.RecordBatch.from_pylist(rows, schema=_DEALT_SCHEMA)
 
-    for batch in text_slices(batches, "text", BLOCK_BYTES):
+    for batch in text_slices(batches, "text", BLOCK_BYTES // 2):
         block, own = Block(batch), batch.column("doc_id").to_pylist()
         longest, key, bucket, beyond = block.dealt(hot.value, depth, buckets, own)
         names = _names(hot.value.hashes[longest], block.ids[block.symbols])
-        parts.append((names, key, bucket.astype(np.uint64), (block.text + len(ids)) * 2 + block.training, *beyond))
+        parts.append((names, key, bucket.astype(np.uint32), ((block.text + len(ids)) * 2 + block.training).astype(np.uint32), *(x.astype(np.uint32) for x in beyond)))
+        del longest, key, bucket, beyond, names
         ids += own
         held += block.held.tolist()
         tokens += np.bincount(block.text, minlength=batch.num_rows).tolist()
         if sum(len(p[0]) for p in parts) >= AT_ONCE:
             yield flushed()
-            parts, ids, held, tokens, number = [], [], [], [], number + 1
+            ids, held, tokens, number = [], [], [], number + 1
     if parts:
         yield flushed()
 
