@@ -312,16 +312,18 @@ def split_cross_grain(grouped: DataFrame, total: DataFrame) -> DataFrame:
     return grouped.crossJoin(F.broadcast(total))
 
 
-def facts(spec: Spec, catalog: Catalog) -> tuple[dict[str, TableMeta], list[Finding]]:
-    """What is known of each table by name: declared, else from the catalog, with types that nothing declares from its schema."""
-    out, findings = {}, []
+def informed(spec: Spec, catalog: Catalog) -> tuple[Spec, dict[str, TableMeta], list[Finding]]:
+    """The specification with what the catalog knows of its tables where it declares nothing, the same by name with the types of the
+    schema too, and what the two disagree on."""
+    tables, by_name, findings = [], {}, []
     for t in spec.tables:
         meta, found = merge_facts(t.meta, catalog.meta.get(t.name))
         findings += [f for f in found if f.level == "reject"]
+        tables.append(replace(t, meta=meta))
         if t.name in catalog.meta:
             schema = {f.name: f.dataType.simpleString() for f in catalog.read(t.name).schema.fields}
-            out[t.name] = replace(meta, types=schema | {c: k for c, k in meta.types.items() if c in schema})
-    return out, findings
+            by_name[t.name] = replace(meta, types=schema | {c: k for c, k in meta.types.items() if c in schema})
+    return replace(spec, tables=tuple(tables)), by_name, findings
 
 
 def gate(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fanout: str = "error") -> list[Finding]:
@@ -329,7 +331,7 @@ def gate(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fa
 
     Types, join safety, grain and labels of the specification; the graph of its steps, or structure, frames and performance of its
     plan; windows; and tables against the catalog."""
-    tables, findings = facts(spec, catalog)
+    spec, tables, findings = informed(spec, catalog)
     findings += [*spec.warnings, *check_spec(spec, on_fanout)]
     if spec.steps:
         findings += check(spec)
@@ -349,6 +351,7 @@ def run(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fan
     """The rows of a specification with or without steps, once ``gate`` lets it pass. ``on_fanout`` is error, warn or allow: what a join
     on a key that is not declared unique means."""
     gate(spec, catalog, as_of, on_fanout)
+    spec, _, _ = informed(spec, catalog)
     if spec.steps:
         return Runner(spec, catalog, as_of, on_fanout).run()
     return lower(B.build(spec, as_of), catalog)

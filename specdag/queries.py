@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specdag.errors import SpecError
 from specdag.functions import calendar
 from specdag.functions.expr import And, Arith, Between, Case, Cmp, Col, Hour, In, IsNull, Like, Lit, Not, NullIfZero, Or, Ratio, parse_predicate, parse_value
 from specdag.functions.profile import STATUS_WORDS, profile
@@ -15,11 +16,14 @@ from specdag.operators.lower import lower
 from specdag.plans import program
 from specdag.plans.spec import parse
 from specdag.plans.steps import Aggregate, Derive, Filter, Frame, Join, JoinKey, Key, Limit, Metric, Named, Order, Plan, Project, Scan, Sort, Subquery, Window
-from specdag.sources import snapshot
+from specdag.plans.validate import join_evidence
+from specdag.sources import snapshot, writeplan
 from specdag.sources.catalog import Catalog, ForeignKey, TableMeta
-from specdag.verify.compare import diff
+from specdag.sources.scratch import scratch
+from specdag.verify.compare import compare, diff
 from specdag.verify.digest import digest
-from specdag.verify.summary import samples, summary
+from specdag.verify.equivalence import equivalent
+from specdag.verify.summary import anomalies, samples, summary
 
 TABLES = {
     "region": TableMeta("region", "dim", (("r_regionkey",),)),
@@ -573,3 +577,171 @@ def conditional_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     return snapshot.complete_groups(orders, ["o_custkey"], 5000).agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("groups"))
+
+
+# --- sources, snapshots, writes ----------------------------------------------
+
+_NATION = "n_nationkey int, n_name string, n_regionkey int"
+
+
+def _written(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The nations as text files."""
+    path = scratch(spark, kind)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("CAST(n_nationkey AS int) AS n_nationkey", "n_name", "CAST(n_regionkey AS int) AS n_regionkey")
+    (rows.write.option("header", True).csv if kind == "csv" else rows.write.json)(path)
+    return path
+
+
+@frame_query("csv_source", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation")
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Catalog(spark).add_file("n", _written(spark, sf_dir, "csv"), "csv", schema=_NATION).read("n")
+
+
+@frame_query("json_source", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation")
+def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Catalog(spark).add_file("n", _written(spark, sf_dir, "json"), "json", schema=_NATION).read("n")
+
+
+@frame_query("session_table", "SELECT r_regionkey, r_name FROM region")
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/region.parquet").createOrReplaceTempView("specdag_region")
+    return Catalog(spark).add_catalog_table("r", "specdag_region").read("r").select("r_regionkey", "r_name")
+
+
+@frame_query("snapshot_aliases", "SELECT a.n_name AS name, b.n_name AS neighbour, 0 AS damaged FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def snapshot_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot written, checked, and read under two names of one table."""
+    folder = scratch(spark, "snapshot")
+    snapshot.write(spark, {"nation": spark.read.parquet(f"{sf_dir}/nation.parquet")}, folder, {"a": "nation", "b": "nation"})
+    again = snapshot.catalog_of(spark, folder)
+    a, b = (again.read(n).select(*(F.col(c).alias(f"{n}_{c}") for c in ("n_nationkey", "n_name", "n_regionkey"))) for n in ("a", "b"))
+    pairs = a.join(b, (F.col("a_n_regionkey") == F.col("b_n_regionkey")) & (F.col("a_n_nationkey") < F.col("b_n_nationkey")))
+    return pairs.select(F.col("a_n_name").alias("name"), F.col("b_n_name").alias("neighbour"), F.lit(len(snapshot.verify(spark, folder))).alias("damaged"))
+
+
+@frame_query("sample_strata", "SELECT o_orderstatus, CAST(ceil(count(*) * 0.05) AS BIGINT) AS n FROM orders GROUP BY 1")
+def sample_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.sample(spark.read.parquet(f"{sf_dir}/orders.parquet"), "stratified", fraction=0.05, by="o_orderstatus", seed=7).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@frame_query("partition_overwrite", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, 20240101 AS dt FROM region WHERE r_regionkey < 2 UNION ALL SELECT CAST(r_regionkey AS BIGINT), 20240102 FROM region")
+def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two partitions, of which the first is overwritten."""
+    rows, path = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("r_regionkey")), scratch(spark, "partitions")
+    plan = lambda day: writeplan.WritePlan("ads.region", "_temp_region", ("dt",), {"dt": day}, "yyyyMMdd")
+    for day, part in (("20240101", rows), ("20240102", rows), ("20240101", rows.filter("r_regionkey < 2"))):
+        writeplan.execute(part, plan(day), path)
+    return spark.read.parquet(path)
+
+
+# --- checks and verdicts -----------------------------------------------------
+
+
+def _values(cases: dict[str, str]) -> str:
+    """SQL for what a check must say in each case."""
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in cases.items()) + ") AS t(case_name, said)"
+
+
+def _said(spark: SparkSession, found: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(found.items()), "case_name string, said string")
+
+
+_ORDERS = {"name": "orders", "alias": "o", "role": "fact", "columns": [{"name": n, "type": t} for n, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_totalprice", "double"), ("o_orderstatus", "string"))]}
+_CUSTOMERS = {"name": "customer", "alias": "c", "columns": [{"name": n, "type": t} for n, t in (("c_custkey", "bigint"), ("c_mktsegment", "string"))]}
+_SUMS = {"source_tables": [_ORDERS], "metrics": [{"metric_name": "total", "aggregation": "SUM", "input_column": "o.o_totalprice"}], "dimensions": [{"column_ref": "o.o_orderstatus"}], "output_columns": ["o_orderstatus", "total"]}
+_BY = {"left_table": "o", "right_table": "c", "left_key": "o_custkey", "right_key": "c_custkey", "join_type": "LEFT"}
+_WIDENS = {"left_table": "c", "right_table": "o", "left_key": "c_custkey", "right_key": "o_custkey", "join_type": "LEFT"}
+_STEP = {"step_name": "one", "source": "input", "group_by": ["o_orderstatus"], "metrics": _SUMS["metrics"]}
+#: Specifications and what the checks before running must say of each.
+_REFUSED = {
+    "sound": ({}, "passes"),
+    "fan-out": ({"source_tables": [_CUSTOMERS, _ORDERS], "joins": [_WIDENS]}, "FANOUT"),
+    "unique key of the catalog": ({"source_tables": [_ORDERS, _CUSTOMERS], "joins": [_BY]}, "passes"),
+    "unique keys that disagree": ({"source_tables": [_ORDERS, {**_CUSTOMERS, "unique_keys": ["c_mktsegment"]}], "joins": [_BY]}, "UNIQUENESS_CONFLICT"),
+    "types of a join": ({"source_tables": [_ORDERS, {**_CUSTOMERS, "columns": [{"name": "c_custkey", "type": "string"}]}], "joins": [_BY]}, "JOINTYPE"),
+    "grain": ({"target_grain": ["o_custkey"]}, "GRAIN"),
+    "no such column": ({"source_tables": [{**_ORDERS, "columns": [*_ORDERS["columns"], {"name": "o_gone", "type": "int"}]}]}, "COL"),
+    "large without a time": ({"source_tables": [{**_ORDERS, "row_count": 5_000_000}]}, "TIME"),
+    "rank without an order": ({"windows": [{"name": "w", "function": "RANK", "partition_by": ["o_orderstatus"]}]}, "WINDOW_ORDER"),
+    "frame of a rank": ({"windows": [{"name": "w", "function": "ROW_NUMBER", "order_by": ["total"], "frame": {"kind": "rows", "start": -1, "end": 0}}]}, "WINDOW_FRAME"),
+    "label of nothing": ({"labels": [{"output_column": "l", "branches": [{"when": "o_gone > 1", "then": "big"}], "else_value": "x", "evaluation_phase": "post_aggregate"}]}, "FIELD_EXISTS"),
+    "distinct over all": ({"metrics": [{"metric_name": "total", "aggregation": "COUNT", "input_column": "o.o_custkey", "distinct": True}], "dimensions": [], "output_columns": ["total"]}, "PERF-009"),
+    "free text": ({"metrics": [{"metric_name": "total", "aggregation": "COUNT", "raw_sql": "1"}]}, "E007"),
+    "step of a missing source": ({"compute_steps": [{**_STEP, "source": "gone"}]}, "DAG_MISSING"),
+    "step that nothing reads": ({"compute_steps": [_STEP, {**_STEP, "step_name": "two"}]}, "DAG_UNREAD"),
+    "steps in a circle": ({"compute_steps": [{**_STEP, "source": "two"}, {**_STEP, "step_name": "two", "source": "one"}]}, "CIRCULAR_DEPENDENCY"),
+    "step that multiplies rows": ({"source_tables": [_ORDERS, _CUSTOMERS], "compute_steps": [{**_STEP, "joins": [{**_WIDENS, "join_type": "INNER"}]}]}, "FANOUT"),
+    "name of two steps": ({"metrics": [], "dimensions": [], "compute_steps": [_STEP, {**_STEP, "step_name": "two"}, {"step_name": "z", "source": ["one", "two"], "joins": [{"left_table": "one", "right_table": "two", "left_key": "o_orderstatus"}]}]}, "AMBIGUOUS_COLUMN"),
+}
+
+
+@frame_query("refused_specs", _values({k: said for k, (_, said) in _REFUSED.items()}))
+def refused_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = {}
+    for name, (change, _) in _REFUSED.items():
+        try:
+            program.run(parse({**_SUMS, **change}), catalog(spark, sf_dir))
+            found[name] = "passes"
+        except SpecError as e:
+            found[name] = e.code
+    return _said(spark, found)
+
+
+@frame_query("compared_results", _values({"same": "CONSISTENT", "a rounding apart": "CONSISTENT_WITH_WARN", "a row less": "MISMATCH", "other values": "MISMATCH", "doubled keys": "HUMAN_REVIEW", "no rows": "HUMAN_REVIEW", "more than fit": "SAMPLED_CONSISTENT"}))
+def compared_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice").filter("o_totalprice > 1")
+    price, keys = F.col("o_totalprice"), ["o_orderkey"]
+    said = {
+        "same": compare(orders, orders.repartition("o_totalprice"), keys, sampled=False),
+        "a rounding apart": compare(orders, orders.withColumn("o_totalprice", price * (1 + 1e-13)), keys, sampled=False),
+        "a row less": compare(orders, orders.orderBy("o_orderkey").offset(1), keys, sampled=False),
+        "other values": compare(orders, orders.withColumn("o_totalprice", price + 1), keys, sampled=False),
+        "doubled keys": compare(orders.unionByName(orders), orders.unionByName(orders), keys, sampled=False),
+        "no rows": compare(orders.filter("false"), orders.filter("false"), keys),
+        "more than fit": compare(orders, orders.repartition("o_totalprice"), keys, overflow=10),
+    }
+    return _said(spark, {k: r.status.value for k, r in said.items()})
+
+
+@frame_query("plan_verdicts", _values({"turned": "LOGIC_EQUIVALENT", "other bound": "LOGIC_MISMATCH", "other order": "LOGIC_MISMATCH", "named result": "NOT_COVERED", "nothing": "NOT_EXECUTED"}))
+def plan_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = lambda *steps: Plan((Scan("orders", "o", ("o_orderkey", "o_custkey")), *steps))
+    over = Plan((Named("x", "x"), Limit(3)))
+    low, high = Cmp(">", c("o.o_custkey"), Lit(5)), Cmp("<", c("o.o_custkey"), Lit(9))
+    by = (Order(c("o.o_custkey")), Order(c("o.o_orderkey")))
+    said = {
+        "turned": equivalent(plan(Filter(And((low, high)))), plan(Filter(high), Filter(Cmp("<", Lit(5), c("o.o_custkey"))))),
+        "other bound": equivalent(plan(Filter(low)), plan(Filter(Cmp(">=", c("o.o_custkey"), Lit(5))))),
+        "other order": equivalent(plan(Sort(by)), plan(Sort(by[::-1]))),
+        "named result": equivalent(over, over),
+        "nothing": equivalent(None, plan()),
+    }
+    return _said(spark, {k: v.value for k, (v, _) in said.items()})
+
+
+@frame_query("source_anomalies", _values({"MISSING_COLUMN": "1", "TYPE_MISMATCH": "1", "PARTITION_GAP": "1", "ROW_COUNT_DRIFT": "1"}))
+def source_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = TableMeta("region", est_rows=1000, types={"r_name": "int", "r_gone": "int"}, nullable={"r_regionkey": False})
+    found = anomalies(spark.read.parquet(f"{sf_dir}/region.parquet"), meta, partition="r_regionkey", partitions=(0, 99))
+    return _said(spark, {f.code: str(sum(g.code == f.code for g in found)) for f in found})
+
+
+@frame_query("join_evidence", _values({"declared": "STRONG adopt", "foreign key": "STRONG adopt", "one name and unique": "MEDIUM confirm", "close names": "WEAK block", "other types": "NONE ignore", "other names": "NONE ignore"}))
+def join_evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = TABLES["nation"], TABLES["region"]
+    typed = lambda kind: TableMeta("t", types={"k": kind})
+    said = {
+        "declared": join_evidence(typed("int"), typed("bigint"), "k", "k", declared=True),
+        "foreign key": join_evidence(a, b, "n_regionkey", "r_regionkey"),
+        "one name and unique": join_evidence(TableMeta("x"), TableMeta("y", unique_keys=(("cust_id",),)), "cust_id", "cust_id"),
+        "close names": join_evidence(TableMeta("x"), TableMeta("y"), "cust_id", "cust_ids"),
+        "other types": join_evidence(typed("int"), typed("date"), "k", "k"),
+        "other names": join_evidence(TableMeta("x"), TableMeta("y"), "segment", "price"),
+    }
+    return _said(spark, {k: f"{e.level} {e.action}" for k, e in said.items()})
+
+
+@frame_query("step_kinds", _values({"a": "PRODUCER", "b": "CONSUMER", "c": "FINAL"}))
+def step_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = lambda name, source: {"step_name": name, "source": source, "group_by": ["o_orderstatus"]}
+    return _said(spark, {k: v.value for k, v in program.kinds(parse({**_SUMS, "compute_steps": [step("c", "b"), step("a", "input"), step("b", "a")]}).steps).items()})
