@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,14 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specdag.sources.scratch import forget, scratch
+
 #: Fixed values. A word is a run of characters outside this set: the space and U+0009 to U+000D.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Fixed value: bytes of an Arrow batch of a materialized table's making.
 BATCH_BYTES = 16 << 20
 
-_written: dict[str, SparkSession] = {}
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -39,30 +36,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one only if none is configured and all run in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="specdag-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _remove_written() -> None:
-    for path, spark in _written.items():
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone at interpreter exit
-            return
-
-
 @contextlib.contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
     """Bound the bytes, not only the rows, of what a Python worker gets at a time."""
@@ -78,12 +51,9 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/specdag-{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
+    path = scratch(spark, label)
     with _small_batches(spark):
         df.write.parquet(path)
-    _written[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table._specdag_path = path
     return table
@@ -92,9 +62,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables of which everything that reads them has been written."""
     for table in tables:
-        path = table._specdag_path
-        if spark := _written.pop(path, None):
-            _delete(spark, path)
+        forget(table.sparkSession, table._specdag_path)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
