@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from specdag.llm.common import materialize, read, remainder
+from specdag.llm.common import discard, materialize, read, remainder
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Fixed value: a document is rejected if its quality score is lower.
@@ -90,5 +90,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if k:
+            discard(last)
     return docs
