@@ -23,7 +23,7 @@ def word_grams(words: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), lengths)
     last = np.repeat(np.cumsum(lengths), lengths)  # one past the word's end mark
-    whose, found = [], []
+    whose, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     with np.errstate(over="ignore"):
         for n in sizes:
             if len(codes) < n:

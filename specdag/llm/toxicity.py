@@ -280,6 +280,8 @@ def _weights(words: list[str], toxic: np.ndarray, clean: np.ndarray, least_docs:
         owner, h = word_grams(words, (n,))
         keys, place = np.unique(h, return_inverse=True)
         a, b = np.bincount(place, toxic[owner], len(keys)), np.bincount(place, clean[owner], len(keys))
+        seen = a + b > 0
+        keys, a, b = keys[seen], a[seen], b[seen]
         w = np.log((a + 0.5) / nt) - np.log((b + 0.5) / nc)
         e = (a + b) * nt / (nt + nc)
         g = 2 * (a * np.log(np.maximum(a, 1e-9) / e) + b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - e, 1e-9)))

@@ -8,7 +8,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from specdag.llm import decontamination as dc
 from specdag.llm import language as lid
 from specdag.llm import near_dup, packing, pii, quality_gam, quality_rules, sharding, suffix_tree, toxicity
 from specdag.llm.common import remainder
+from specdag.llm.grams import word_grams
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -632,6 +632,53 @@ def test_languages_and_spans(spark):
     assert all(0 <= x["score"] <= 1 for x in out)
 
 
+def test_language_tables_equal_plain_sums():
+    r = random.Random(2)
+    counted = [(lang, "".join(r.choice(letters) for _ in range(r.randint(1, 7))) + r.choice(["", ".", "!"]), r.randint(1, 9)) for lang, letters in (("en", "abcdeth"), ("ru", "абвгд"), ("de", "abcäöü")) for _ in range(60)]
+    counted += [("en", "123", 5), ("de", "дом", 1)]
+    model = lid.train(counted)
+    assert model.languages == ["de", "en", "ru"]
+    sums = [collections.defaultdict(lambda: 0.2) for _ in model.languages]
+    letters = [collections.Counter() for _ in model.languages]
+    for lang, word, n in counted:
+        k = model.languages.index(lang)
+        if any(c.isalpha() for c in word):
+            for h in word_grams(lid._plain([word]), lid.SIZES)[1]:
+                sums[k][int(h) % lid.BUCKETS] += math.sqrt(n)
+            letters[k][max(0, int(lid.word_scripts([word])[0]))] += n
+    totals = [sum(x.values()) + 0.2 * (lid.BUCKETS - len(x)) for x in sums]
+    for b in set().union(*sums):
+        logs = [math.log(x[b] / t) for x, t in zip(sums, totals, strict=True)]
+        assert np.allclose(model.table[b], [v - sum(logs) / 3 for v in logs], atol=1e-5)
+    for k in range(3):
+        for script in range(len(lid.SCRIPTS) + 1):
+            assert model.scripts[script, k] == (letters[k][script] > lid.SHARE * sum(letters[k].values()))
+
+
+def test_toxic_evidence_equals_plain_counts():
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(2, 5))) for _ in range(150)})
+    toxic, clean = np.array([r.randint(0, 6) for _ in words], float), np.array([r.choice([0, 0, 1, 9]) for _ in words], float)
+    hashes, weights = toxicity._weights(words, toxic, clean, 4, 5.0)
+    sums = collections.defaultdict(lambda: [0.0, 0.0])
+    for w, t, c in zip(words, toxic, clean, strict=True):
+        for n in toxicity.SIZES:
+            for h in word_grams([w], (n,))[1].tolist():
+                sums[h][0] += t
+                sums[h][1] += c
+    nt, nc, want = toxic.sum(), clean.sum(), {}
+    for h, (a, b) in sums.items():
+        ratio, e = math.log((a + 0.5) / nt) - math.log((b + 0.5) / nc), (a + b) * nt / (nt + nc)
+        g = 2 * ((a * math.log(a / e) if a else 0) + (b * math.log(b / (a + b - e)) if b else 0))
+        if a >= 4 and ratio > 1.5 and g >= 5.0:
+            want[h] = ratio
+    assert want and dict(zip(hashes.tolist(), weights.tolist(), strict=True)) == pytest.approx(want)
+    x, y = np.array([[r.random(), r.random()] for _ in range(200)]), np.array([float(r.random() < 0.4) for _ in range(200)])
+    w = toxicity._logistic(x, y)  # where the likelihood less the penalty has no slope
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert np.allclose([(y - p).sum() - 0.01 * w[0], *((y - p) @ x - w[1:])], 0, atol=1e-6)
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
