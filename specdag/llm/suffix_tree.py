@@ -38,9 +38,10 @@ from specdag.llm.grams import mix
 DEPTH, LEAST, STRENGTH, WEIGHTS = 3, 2, 1.0, (0.25, 0.5, 1.0, 2.0, 4.0)
 #: The end of a text as a word (no word has a space), and the symbol before a text's first word.
 END, START = " ", np.uint64(0x5354415254)
-#: The bytes of a block of texts, the symbols of some blocks together that go to buckets at a time, the unit of the
-#: sums of logarithms that buckets return, and the bytes of the hashes of words and of the symbols further back.
-BLOCK_BYTES, AT_ONCE, UNIT, WIDE, NARROW = 8 << 20, 2 << 20, 1e-9, 7, 3
+#: The bytes of a block of texts, the symbols of some blocks together that go to buckets at a time and those of a bucket
+#: that are scored at a time, the unit of the sums of logarithms that buckets return, and the bytes of the hashes of words and
+#: of the symbols further back.
+BLOCK_BYTES, AT_ONCE, SCORED, UNIT, WIDE, NARROW = 8 << 20, 3 << 20, 1 << 19, 1e-9, 7, 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,7 +220,7 @@ def _items(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: obj
             own, asked = slice(of_pairs[b], of_pairs[b + 1]), slice(of_wants[b], of_wants[b + 1])
             text = "\n".join([block.words[x] for x in order[edges[b] : edges[b + 1]].tolist()]).encode("utf-8", "surrogatepass")
             items = _pack((pairs[own] // many - edges[b]).astype("<i4"), (pairs[own] % many).astype("<i4"), counts[own].astype("<i4"))
-            wanted = _pack((wants[asked] // buckets - of_pairs[b]).astype("<i4"), (wants[asked] % buckets).astype("<i4"))
+            wanted = _pack(np.bincount(wants[asked] // buckets - of_pairs[b], minlength=own.stop - own.start).astype("<i4"), _cut(wants[asked] % buckets, 4))
             rows.append({"bucket": int(b), "words": pa.compress(text, "zstd", asbytes=True), "size": len(text), "distinct": int(edges[b + 1] - edges[b]), "pairs": own.stop - own.start, "items": items, "wants": wanted, "wanted": asked.stop - asked.start})
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("size", pa.int64()), ("distinct", pa.int32()), ("pairs", pa.int32()), ("items", pa.binary()), ("wants", pa.binary()), ("wanted", pa.int32())]))
 
@@ -246,10 +247,10 @@ def _reduce(table: pa.Table, hot: Hot, buckets: int) -> pa.Table:
         refs = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own))
         word, context, n = _unpack(row["items"], *[("<i4", row["pairs"])] * 3)
         keys = refs[word] * many + context
-        pair, by = _unpack(row["wants"], *[("<i4", row["wanted"])] * 2)
+        runs, by = _unpack(row["wants"], ("<i4", row["pairs"]), ("u1", row["wanted"] * 4))
         parts.append(keys)
         sums.append(n)
-        asked.append(np.stack((keys[pair], by)))
+        asked.append(np.stack((np.repeat(keys, runs), _whole(by, 4).astype(np.int64))))
     every, n = _every(np.concatenate(parts), np.concatenate(sums), hot)
     keys, by = np.concatenate(asked, axis=1)
     wants = np.unique(np.searchsorted(every, keys) * buckets + by)
@@ -260,7 +261,7 @@ def _reduce(table: pa.Table, hot: Hot, buckets: int) -> pa.Table:
         "distinct": len(known),
         "pairs": len(every),
         "wanted": len(wants),
-        "data": _pack(np.fromiter((xxhash.xxh64_intdigest(w) for w in known), "<u8", len(known)), every.astype("<i8"), n.astype("<i8"), wants.astype("<i8")),
+        "data": _pack(np.fromiter((xxhash.xxh64_intdigest(w) for w in known), "<u8", len(known)), every.astype("<i8"), n.astype("<i8"), np.bincount(wants // buckets, minlength=len(every)).astype("<i4"), _cut(wants % buckets, 4)),
         "context_counts": np.bincount(every % many, n, many).astype(np.int64).tolist(),
         "context_words": np.bincount((every % many)[seen], minlength=many).tolist(),
         "once": int((of_words == 1).sum()),
@@ -269,6 +270,11 @@ def _reduce(table: pa.Table, hot: Hot, buckets: int) -> pa.Table:
     return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), ("distinct", pa.int64()), ("pairs", pa.int64()), ("wanted", pa.int64()), ("data", pa.binary()), ("context_counts", pa.list_(pa.int64())), ("context_words", pa.list_(pa.int64())), ("once", pa.int64()), ("twice", pa.int64())]))
 
 
+def _told(row: dict) -> list[tuple[str, int]]:
+    """The columns of a bucket of words: hashes, pairs, counts, how many ask for each pair, and who."""
+    return [("<u8", row["distinct"]), ("<i8", row["pairs"]), ("<i8", row["pairs"]), ("<i4", row["pairs"]), ("u1", row["wanted"] * 4)]
+
+
 _WORDS = "bucket int, distinct long, pairs long, wanted long, data binary, context_counts array<long>, context_words array<long>, once long, twice long"
 
 
@@ -311,7 +317,7 @@ def _gains(batches: Iterator[pa.RecordBatch], top: object, depth: int) -> Iterat
     many = len(tree.kept)
     for batch in batches:
         for row in batch.to_pylist():
-            _, every, n, _ = _unpack(row["data"], ("<u8", row["distinct"]), ("<i8", row["pairs"]), ("<i8", row["pairs"]), ("<i8", row["wanted"]))
+            _, every, n, _, _ = _unpack(row["data"], *_told(row))
             q, c = tree.probabilities(every, n, depth - 1), every % many
             at = np.flatnonzero((tree.hot.depth[c] == depth) & (n > 0))
             sums = [np.bincount(c[at], _gain(n[at], tree.counts[c[at]], w * tree.distinct[c[at]], q[at]), many).astype(float) for w in WEIGHTS]
@@ -338,10 +344,12 @@ def _answers(batches: Iterator[pa.RecordBatch], top: object, buckets: int) -> It
     many = len(tree.kept)
     for batch in batches:
         for row in batch.to_pylist():
-            ids, every, n, wants = _unpack(row["data"], ("<u8", row["distinct"]), ("<i8", row["pairs"]), ("<i8", row["pairs"]), ("<i8", row["wanted"]))
-            pair, by = wants // buckets, wants % buckets
+            ids, every, n, runs, by = _unpack(row["data"], *_told(row))
+            pair, by = np.repeat(np.arange(len(every)), runs), _whole(by, 4).astype(np.int64)
             word, context = every // many, every % many
             names, q, count = _names(tree.hot.hashes[context], ids[word]), tree.probabilities(every, n, 1 << 30), n[np.searchsorted(every, word * many)]
+            told = (context[pair] > 0) | (count[pair] != 1)  # most words occur once, which is what silence means
+            pair, by = pair[told], by[told]
             order = np.lexsort((names[pair], context[pair] > 0, by))  # those of the root first
             pair, by = pair[order], by[order]
             edges = np.searchsorted(by, np.arange(buckets + 1))
@@ -427,7 +435,7 @@ def walk(key: np.ndarray, beyond: list[np.ndarray], symbol: np.ndarray, q: np.nd
 def _subtrees(table: pa.Table, beyond_most: int, root: tuple[float, float], least: int, strength: float) -> pa.Table:
     """The sums of a bucket's symbols for each text: known ones, logarithms of counts, and logarithms of probabilities. ``root`` has the
     probability of an unseen word and the sum that counts are divided by."""
-    names, q, counts, rows, out = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.int64)], [], []
+    told, rows, out = [], [], []
     for row in table.to_pylist():
         n = row["positions"]
         if row["block"] is None:
@@ -435,37 +443,43 @@ def _subtrees(table: pa.Table, beyond_most: int, root: tuple[float, float], leas
             count = _whole(count, 5).astype(np.int64)
             own = np.where(count > 0, count / root[1], root[0])
             own[n - row["distinct"] :] = hot
-            names.append(_whole(found, WIDE)), q.append(own), counts.append(count)
+            told.append((_whole(found, WIDE), own, count))
         elif row["ids"] is not None:
             out.append({"block": row["block"], "ids": row["ids"], "held": row["held"], "tokens": row["tokens"]})
         else:
             rows.append(row)
     del table
-    names, q, counts = np.concatenate(names), np.concatenate(q), np.concatenate(counts)
-    order = np.argsort(names)
-    names, q, counts = names[order], q[order], counts[order]
-    parts, start = [], 0
+    parts, places, start = [], [], 0
     for row in rows:
         n = row["positions"]
-        found, codes, key, texts, *beyond = _unpack(row["data"], ("u1", row["distinct"] * WIDE), ("u1", n * 4), ("u1", n * 8), ("u1", n * 4), *[("u1", n * NARROW)] * beyond_most)
-        at = np.searchsorted(names, _whole(found, WIDE)).astype(np.int32)
+        found, codes, key, texts, *beyond = _unpack(row.pop("data"), ("u1", row["distinct"] * WIDE), ("u1", n * 4), ("u1", n * 8), ("u1", n * 4), *[("u1", n * NARROW)] * beyond_most)
         texts = _whole(texts, 4)
-        parts.append((at[_whole(codes, 4)], _whole(key, 8), (texts >> np.uint64(1)).astype(np.int64) + start, (texts & np.uint64(1)).astype(bool), *(_whole(x, NARROW).astype(np.uint32) for x in beyond)))
+        places.append(_whole(found, WIDE))
+        parts.append((_whole(codes, 4).astype(np.int32), _whole(key, 8), (texts >> np.uint64(1)).astype(np.int64) + start, (texts & np.uint64(1)).astype(bool), *(_whole(x, NARROW).astype(np.uint32) for x in beyond)))
         start += row["texts"]
-        row["data"] = None
     if parts:
-        symbol, key, text, training, *beyond = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        p = walk(key, beyond, symbol, q[symbol], training, least, strength)
-        del key, beyond
-        many, known = np.bincount(text, minlength=start), np.bincount(text, counts[symbol] > 0, start)
-        base = np.round(np.bincount(text, np.round(np.log10(counts + 1) / UNIT)[symbol], start)).astype("<i8")
-        model = np.bincount(text, np.log10(p), start)
+        names = np.unique(np.concatenate(places))
+        q, counts = np.full(len(names), 1 / root[1]), np.ones(len(names), np.int64)
+        for found, own, count in told:
+            at = np.searchsorted(names, found)
+            q[at], counts[at] = own, count
+        symbol = np.concatenate([np.searchsorted(names, found).astype(np.int32)[part[0]] for found, part in zip(places, parts, strict=True)])
+        key, text, training, *beyond = (np.concatenate(x) for x in list(zip(*parts, strict=True))[1:])
+        del parts, places, told, names
+        p = q[symbol]
+        many = -(-len(p) // SCORED)
+        for k in range(many):  # subtrees fall to either, whole
+            some = np.flatnonzero(key % np.uint64(many) == k)
+            p[some] = walk(key[some], [x[some] for x in beyond], symbol[some].astype(np.int64), p[some], training[some], least, strength)
+        del key, beyond, training
+        texts, text = np.unique(text, return_inverse=True)
+        known = np.bincount(text, counts[symbol] > 0)
+        base = np.round(np.bincount(text, np.round(np.log10(counts + 1) / UNIT)[symbol])).astype("<i8")
+        model = np.bincount(text, np.log10(p))
         begin = 0
         for row in rows:
-            own = np.flatnonzero(many[begin : begin + row["texts"]])
-            at = own + begin
-            out.append({"block": row["block"], "n": len(own), "data": _pack(_cut(own, 4), _cut(known[at].astype(np.int64), 4), _cut(base[at], 7), model[at].astype("<f4"))})
+            own = slice(*np.searchsorted(texts, (begin, begin + row["texts"])))
+            out.append({"block": row["block"], "n": own.stop - own.start, "data": _pack(_cut(texts[own] - begin, 4), _cut(known[own].astype(np.int64), 4), _cut(base[own], 7), model[own].astype("<f4"))})
             begin += row["texts"]
     return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int32()))]))
 
@@ -497,10 +511,11 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
     Contexts of up to ``depth`` words are tried if training texts have them ``least`` times (2 at least) and kept if they gain more than
     ``strength`` nats. The word that a subtree is dealt by is told apart by a 64-bit hash, the words scored by 56-bit ones, the words
     further back, within a subtree, by 24-bit ones. ``buckets`` follows the number of shuffle partitions, and with it what counts as hot, so
-    that a bucket stays small as the input grows; the hot contexts, which are all that tasks are sent, are 3 * buckets at most for each length.
+    that a bucket stays small as the input grows; the hot contexts, which are all that tasks are sent, are 3 * buckets at most for each length. Of a bucket's arrays some 60 bytes a symbol are held, and what
+    scoring takes for ``SCORED`` symbols or the largest subtree.
     """
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = max(2, least)
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
