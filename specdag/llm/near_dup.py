@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     sets = materialize(made.withColumn("row", F.monotonically_increasing_id()), "near-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     least = known.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "row")).alias("least"))
-    rows = materialize(known.select("doc_id", "row", "f1", "f2", "n").join(least.select("f1", "f2", "n", F.col("least.row").alias("node")), ["f1", "f2", "n"]).select("row", "doc_id", "node"), "near-rows")
+    rows = materialize(known.select("doc_id", "row", "f1", "f2", "n").join(least.select("f1", "f2", "n", F.col("least.row").alias("node"), F.col("least.doc_id").alias("doc")), ["f1", "f2", "n"]).select("row", "doc_id", "node", "doc"), "near-rows")
     copies = rows.filter("row <> node").select("row")
     classes = checked_join(known, copies, "row", "left_anti").select(F.col("row").alias("node"), F.col("doc_id").alias("doc"), "n", "f1", "odd", "retained")
     lists = _lists(classes)
@@ -331,7 +331,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     shared = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a <> high").drop("high")
     same = rows.join(shared, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")  # rows that share an id
     tied = components(links.unionByName(more).unionByName(same))
-    placed = rows.join(tied, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    own = placed.join(ids, "component").select("row", "component_id")
-    return narrow.join(own, "row", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # what is tied is little and may be sent to where the rows are; a class that is not has its own least id
+    members = tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct())
+    own = checked_join(rows.filter("row = node").select("node", "doc"), members, "node")
+    ids = materialize(own.groupBy("component").agg(F.min("doc").alias("least")), "near-components")
+    placed = checked_join(rows, tied, "node", "left").select("row", "doc", F.coalesce("component", "node").alias("component"))
+    placed = checked_join(placed, ids, "component", "left").select("row", F.coalesce("least", "doc").alias("component_id"))
+    return narrow.join(placed, "row", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
