@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specdag.llm.common import discard, drop_shuffles, materialize, text_slices, words_of
@@ -198,10 +198,10 @@ def _hot(batches: Iterator[pa.RecordBatch], share: float, depth: int) -> Iterato
 _ITEMS = "bucket int, words binary, size long, distinct int, pairs int, items binary, wants binary, wanted int"
 
 
-def _items(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: object) -> Iterator[pa.RecordBatch]:
+def _items(batches: Iterator[pa.RecordBatch], labels: list[int], depth: int, hot: object) -> Iterator[pa.RecordBatch]:
     """For each block of texts and bucket of words: the words, one a line; for each word its pairs with hot contexts, how often
     training texts have them, and the buckets of subtrees that ask for them."""
-    many = len(hot.value.above)
+    many, buckets = len(hot.value.above), len(labels)
     for batch in text_slices(batches, "text", BLOCK_BYTES):
         block = Block(batch)
         longest, _, ask, _ = block.dealt(hot.value, depth, buckets, batch.column("doc_id").to_pylist())
@@ -221,7 +221,7 @@ def _items(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: obj
             text = "\n".join([block.words[x] for x in order[edges[b] : edges[b + 1]].tolist()]).encode("utf-8", "surrogatepass")
             items = _pack((pairs[own] // many - edges[b]).astype("<i4"), (pairs[own] % many).astype("<i4"), counts[own].astype("<i4"))
             wanted = _pack(np.bincount(wants[asked] // buckets - of_pairs[b], minlength=own.stop - own.start).astype("<i4"), _cut(wants[asked] % buckets, 4))
-            rows.append({"bucket": int(b), "words": pa.compress(text, "zstd", asbytes=True), "size": len(text), "distinct": int(edges[b + 1] - edges[b]), "pairs": own.stop - own.start, "items": items, "wants": wanted, "wanted": asked.stop - asked.start})
+            rows.append({"bucket": labels[b], "words": pa.compress(text, "zstd", asbytes=True), "size": len(text), "distinct": int(edges[b + 1] - edges[b]), "pairs": own.stop - own.start, "items": items, "wants": wanted, "wanted": asked.stop - asked.start})
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("size", pa.int64()), ("distinct", pa.int32()), ("pairs", pa.int32()), ("items", pa.binary()), ("wants", pa.binary()), ("wanted", pa.int32())]))
 
 
@@ -338,9 +338,9 @@ def _names(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(word ^ mix(context * _ODD + np.uint64(7))) >> np.uint64(64 - 8 * WIDE)
 
 
-def _answers(batches: Iterator[pa.RecordBatch], top: object, buckets: int) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch], top: object, labels: list[int]) -> Iterator[pa.RecordBatch]:
     """To each bucket of subtrees the probability of each word that it asks for after its hot context, and the word's count."""
-    tree = top.value
+    tree, buckets = top.value, len(labels)
     many = len(tree.kept)
     for batch in batches:
         for row in batch.to_pylist():
@@ -358,13 +358,13 @@ def _answers(batches: Iterator[pa.RecordBatch], top: object, buckets: int) -> It
                 hot = context[own] > 0
                 # at the root the count tells the probability
                 data = _pack(_cut(names[own], WIDE), _cut(count[own], 5), q[own][hot])
-                yield pa.RecordBatch.from_pylist([{"bucket": int(b), "positions": len(own), "distinct": int(hot.sum()), "data": data}], schema=_DEALT_SCHEMA)
+                yield pa.RecordBatch.from_pylist([{"bucket": labels[b], "positions": len(own), "distinct": int(hot.sum()), "data": data}], schema=_DEALT_SCHEMA)
 
 
-def _positions(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot: object) -> Iterator[pa.RecordBatch]:
+def _positions(batches: Iterator[pa.RecordBatch], labels: list[int], depth: int, hot: object) -> Iterator[pa.RecordBatch]:
     """For some blocks of texts together and each bucket of subtrees the symbols that follow contexts in it: the subtree, the symbols
     before that go beyond, the symbol, and its text. One bucket gets the ids of the texts."""
-    partition, number = TaskContext.get().partitionId(), 0
+    partition, number, buckets = TaskContext.get().partitionId(), 0, len(labels)
     parts, ids, held, tokens = [], [], [], []
 
     def flushed() -> pa.RecordBatch:
@@ -377,12 +377,12 @@ def _positions(batches: Iterator[pa.RecordBatch], buckets: int, depth: int, hot:
         else:
             order = np.lexsort((further, key, bucket))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint32))
-        rows = [{"bucket": block % buckets, "block": block, "ids": ids, "held": held, "tokens": tokens}]
+        rows = [{"bucket": labels[block % buckets], "block": block, "ids": ids, "held": held, "tokens": tokens}]
         for b in np.flatnonzero(np.diff(edges)):
             own = order[edges[b] : edges[b + 1]]
             found, codes = np.unique(names[own], return_inverse=True)
             data = _pack(_cut(found, WIDE), _cut(codes, 4), _cut(key[own], 8), _cut(text[own], 4), *(_cut(x[own], NARROW) for x in beyond))
-            rows.append({"bucket": int(b), "block": block, "positions": len(own), "distinct": len(found), "texts": len(ids), "data": data})
+            rows.append({"bucket": labels[b], "block": block, "positions": len(own), "distinct": len(found), "texts": len(ids), "data": data})
         return pa.RecordBatch.from_pylist(rows, schema=_DEALT_SCHEMA)
 
     for batch in text_slices(batches, "text", BLOCK_BYTES // 2):
@@ -500,6 +500,17 @@ def _texts(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(texts["ids"], pa.int64()), "held_out": pa.array(texts["held"], pa.bool_()), "tokens": pa.array(texts["tokens"], pa.int64()), "known": pa.array(known.astype(np.int64)), "base": pa.array(base * UNIT), "model": pa.array(model)})
 
 
+def _labels(spark: SparkSession, buckets: int) -> list[int]:
+    """A number for each bucket, such that hashing deals the buckets evenly to partitions: by chance some would get several."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col("id").cast("int")
+    dealt: list[list[int]] = [[] for _ in range(parts)]
+    for row in spark.range(40 * (buckets + parts)).select(number.alias("b"), F.pmod(F.hash(number), F.lit(parts)).alias("p")).sort("b").collect():
+        dealt[row["p"]].append(row["b"])
+    spare = iter(range(1 << 30, 1 << 31))
+    return [own[k // parts] if k // parts < len(own := dealt[k % parts]) else next(spare) for k in range(buckets)]
+
+
 def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int = DEPTH, least: int = LEAST, strength: float = STRENGTH, buckets: int | None = None) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out and score every row.
 
@@ -519,7 +530,7 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
     least = max(2, least)
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    share = 1 / (2 * buckets)
+    share, labels = 1 / (2 * buckets), _labels(spark, buckets)
     often = source.mapInArrow(partial(_hot, share=share, depth=depth), "hash long, above long, depth long, n long").groupBy("hash").agg(F.first("above").alias("above"), F.first("depth").alias("depth"), F.sum("n").alias("n"))
     often = materialize(often, "pst-often")
     training = often.filter("hash = 0").agg(F.sum("n")).first()[0] or 0
@@ -527,7 +538,7 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
     discard(often)
     contexts = Hot.build([(r["hash"] % (1 << 64), r["above"] % (1 << 64), r["depth"]) for r in rows])
     hot = spark.sparkContext.broadcast(contexts)
-    items = source.mapInArrow(partial(_items, buckets=buckets, depth=depth, hot=hot), _ITEMS)
+    items = source.mapInArrow(partial(_items, labels=labels, depth=depth, hot=hot), _ITEMS)
     words = materialize(items.groupBy("bucket").applyInArrow(lambda table: _reduce(table, hot.value, buckets), _WORDS), "pst-words")
     drop_shuffles(spark)
 
@@ -547,8 +558,8 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
         fresh = contexts.depth == d
         top = replace(top, kept=np.where(fresh, (gains.max(1) > strength) & (top.counts >= least), top.kept), weights=np.where(fresh, figures[1] * np.array(WEIGHTS)[gains.argmax(1)], top.weights))
 
-    answers = words.mapInArrow(partial(_answers, top=spark.sparkContext.broadcast(top), buckets=buckets), _DEALT)
-    positions = source.mapInArrow(partial(_positions, buckets=buckets, depth=depth, hot=hot), _DEALT)
+    answers = words.mapInArrow(partial(_answers, top=spark.sparkContext.broadcast(top), labels=labels), _DEALT)
+    positions = source.mapInArrow(partial(_positions, labels=labels, depth=depth, hot=hot), _DEALT)
     root = (float(once / top.unseen / (tokens + once)), float(tokens + once))
     sent = "block long, n int, data binary, ids array<long>, held array<boolean>, tokens array<int>"
     subtrees = positions.unionByName(answers).groupBy("bucket").applyInArrow(lambda table: _subtrees(table, depth - 1, root, least, strength), sent)
