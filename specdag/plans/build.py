@@ -120,6 +120,7 @@ def build(spec: Spec, as_of: datetime.date | None = None) -> S.Plan:
     for w in spec.windows:
         steps += window(w, spec.grain)
     steps += [S.Derive(r.name, E.Ratio(E.Col(None, r.top), E.Col(None, r.bottom), r.times)) for r in spec.ratios]
+    steps += [S.Derive(name, value) for name, value in spec.computed]
     dimensions = dict(spec.dimensions)
     steps.append(S.Project(tuple(S.Key(o, E.Col(None, o) if spec.metrics or o not in dimensions else column(dimensions[o])) for o in spec.outputs)))
     if spec.sort:

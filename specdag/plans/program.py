@@ -91,6 +91,29 @@ def branches(spec: Spec) -> Spec:
     return replace(spec, metrics=(), dimensions=(), joins=(), time_range=None, steps=(*made, merge))
 
 
+#: How the name of a metric over all rows begins.
+OVERALL = ("total", "global", "overall", "all")
+
+
+def cross_grain(spec: Spec) -> Spec:
+    """A specification whose computed metrics read a metric that it does not declare: that is one over all rows, so there is a step by
+    the output's grain, one without any, which has one row, and one that puts the second beside the first and computes.
+
+    ``total_x`` (global, overall, all) is the declared metric x over all rows; any other name is the first metric's. A specification that
+    reads declared metrics only is returned as it is; one over several tables has to declare its steps and raises."""
+    known = {m.name for m in spec.metrics} | {w.name for w in spec.windows} | {r.name for r in spec.ratios} | {n for n, _ in (*spec.dimensions, *spec.computed)}
+    missing = list(dict.fromkeys(n for _, value in spec.computed for _, n in sorted(value.refs(), key=str) if n not in known))
+    if spec.steps or not missing:
+        return spec
+    if len(spec.tables) > 1 or not spec.metrics or any(name != ref.rpartition(".")[2] for name, ref in spec.dimensions):
+        raise SpecError("CROSS_GRAIN", f"{missing} are declared nowhere: say by what steps they are made")
+    of = lambda name: next((m for m in spec.metrics if name in {f"{p}_{m.name}" for p in OVERALL}), spec.metrics[0])
+    grouped = StepSpec("grouped", ("input",), tuple(ref for _, ref in spec.dimensions), spec.metrics, time_range=spec.time_range)
+    overall = StepSpec("overall", ("input",), (), tuple(replace(of(name), name=name) for name in missing), time_range=spec.time_range)
+    merged = StepSpec("merged", ("grouped", "overall"), expressions=spec.computed, joins=(JoinSpec("grouped", "overall", (), "CROSS"),))
+    return replace(spec, metrics=(), dimensions=(), time_range=None, computed=(), steps=(grouped, overall, merged))
+
+
 @dataclass
 class Result:
     """A step's rows and the column groups that are unique in them. A name that two sources have is there under each source's."""
@@ -331,7 +354,7 @@ def gate(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fa
 
     Types, join safety, grain and labels of the specification; the graph of its steps, or structure, frames and performance of its
     plan; windows; and tables against the catalog."""
-    spec, tables, findings = informed(spec, catalog)
+    spec, tables, findings = informed(cross_grain(spec), catalog)
     findings += [*spec.warnings, *check_spec(spec, on_fanout)]
     if spec.steps:
         findings += check(spec)
@@ -351,7 +374,7 @@ def run(spec: Spec, catalog: Catalog, as_of: datetime.date | None = None, on_fan
     """The rows of a specification with or without steps, once ``gate`` lets it pass. ``on_fanout`` is error, warn or allow: what a join
     on a key that is not declared unique means."""
     gate(spec, catalog, as_of, on_fanout)
-    spec, _, _ = informed(spec, catalog)
+    spec, _, _ = informed(cross_grain(spec), catalog)
     if spec.steps:
         return Runner(spec, catalog, as_of, on_fanout).run()
     return lower(B.build(spec, as_of), catalog)

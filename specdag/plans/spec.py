@@ -120,6 +120,7 @@ class Spec:
     grain: tuple[str, ...] = ()
     sort: tuple[tuple[str, bool], ...] = ()
     limit: int | None = None
+    computed: tuple[tuple[str, Expr], ...] = ()  # metrics made of metrics
     warnings: tuple[Finding, ...] = field(default=(), compare=False)
 
 
@@ -295,6 +296,7 @@ def parse(source: str | dict) -> Spec:
         tuple(raw.get("target_grain", [])),
         _order(raw.get("sort", [])),
         raw.get("limit"),
+        tuple((_need(c, "name", "a computed metric"), parse_value(_need(c, "formula", "a computed metric"))) for c in raw.get("computed_metrics", [])),
         tuple(warnings),
     )
     _check_references(spec)

@@ -745,3 +745,17 @@ def join_evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda name, source: {"step_name": name, "source": source, "group_by": ["o_orderstatus"]}
     return _said(spark, {k: v.value for k, v in program.kinds(parse({**_SUMS, "compute_steps": [step("c", "b"), step("a", "input"), step("b", "a")]}).steps).items()})
+
+
+program_query(
+    "cross_grain_inferred",
+    {**_SUMS, "computed_metrics": [{"name": "share", "formula": "total / total_total"}], "output_columns": ["o_orderstatus", "total", "share"], "target_grain": []},
+    "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 9) AS share FROM orders GROUP BY 1",
+    {"total": 2, "share": 9},
+)
+program_query(
+    "computed_metric",
+    {**_SUMS, "metrics": [*_SUMS["metrics"], {"metric_name": "n", "aggregation": "COUNT"}], "computed_metrics": [{"name": "each", "formula": "total / n"}], "output_columns": ["o_orderstatus", "each"]},
+    "SELECT o_orderstatus, round(sum(o_totalprice) / count(*), 6) AS each FROM orders GROUP BY 1",
+    {"each": 6},
+)

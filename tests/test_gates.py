@@ -161,3 +161,13 @@ def test_strata(spark):
     assert found == {"big": 100, "small": 10, "few": 1, None: 10}
     with pytest.raises(SpecError):
         snapshot.sample(df, "stratified", fraction=0.1)
+
+
+def test_metrics_over_all_rows_are_inferred(tables):
+    spec = {**BASE, "computed_metrics": [{"name": "share", "formula": "total / total_total"}], "output_columns": ["s", "total", "share"]}
+    assert [s.name for s in program.cross_grain(parse(spec)).steps] == ["grouped", "overall", "merged"]
+    assert sorted(tuple(r) for r in program.run(parse(spec), tables).collect()) == [("a", 7.0, 7 / 22), ("b", 15.0, 15 / 22)]
+    own = {**spec, "computed_metrics": [{"name": "share", "formula": "total * 2"}]}
+    assert program.cross_grain(parse(own)) == parse(own)
+    assert sorted(r["share"] for r in program.run(parse(own), tables).collect()) == [14.0, 30.0]
+    refused({**spec, "source_tables": [O_, {**C_, "unique_keys": ["c"]}], "joins": [JOIN]}, tables, "CROSS_GRAIN")
