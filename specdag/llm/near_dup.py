@@ -171,7 +171,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: ob
         )
 
 
-def checked_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def checked_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join narrow ``right`` by broadcast while it is small, else by a shuffle."""
     return left.join(F.broadcast(right) if right.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else right, on, how)
 
@@ -304,14 +304,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     made = source.mapInArrow(partial(_sets, width=width, percent=percent, ranks=ranks), schema)
     sets = materialize(made.withColumn("row", F.monotonically_increasing_id()), "near-sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    least = known.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "row")).alias("least"))
-    rows = materialize(known.select("doc_id", "row", "f1", "f2", "n").join(least.select("f1", "f2", "n", F.col("least.row").alias("node"), F.col("least.doc_id").alias("doc")), ["f1", "f2", "n"]).select("row", "doc_id", "node", "doc"), "near-rows")
+    # equal sets are one class, named by its least row; most classes are one row
+    shared = known.groupBy("f1", "f2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.count("*").alias("many")).filter("many > 1").drop("many")
+    shared = materialize(shared, "near-shared")
+    named = checked_join(known.select("doc_id", "row", "f1", "f2", "n"), shared, ["f1", "f2", "n"], "left")
+    rows = materialize(named.select("row", "doc_id", F.coalesce("node", "row").alias("node"), F.coalesce("doc", "doc_id").alias("doc")), "near-rows")
     copies = rows.filter("row <> node").select("row")
     classes = checked_join(known, copies, "row", "left_anti").select(F.col("row").alias("node"), F.col("doc_id").alias("doc"), "n", "f1", "odd", "retained")
     lists = _lists(classes)
     listed = materialize(checked_join(classes, materialize(lists.select("node").distinct(), "near-listed"), "node", "left_semi"), "near-sketches")
     narrow = materialize(sets.select("doc_id", "row", "n"), "near-ids")
-    discard(sets)
+    discard(sets, shared)
     source = source.filter(F.col("doc_id").isNotNull())
 
     central = lists.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -328,8 +331,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     more = _verify(source, listed, crossing.join(done, ["hub", "member"], "left_anti"), width, percent)
     discard(listed, stars, crossing)
 
-    shared = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a <> high").drop("high")
-    same = rows.join(shared, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")  # rows that share an id
+    twice = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a <> high").drop("high")
+    same = checked_join(rows, materialize(twice, "near-twice"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")  # rows that share an id
     tied = components(links.unionByName(more).unionByName(same))
     # what is tied is little and may be sent to where the rows are; a class that is not has its own least id
     members = tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct())
