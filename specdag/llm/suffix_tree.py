@@ -41,7 +41,7 @@ END, START = " ", np.uint64(0x5354415254)
 #: The bytes of a block of texts, the symbols of some blocks together that go to buckets at a time and those of a bucket
 #: that are scored at a time, the unit of the sums of logarithms that buckets return, and the bytes of the hashes of words and
 #: of the symbols further back.
-BLOCK_BYTES, AT_ONCE, SCORED, UNIT, WIDE, NARROW = 8 << 20, 3 << 20, 1 << 19, 1e-9, 7, 3
+BLOCK_BYTES, AT_ONCE, SCORED, UNIT, WIDE, NARROW = 8 << 20, 5 << 20, 1 << 19, 1e-9, 7, 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -365,11 +365,15 @@ def _positions(batches: Iterator[pa.RecordBatch], labels: list[int], depth: int,
     """For some blocks of texts together and each bucket of subtrees the symbols that follow contexts in it: the subtree, the symbols
     before that go beyond, the symbol, and its text. One bucket gets the ids of the texts."""
     partition, number, buckets = TaskContext.get().partitionId(), 0, len(labels)
-    parts, ids, held, tokens = [], [], [], []
+    parts, ids, held, tokens = [[] for _ in range(3 + depth)], [], [], []
+
+    def whole(column: list[np.ndarray]) -> np.ndarray:
+        out = np.concatenate(column)
+        column.clear()
+        return out
 
     def flushed() -> pa.RecordBatch:
-        names, key, bucket, text, *beyond = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
+        names, key, bucket, text, *beyond = map(whole, parts)
         block = partition << 33 | number
         further = beyond[0] if beyond else np.zeros(len(key), np.uint32)
         if buckets < 1 << 16:
@@ -381,7 +385,7 @@ def _positions(batches: Iterator[pa.RecordBatch], labels: list[int], depth: int,
         for b in np.flatnonzero(np.diff(edges)):
             own = order[edges[b] : edges[b + 1]]
             found, codes = np.unique(names[own], return_inverse=True)
-            data = _pack(_cut(found, WIDE), _cut(codes, 4), _cut(key[own], 8), _cut(text[own], 4), *(_cut(x[own], NARROW) for x in beyond))
+            data = _pack(_cut(found, WIDE), _cut(codes, 4), _cut(key[own] >> np.uint64(64 - 8 * WIDE), WIDE), _cut(text[own], 4), *(_cut(x[own], NARROW) for x in beyond))
             rows.append({"bucket": labels[b], "block": block, "positions": len(own), "distinct": len(found), "texts": len(ids), "data": data})
         return pa.RecordBatch.from_pylist(rows, schema=_DEALT_SCHEMA)
 
@@ -389,15 +393,16 @@ def _positions(batches: Iterator[pa.RecordBatch], labels: list[int], depth: int,
         block, own = Block(batch), batch.column("doc_id").to_pylist()
         longest, key, bucket, beyond = block.dealt(hot.value, depth, buckets, own)
         names = _names(hot.value.hashes[longest], block.ids[block.symbols])
-        parts.append((names, key, bucket.astype(np.uint32), ((block.text + len(ids)) * 2 + block.training).astype(np.uint32), *(x.astype(np.uint32) for x in beyond)))
-        del longest, key, bucket, beyond, names
+        for column, x in zip(parts, (names, key, bucket.astype(np.uint32), ((block.text + len(ids)) * 2 + block.training).astype(np.uint32), *(x.astype(np.uint32) for x in beyond)), strict=True):
+            column.append(x)
+        del longest, key, bucket, beyond, names, x
         ids += own
         held += block.held.tolist()
         tokens += np.bincount(block.text, minlength=batch.num_rows).tolist()
-        if sum(len(p[0]) for p in parts) >= AT_ONCE:
+        if sum(map(len, parts[0])) >= AT_ONCE:
             yield flushed()
             ids, held, tokens, number = [], [], [], number + 1
-    if parts:
+    if ids:
         yield flushed()
 
 
@@ -452,10 +457,10 @@ def _subtrees(table: pa.Table, beyond_most: int, root: tuple[float, float], leas
     parts, places, start = [], [], 0
     for row in rows:
         n = row["positions"]
-        found, codes, key, texts, *beyond = _unpack(row.pop("data"), ("u1", row["distinct"] * WIDE), ("u1", n * 4), ("u1", n * 8), ("u1", n * 4), *[("u1", n * NARROW)] * beyond_most)
+        found, codes, key, texts, *beyond = _unpack(row.pop("data"), ("u1", row["distinct"] * WIDE), ("u1", n * 4), ("u1", n * WIDE), ("u1", n * 4), *[("u1", n * NARROW)] * beyond_most)
         texts = _whole(texts, 4)
         places.append(_whole(found, WIDE))
-        parts.append((_whole(codes, 4).astype(np.int32), _whole(key, 8), (texts >> np.uint64(1)).astype(np.int64) + start, (texts & np.uint64(1)).astype(bool), *(_whole(x, NARROW).astype(np.uint32) for x in beyond)))
+        parts.append((_whole(codes, 4).astype(np.int32), _whole(key, WIDE), (texts >> np.uint64(1)).astype(np.int64) + start, (texts & np.uint64(1)).astype(bool), *(_whole(x, NARROW).astype(np.uint32) for x in beyond)))
         start += row["texts"]
     if parts:
         names = np.unique(np.concatenate(places))
@@ -520,8 +525,8 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], *, depth: int =
     Repeated rows count each; other columns are ignored; an empty table gives no rows; without training texts all words are unseen.
 
     Contexts of up to ``depth`` words are tried if training texts have them ``least`` times (2 at least) and kept if they gain more than
-    ``strength`` nats. The word that a subtree is dealt by is told apart by a 64-bit hash, the words scored by 56-bit ones, the words
-    further back, within a subtree, by 24-bit ones. ``buckets`` follows the number of shuffle partitions, and with it what counts as hot, so
+    ``strength`` nats. The word that a subtree is dealt by and the words scored are told apart by 56-bit hashes, the words further
+    back, within a subtree, by 24-bit ones. ``buckets`` follows the number of shuffle partitions, and with it what counts as hot, so
     that a bucket stays small as the input grows; the hot contexts, which are all that tasks are sent, are 3 * buckets at most for each length. Of a bucket's arrays some 60 bytes a symbol are held, and what
     scoring takes for ``SCORED`` symbols or the largest subtree.
     """
