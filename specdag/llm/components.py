@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from specdag.llm.common import discard, materialize
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Fixed value: the most links of which the nodes are broadcast, so that a centre's links need not meet in one task.
+MOST_BROADCAST = 400_000
+
+
+def _star(links: DataFrame, large: bool, few: bool) -> DataFrame:
     """Tie each node's larger (``large``) or smaller neighbours to the least node among them and itself."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
@@ -16,7 +20,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    tied = both.join(least, "u")
+    tied = both.join(F.broadcast(least) if few else least, "u")
     if large:
         found = tied.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links.filter("a <> b").select("a", "b").distinct(), "links")
     before = _sign(links)
     while before[0]:
-        last, links = links, materialize(_star(_star(links, large=True), large=False), "links")
+        few = before[0] <= MOST_BROADCAST
+        last, links = links, materialize(_star(_star(links, large=True, few=few), large=False, few=few), "links")
         discard(last)
         now = _sign(links)
         if now == before:
