@@ -111,18 +111,33 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False), before[ends]
 
 
+def _labels_to_learn(labels: DataFrame, label: str, held_out: Callable[[Column], Column]) -> DataFrame:
+    """``_id`` and ``label``, once for each document that is not held out. Rows with a null id or label are left out; of
+    repeated labels of a document the largest counts."""
+    return (
+        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
+        .filter(F.col("_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("_id")))
+        .groupBy("_id")
+        .agg(F.max("label").alias("label"))
+    )
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column]) -> DataFrame:
+    """``doc_id``, ``text`` and ``label`` of all labelled documents that are not held out.
+
+    Labels grow with the documents, so both are dealt by id: no task, and not the driver, gets more than its share. The texts are
+    not sorted, a task keeps its labels in a hash table.
+    """
+    learned = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = _labels_to_learn(labels, label, held_out).hint("shuffle_hash")
+    return learned.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Callable[[Column], Column], rows: int) -> DataFrame:
     """``doc_id``, ``text`` and ``label`` of at most ``rows`` labelled documents that are not held out, those of least hash.
 
     The choice is made on the narrow label table, so its size is bounded before any text is joined to it. Rows with a
     null id or label are left out; of repeated labels of a document the largest counts.
     """
-    chosen = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
-        .filter(F.col("_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("_id")))
-        .groupBy("_id")
-        .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
-    )
+    chosen = _labels_to_learn(labels, label, held_out).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")

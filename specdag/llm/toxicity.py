@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specdag.llm.common import labelled_sample, text_slices, words_of
+from specdag.llm.common import discard, drop_shuffles, labelled, materialize, text_slices, words_of
 from specdag.llm.grams import word_grams
 
 #: Letters that a disguising character may stand for.
@@ -50,13 +50,21 @@ class CharacterModel:
 
     @classmethod
     def of(cls, words: dict[str, float]) -> CharacterModel:
-        grams: Counter[str] = Counter()
+        trigrams: Counter[str] = Counter()
         for word, n in words.items():
             marked = _MARK * 2 + word + _MARK
             for i in range(2, len(marked)):
-                for k in (0, 1, 2):
-                    grams[marked[i - k : i + 1]] += n
-                    grams[marked[i - k : i] + "\x00"] += n  # the context's total
+                trigrams[marked[i - 2 : i + 1]] += n
+        return cls.of_trigrams(trigrams)
+
+    @classmethod
+    def of_trigrams(cls, trigrams: dict[str, float]) -> CharacterModel:
+        """From the trigrams of marked words; each letter ends one, so shorter contexts are sums of them."""
+        grams: Counter[str] = Counter()
+        for trigram, n in trigrams.items():
+            for k in (0, 1, 2):
+                grams[trigram[2 - k :]] += n
+                grams[trigram[2 - k : 2] + "\x00"] += n  # the context's total
         alphabet = max(2, sum(len(g) == 1 and g != "\x00" for g in grams))
         costs: dict[str, float] = {}
         total = grams["\x00"] or 1.0
@@ -243,16 +251,56 @@ def best_words(texts: pa.Array, model: ToxicModel, memo: dict[str, str]) -> np.n
     return out
 
 
+def _letter_trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, trigram) of every letter of every word and its end mark; a trigram is three code points of 21 bits."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join(_MARK * 2 + w + _MARK for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    ends = np.ones(len(codes), bool)
+    first = np.cumsum(lengths) - lengths
+    ends[first] = ends[first + 1] = False  # what ends here would begin in the word before
+    at = np.flatnonzero(ends)
+    return np.repeat(np.arange(len(words)), lengths)[at], codes[at - 2] << 42 | codes[at - 1] << 21 | codes[at]
+
+
+def _sums(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their owners' counts."""
+    keys, place = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(place, toxic[owner], len(keys)), np.bincount(place, clean[owner], len(keys))
+
+
+#: Kinds of counts: of all words (key 0), of letter trigrams, of n-grams by their hash.
+WORDS, LETTERS, GRAMS = range(3)
+COUNTS = "kind int, key long, toxic long, clean long"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that hold a word, for each batch."""
+    """Of each batch how many documents of each label hold a word, summed over all words, over those with a trigram of
+    letters and over those with an n-gram. All are plain sums over documents, so that no table of words is needed."""
     for batch in text_slices(batches, "text"):
         words, codes, offsets = words_of(batch.column("text"))
         owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         pairs = np.unique(owner * max(1, len(words)) + codes) if len(codes) else np.zeros(0, np.int64)
         label = batch.column("label").to_numpy()
-        toxic = label[pairs // max(1, len(words))] == 1
-        code = pairs % max(1, len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(code[toxic], minlength=len(words))), pa.array(np.bincount(code[~toxic], minlength=len(words)))], ["word", "toxic", "clean"])
+        is_toxic = label[pairs // max(1, len(words))] == 1
+        numbers: dict[str, int] = {}
+        plain = np.fromiter((numbers.setdefault(w, len(numbers)) for w in _plain(words)), np.int64, len(words))
+        code = plain[pairs % max(1, len(words))]
+        toxic, clean = (np.bincount(code[which], minlength=len(numbers)).astype(float) for which in (is_toxic, ~is_toxic))
+        if "" in numbers:
+            toxic[numbers[""]] = clean[numbers[""]] = 0
+        words = list(numbers)
+        alpha = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        which, trigrams = _letter_trigrams([w for w, a in zip(words, alpha, strict=True) if a])
+        owner, grams = word_grams(words, SIZES)
+        parts = (
+            (WORDS, np.zeros(1, np.int64), toxic.sum(keepdims=True), clean.sum(keepdims=True)),
+            (LETTERS, *_sums(trigrams, np.flatnonzero(alpha)[which], toxic, clean)),
+            (GRAMS, *_sums(grams, owner, toxic, clean)),
+        )
+        for kind, keys, t, c in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["kind", "key", "toxic", "clean"])
 
 
 def _best(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.RecordBatch]:
@@ -262,58 +310,96 @@ def _best(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method on the regularised logistic likelihood; the intercept comes first."""
-    a, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows of the logistic likelihood's slope and, behind it, curvature at the weights ``w``, the intercept's first."""
+    a = np.c_[np.ones(len(x)), x]
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return np.concatenate((a.T @ (y - p), ((a * (p * (1 - p))[:, None]).T @ a).ravel()))
+
+
+def _newton(slopes: Callable[[np.ndarray], np.ndarray], n: int, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method on the regularised likelihood whose ``_slopes`` are given; it ends when no weight moves any more."""
+    w, penalty = np.zeros(n + 1), np.array([0.01, *[ridge] * n])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.01, *[ridge] * x.shape[1]])
-        w += np.clip(np.linalg.solve(h, a.T @ (y - p) - np.array([0.01, *[ridge] * x.shape[1]]) * w), -4, 4)
+        found = slopes(w)
+        step = np.linalg.solve(found[n + 1 :].reshape(n + 1, n + 1) + np.diag(penalty), found[: n + 1] - penalty * w)
+        w += np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-10:
+            break
     return w
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method on the regularised logistic likelihood; the intercept comes first."""
+    return _newton(partial(_slopes, x, y), x.shape[1], ridge)
+
+
+def _part_slopes(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(len(w) * (len(w) + 1))
+    for batch in batches:
+        total += _slopes(batch.column("x").flatten().to_numpy().reshape(-1, len(w) - 1), batch.column("label").to_numpy().astype(float), w)
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+
+def _standing_out(a: np.ndarray, b: np.ndarray, nt: float, nc: float, least_docs: int, least_g: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams count as evidence, and the weights of all: seen in at least ``least_docs`` toxic documents, likelihood ratio of
+    at least ``least_g``."""
+    w = np.log((a + 0.5) / nt) - np.log((b + 0.5) / nc)
+    e = (a + b) * nt / (nt + nc)
+    g = 2 * (a * np.log(np.maximum(a, 1e-9) / e) + b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - e, 1e-9)))
+    return (a >= least_docs) & (w > 1.5) & (g >= least_g), w
+
+
 def _weights(words: list[str], toxic: np.ndarray, clean: np.ndarray, least_docs: int, least_g: float) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams that stand out in toxic documents: seen in at least ``least_docs``, likelihood ratio of at least ``least_g``."""
+    """N-grams that stand out in toxic documents, and their weights, from counts of words."""
     nt, nc = max(1.0, toxic.sum()), max(1.0, clean.sum())
-    hashes, weights = [], []
-    for n in SIZES:
-        owner, h = word_grams(words, (n,))
-        keys, place = np.unique(h, return_inverse=True)
-        a, b = np.bincount(place, toxic[owner], len(keys)), np.bincount(place, clean[owner], len(keys))
-        seen = a + b > 0
-        keys, a, b = keys[seen], a[seen], b[seen]
-        w = np.log((a + 0.5) / nt) - np.log((b + 0.5) / nc)
-        e = (a + b) * nt / (nt + nc)
-        g = 2 * (a * np.log(np.maximum(a, 1e-9) / e) + b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - e, 1e-9)))
-        keep = (a >= least_docs) & (w > 1.5) & (g >= least_g)
-        hashes.append(keys[keep])
-        weights.append(w[keep])
-    h, w = np.concatenate(hashes), np.concatenate(weights)
-    order = np.argsort(h)
-    return h[order], w[order]
-
-
-def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], *, label: str = "toxic", rows: int = 8_000, least_docs: int = 4, least_g: float = 25.0) -> ToxicModel:
-    """Learn from at most ``rows`` labelled documents that are not held out: n-gram evidence, the character model of
-    all their words, and the weights of a text's best words. The driver gets a count for each distinct word of the
-    sample and a few numbers for each of its documents."""
-    sample = labelled_sample(docs.select("doc_id", "text"), labels, label, held_out, rows)
-    counted = sample.mapInArrow(_count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = counted.toArrow().sort_by("word")
-    plain: dict[str, list[float]] = {}
-    for word, t, c in zip(_plain(table.column("word").to_pylist()), table.column("toxic").to_pylist(), table.column("clean").to_pylist(), strict=True):
-        if word:
-            row = plain.setdefault(word, [0.0, 0.0])
-            row[0] += t
-            row[1] += c
-    words = list(plain)
-    counts = np.array(list(plain.values())).reshape(-1, 2)
-    hashes, weights = _weights(words, counts[:, 0], counts[:, 1], least_docs, least_g)
-    letters = CharacterModel.of({w: t + c for w, (t, c) in plain.items() if w.isalpha()})
-    model = ToxicModel(hashes, weights, letters, np.zeros(TOP + 3))
-    measured = sample.mapInArrow(partial(_best, model=model), "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.first("label").alias("label"), F.first("x").alias("x"))
-    found = sorted((r["doc_id"], r["label"], r["x"]) for r in measured.collect())
-    model.fit = _logistic(np.array([r[2] for r in found]).reshape(-1, TOP + 2), np.array([r[1] for r in found], float))
+    owner, h = word_grams(words, SIZES)
+    keys, a, b = _sums(h, owner, toxic, clean)
+    seen = a + b > 0
+    keys, a, b = keys[seen], a[seen], b[seen]
+    keep, w = _standing_out(a, b, nt, nc, least_docs, least_g)
+    return keys[keep], w[keep]
+
+
+def _choose(batches: Iterator[pa.RecordBatch], nt: float, nc: float, least_docs: int, least_g: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy().astype(float) for c in ("toxic", "clean"))
+        keep, w = _standing_out(a, b, nt, nc, least_docs, least_g)
+        yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(keep)), pa.array(w[keep])], ["key", "weight"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], *, label: str = "toxic", least_docs: int = 4, least_g: float = 25.0) -> ToxicModel:
+    """Learn from all labelled documents that are not held out: n-gram evidence, the character model of all their words, and
+    the weights of a text's best words.
+
+    Nothing that grows with the documents comes to the driver. It gets the trigrams of letters that there are, the n-grams that
+    stand out, and the likelihood's slopes for each step towards the weights; the labelled texts, the counts of all n-grams
+    and the measurements of the texts are scratch tables, deleted once they have been read.
+    """
+    texts = materialize(labelled(docs.select("doc_id", "text"), labels, label, held_out), "toxic-texts")
+    drop_shuffles(docs.sparkSession)
+    counted = texts.mapInArrow(_count, COUNTS).groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = materialize(counted.filter((F.col("kind") != GRAMS) | (F.col("toxic") >= least_docs)), "toxic-counts")  # with less, none stands out
+    few = counts.filter(F.col("kind") != GRAMS).toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])
+    kind, key, toxic, clean = (few.column(c).to_numpy() for c in ("kind", "key", "toxic", "clean"))
+    nt, nc = (max(1.0, float(n[kind == WORDS].sum())) for n in (toxic, clean))
+    of = kind == LETTERS
+    trigrams = {"".join(chr(k >> shift & 0x1FFFFF) for shift in (42, 21, 0)): n for k, n in zip(key[of].tolist(), (toxic + clean)[of].tolist(), strict=True)}
+    chosen = counts.filter(F.col("kind") == GRAMS).mapInArrow(partial(_choose, nt=nt, nc=nc, least_docs=least_docs, least_g=least_g), "key long, weight double").toArrow()
+    discard(counts)
+    hashes, weights = chosen.column("key").to_numpy().view(np.uint64), chosen.column("weight").to_numpy()
+    order = np.argsort(hashes)
+    model = ToxicModel(hashes[order], weights[order], CharacterModel.of_trigrams(trigrams), np.zeros(TOP + 3))
+    measured = texts.mapInArrow(partial(_best, model=model), "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
+    rows = materialize(measured.select("label", "x"), "toxic-rows")
+    discard(texts)
+    drop_shuffles(docs.sparkSession)
+
+    def slopes(w: np.ndarray) -> np.ndarray:
+        return sum((np.array(r["sums"]) for r in rows.mapInArrow(partial(_part_slopes, w=w), "sums array<double>").collect()), np.zeros(len(w) * (len(w) + 1)))
+
+    model.fit = _newton(slopes, TOP + 2)
+    discard(rows)
     return model
 
 
@@ -330,7 +416,6 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     Whole texts are read; null and empty ones get the score of a text without evidence, as all do if nothing could be
     learned. Repeated rows are scored each by itself, null ids stay null, ties among words count each, other columns are ignored,
-    an empty table gives no rows. One pass, no shuffle; the model's size is bounded
-    by its training sample.
+    an empty table gives no rows. One pass, no shuffle.
     """
     return docs.select("doc_id", "text").mapInArrow(partial(_apply, model=model), "doc_id long, score double")

@@ -585,6 +585,27 @@ def test_deobfuscation_and_scores(spark):
     assert sum((whole[i] >= 0.5) == (i >= 160) for i in out) >= 0.95 * len(out)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    r = random.Random(12)
+    insults = ["idiot", "mor0n!", "stupid", "日本語", "x"]
+    texts = [prose(i, 4) + (f" {r.choice(insults)} {r.choice(insults)}" if i % 9 == 0 or r.random() < 0.02 else "") for i in range(13_500)]
+    labels = [(i, int(i % 9 == 0)) for i in range(13_500)] + [(4, None), (None, 1), (1, 1)]
+    model = toxicity.fit(frame(spark, [*texts, None]), spark.createDataFrame(labels, "doc_id long, toxic int"), lambda i: remainder(i, 3) == 1)
+    of = {i: t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(of) > 8_000
+    toxic, clean = collections.Counter(), collections.Counter()
+    for i, text in of.items():
+        for w in toxicity._plain(list(set(WORD.findall(text)))):
+            (toxic if i % 9 == 0 or i == 1 else clean)[w] += 1
+    words = sorted(toxic | clean)
+    counts = [np.array([c[w] for w in words], float) for c in (toxic, clean)]
+    hashes, weights = toxicity._weights(words, *counts, 4, 25.0)
+    assert len(hashes) and model.hashes.tolist() == hashes.tolist() and model.weights.tolist() == pytest.approx(weights.tolist())
+    assert model.letters.costs == pytest.approx(toxicity.CharacterModel.of({w: toxic[w] + clean[w] for w in words if w.isalpha()}).costs)
+    x = toxicity.best_words(pa.array(list(of.values())), model, {})
+    assert model.fit.tolist() == pytest.approx(toxicity._logistic(x, np.array([float(i % 9 == 0 or i == 1) for i in of])).tolist())
+
+
 def cheapest_readings(seen, model):
     """Every reading of a disguised word with its least cost, by trying all."""
     out = {}
